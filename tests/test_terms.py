@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pathloom import explode_terms, python_sorter, split_url, split_urls
+from tests.plans import explained
 
 LONG = "https://asdf.example.com/c1/c2-3/c4/5/6-adsf-fasd"
 LONG_TERMS = "asdf c1 c2 3 c4 5 6 adsf fasd".split()
@@ -106,7 +107,7 @@ def test_explode_keeps_positions_and_drops_empty(spark):
 
 def test_splitting_is_pure_projection(spark):
     plan = spark.range(1).select(split_url(F.lit("http://a.b.c/d").alias("url")))
-    text = plan._jdf.queryExecution().executedPlan().toString()
+    text = explained(plan)
     assert "Exchange" not in text and "Python" not in text
 
 
