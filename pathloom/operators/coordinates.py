@@ -13,7 +13,7 @@ from pathloom.scale import BROADCAST_BYTES, fits_broadcast
 
 def attach_labels(clusters: DataFrame, labels: DataFrame, *, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Clustered URLs that have a label, with ``label``. Ids are unique on both sides, so no key is hot."""
-    few = fits_broadcast(labels, "id", payload_bytes=64, limit=broadcast_bytes)
+    few = fits_broadcast(labels, "id", F.coalesce(F.octet_length("label"), F.lit(0)), broadcast_bytes)
     labelled = labels.select("id", "label")
     return clusters.join(F.broadcast(labelled) if few else labelled, "id")
 

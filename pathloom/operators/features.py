@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from pathloom.functions.weights import PositionWeight, PythonWeight, coefficients
 from pathloom.scale import BROADCAST_BYTES, cut_lineage, fits_broadcast, join_skewed
 
+_DOUBLE_BYTES = 8
+# Terms whose vectors a task holds at a time.
+_TERMS_AT_ONCE = 1 << 16
+
 
 def weighted_coefficients(ranked: DataFrame, s: float, weight: PositionWeight | PythonWeight | None = None) -> DataFrame:
     """``id, url, split_url, coefficients``: per term the position weight times ``1 / order ** s``."""
@@ -43,8 +47,7 @@ def join_word_vectors(weighted: DataFrame, vectors: DataFrame, *,
         .select("id", "url", "pos", "_pair.word", "_pair.coefficient")
     )
     arrays = vectors.select("word", vector_to_array("vector").alias("vector"))
-    joined = join_skewed(terms, arrays, "word", payload_bytes=8 * vector_size_of(vectors),
-                         broadcast_bytes=broadcast_bytes)
+    joined = join_skewed(terms, arrays, "word", payload=_DOUBLE_BYTES * F.size("vector"), broadcast_bytes=broadcast_bytes)
     return joined.select("id", "url", "pos", "word", "coefficient", "vector")
 
 
@@ -80,12 +83,14 @@ _MEAN_SCHEMA = "id long, url string, split_url array<string>, coefficients array
 
 
 def _means_in_tasks(weighted: DataFrame, vectors: DataFrame) -> DataFrame:
-    """:func:`mean_vectors` for word vectors that fit every task: no term rows, no join and no shuffle.
+    """:func:`mean_vectors` for word vectors (``word, vector`` as ``array<double>``) that fit every task: no term rows,
+    no join and no shuffle.
 
     Each Arrow batch of URLs looks its terms up in the word list and sums rows of the vector matrix per URL.
     """
-    known = vectors.select("word", vector_to_array("vector").alias("vector")).toArrow()
-    matrix = np.array(known["vector"].combine_chunks().flatten()).reshape(len(known), -1)
+    known = vectors.toArrow()
+    components = np.array(known["vector"].combine_chunks().flatten())
+    matrix = components.reshape(len(known), len(components) // max(len(known), 1))
     shared = weighted.sparkSession.sparkContext.broadcast((known["word"].to_pylist(), matrix))
 
     def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,13 +105,18 @@ def _means_in_tasks(weighted: DataFrame, vectors: DataFrame) -> DataFrame:
             found = pc.is_valid(at)
             owner, at = owner[found.to_numpy(zero_copy_only=False)], at.drop_null().to_numpy()
             terms, weights = terms.filter(found), weights.filter(found)
-            urls, starts = np.unique(owner, return_index=True)
+            urls, starts, row = np.unique(owner, return_index=True, return_inverse=True)
             if not len(urls):
                 continue
             factor = weights.to_numpy(zero_copy_only=False)
             total = np.add.reduceat(factor, starts)
+            sums = np.zeros((len(urls), size))
+            for first in range(0, len(at), _TERMS_AT_ONCE):
+                part = slice(first, first + _TERMS_AT_ONCE)
+                rows, offsets = np.unique(row[part], return_index=True)
+                sums[rows] += np.add.reduceat(vector_of[at[part]] * factor[part, None], offsets)
             with np.errstate(divide="ignore", invalid="ignore"):
-                mean = np.add.reduceat(vector_of[at] * factor[:, None], starts) / total[:, None]
+                mean = sums / total[:, None]
             ends = np.append(starts, len(at)).astype(np.int32)
             edges = np.arange(len(urls) + 1, dtype=np.int32) * size
             yield pa.RecordBatch.from_arrays(
@@ -131,12 +141,12 @@ def url_means(ranked: DataFrame, vectors: DataFrame, s: float, weight: PositionW
     URLs; larger ones are joined term by term, and that result is cut off from its shuffles as it is read repeatedly.
     """
     weighted = weighted_coefficients(ranked, s, weight)
-    size = vector_size_of(vectors)
-    if size and fits_broadcast(vectors, "word", 8 * size, broadcast_bytes):
-        means = _means_in_tasks(weighted, vectors)
+    arrays = vectors.select("word", vector_to_array("vector").alias("vector"))
+    if fits_broadcast(arrays, "word", _DOUBLE_BYTES * F.size("vector"), broadcast_bytes):
+        means = _means_in_tasks(weighted, arrays)
     else:
         joined = join_word_vectors(weighted, vectors, broadcast_bytes=broadcast_bytes)
-        means = cut_lineage(mean_vectors(joined, size))
+        means = cut_lineage(mean_vectors(joined, vector_size_of(vectors)))
     with_vector = means.where(F.col("vector").isNotNull())
     return with_vector.withColumn("vector", array_to_vector("vector"))
 

@@ -96,4 +96,6 @@ def rank_terms(split: DataFrame, min_count: int = MIN_COUNT, max_ratio: float =
 
 def dropped_urls(split: DataFrame, ranked: DataFrame) -> DataFrame:
     """``id, url`` of the URLs that kept no word."""
-    return split.select("id", "url").join(ranked.select("id", "url"), ["id", "url"], "left_anti")
+    kept = ranked.select(F.col("id").alias("_id"), F.col("url").alias("_url"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & F.col("url").eqNullSafe(F.col("_url"))
+    return split.select("id", "url").join(kept, same, "left_anti")

@@ -17,8 +17,9 @@ from pathloom.functions.url import host_terms, path_terms, python_sorter, query_
 from pathloom.functions.vectors import nearest_centre
 from pathloom.functions.weights import PythonWeight, zipf_coefficient
 from pathloom.operators import clustering, coordinates, features, scores, terms, timing, vocabulary, word_vectors
+from pathloom.plans import jobs
 from pathloom.plans.search import grid_trials, random_trials, search_clusters
-from pathloom.scale import shared_dir
+from pathloom.scale import cut_lineage, shared_dir
 from pathloom.sources.tables import UrlStore, read_labels, read_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,7 +58,8 @@ def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocabulary.rank_terms(_split(spark, sf_dir), MIN_COUNT)
+    # Read several times by the queries that use it, as a stored table is.
+    return cut_lineage(vocabulary.rank_terms(_split(spark, sf_dir), MIN_COUNT))
 
 
 def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +78,8 @@ def _borrowed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word vectors that SQL can know: the n-th word of the vocabulary takes the embedding with ``vec_id`` n."""
     words = vocabulary.vocabulary(_split(spark, sf_dir), MIN_COUNT)
     vectors = _embeddings(spark, sf_dir).withColumnRenamed("vec_id", "word_frequency_order")
-    return words.join(vectors, "word_frequency_order").select("word", array_to_vector("embedding").alias("vector"))
+    borrowed = words.join(vectors, "word_frequency_order").select("word", array_to_vector("embedding").alias("vector"))
+    return cut_lineage(borrowed)
 
 
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -328,7 +331,7 @@ def prune_terms_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_RANKED_RESULT)
 def ranked_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked_result(_ranked(spark, sf_dir))
+    return _ranked_result(vocabulary.rank_terms(_split(spark, sf_dir), MIN_COUNT))
 
 
 @query(f"WITH {_vocabulary_sql(500)} SELECT id, url FROM split WHERE id NOT IN (SELECT id FROM kept)")
@@ -409,8 +412,10 @@ _MEANS = f"WITH {_VECTORS} SELECT id, url, d, round(value, 6) + 0.0 AS value FRO
 
 @query(_MEANS)
 def mean_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = features.vector_size_of(_borrowed_vectors(spark, sf_dir))
-    return _by_dimension(features.mean_vectors(_known_terms(spark, sf_dir), size), "vector", "id", "url")
+    vectors = _borrowed_vectors(spark, sf_dir)
+    weighted = features.weighted_coefficients(_ranked(spark, sf_dir), S)
+    means = features.mean_vectors(features.join_word_vectors(weighted, vectors), features.vector_size_of(vectors))
+    return _by_dimension(means, "vector", "id", "url")
 
 
 @query(_MEANS)
@@ -443,8 +448,6 @@ def url_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_FEATURES)
 def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pathloom.plans import jobs
-
     store = UrlStore(_scratch(spark))
     store.write_ranked_urls(_ranked(spark, sf_dir))
     store.write_word_vectors(_borrowed_vectors(spark, sf_dir), 4)
@@ -490,8 +493,6 @@ def bisecting_kmeans_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stored_clusters(spark: SparkSession, sf_dir: str, algorithm: str) -> DataFrame:
-    from pathloom.plans import jobs
-
     store = UrlStore(_scratch(spark))
     store.write_ranked_urls(_ranked(spark, sf_dir))
     jobs.train_word_vectors(spark, store, [4])

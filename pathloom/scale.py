@@ -65,12 +65,14 @@ def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     )
 
 
-def fits_broadcast(df: DataFrame, key: str, payload_bytes: int = 16, limit: int = BROADCAST_BYTES) -> bool:
-    """Measure ``df`` (one aggregate over its key column) and tell whether it may be broadcast."""
-    rows, key_bytes = df.agg(
-        F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col(key).cast("string"))), F.lit(0))
-    ).first()
-    return rows * (payload_bytes + _ROW_OVERHEAD) + key_bytes <= limit
+def fits_broadcast(df: DataFrame, key: str, payload: Column | int = 16, limit: int = BROADCAST_BYTES) -> bool:
+    """Measure ``df`` (one aggregate) and tell whether it may be broadcast.
+
+    :param payload: bytes per row beside the key.
+    """
+    key_bytes = F.coalesce(F.octet_length(F.col(key).cast("string")), F.lit(0))
+    row_bytes = key_bytes + (F.lit(payload) if isinstance(payload, int) else payload) + _ROW_OVERHEAD
+    return df.agg(F.coalesce(F.sum(row_bytes), F.lit(0)) <= limit).first()[0]
 
 
 def most_frequent_keys(facts: DataFrame, key: str, n: int = HOT_KEYS) -> DataFrame:
@@ -78,7 +80,7 @@ def most_frequent_keys(facts: DataFrame, key: str, n: int = HOT_KEYS) -> DataFra
     return facts.groupBy(key).count().orderBy(F.desc("count"), key).limit(n).select(key)
 
 
-def join_skewed(facts: DataFrame, dimension: DataFrame, key: str, *, payload_bytes: int = 16,
+def join_skewed(facts: DataFrame, dimension: DataFrame, key: str, *, payload: Column | int = 16,
                 hot: DataFrame | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Inner equi-join of ``facts`` with a ``dimension`` of unique keys, safe for keys that hold most of the facts.
 
@@ -86,9 +88,10 @@ def join_skewed(facts: DataFrame, dimension: DataFrame, key: str, *, payload_byt
     ``hot`` keys (at most ``HOT_KEYS`` rows) is broadcast and meets the hot facts where they are; the remaining facts,
     none of whose keys is large, are shuffled. Both parts together are the whole join.
 
+    :param payload: bytes per row of ``dimension`` beside the key.
     :param hot: one column ``key`` with at most ``HOT_KEYS`` rows; counted from ``facts`` if not given.
     """
-    if fits_broadcast(dimension, key, payload_bytes, broadcast_bytes):
+    if fits_broadcast(dimension, key, payload, broadcast_bytes):
         return facts.join(F.broadcast(dimension), key)
     hot = cut_lineage(most_frequent_keys(facts, key) if hot is None else hot.select(key))
     hot_dimension = dimension.join(F.broadcast(hot), key, "left_semi")

@@ -6,19 +6,38 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from pathloom.schemas import LABELS, URLS
 
 
-def read_urls(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
-    """``id, url`` from CSV with a header. An unquoted comma ends the URL and an id that is no number becomes null;
-    ``mode`` is the reader's, so ``FAILFAST`` refuses such rows and ``DROPMALFORMED`` skips them."""
-    return spark.read.csv(path, schema=URLS, header=True, mode=mode)
+def _read_csv(spark: SparkSession, path: str, schema: StructType, mode: str, corrupt_column: str | None) -> DataFrame:
+    if corrupt_column is None:
+        return spark.read.csv(path, schema=schema, header=True, mode=mode)
+    with_corrupt = StructType([*schema.fields, StructField(corrupt_column, StringType())])
+    return spark.read.csv(path, schema=with_corrupt, header=True, mode=mode, columnNameOfCorruptRecord=corrupt_column)
 
 
-def read_labels(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
-    """``id, label`` from CSV with a header."""
-    return spark.read.csv(path, schema=LABELS, header=True, mode=mode)
+def read_urls(spark: SparkSession, path: str, mode: str = "PERMISSIVE", corrupt_column: str | None = None) -> DataFrame:
+    """``id, url`` from CSV with a header.
+
+    An unquoted comma ends the URL and an id that is no number becomes null. ``mode`` is the reader's, so ``FAILFAST``
+    refuses such rows and ``DROPMALFORMED`` skips them; ``corrupt_column`` keeps their text in one more column.
+    """
+    return _read_csv(spark, path, URLS, mode, corrupt_column)
+
+
+def read_labels(spark: SparkSession, path: str, mode: str = "PERMISSIVE", corrupt_column: str | None = None) -> DataFrame:
+    """``id, label`` from CSV with a header; further columns as in :func:`read_urls`."""
+    return _read_csv(spark, path, LABELS, mode, corrupt_column)
+
+
+def require_unique_ids(urls: DataFrame) -> DataFrame:
+    """``urls`` itself, or an error that names an ``id`` with several rows. Costs one aggregate over the ids."""
+    repeated = urls.groupBy("id").count().where(F.col("count") > 1).first()
+    if repeated is not None:
+        raise ValueError(f"id {repeated['id']} has {repeated['count']} rows")
+    return urls
 
 
 def _write_slice(table: DataFrame, path: str, column: str, value) -> None:

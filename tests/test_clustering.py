@@ -40,6 +40,12 @@ def test_every_url_is_in_its_nearest_cluster(features, distance_measure):
     assert assign_clusters(model, features).where(F.col("cluster_id") != nearest).count() == 0
 
 
+def test_cosine_refuses_zero_vectors(spark):
+    rows = spark.createDataFrame([(i, "u", Vectors.dense(i % 2, 0.0)) for i in range(6)], ["id", "url", "vector"])
+    with pytest.raises(Exception, match="zero-length"):
+        fit_clusters(rows, 2, "cosine")
+
+
 def test_assigning_works_on_a_stream(spark, features, tmp_path):
     model = fit_clusters(features, 4)
     features.write.parquet(str(tmp_path / "in"))

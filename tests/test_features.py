@@ -78,7 +78,8 @@ def random_tables(spark, n=400, words=60, size=7):
 
 @pytest.mark.parametrize("broadcast_bytes", [0, 2**27])
 @pytest.mark.parametrize("weight", [None, lambda i: 1 - i])
-def test_means_match_brute_force(spark, broadcast_bytes, weight):
+def test_means_match_brute_force(spark, monkeypatch, broadcast_bytes, weight):
+    monkeypatch.setattr("pathloom.operators.features._TERMS_AT_ONCE", 7)
     ranked, vectors, rows, table = random_tables(spark)
     means = url_means(ranked, vectors, 1.3, weight, broadcast_bytes=broadcast_bytes)
     found = {r.id: r for r in means.collect()}

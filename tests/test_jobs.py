@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pathloom import Trial, UrlStore, grid_trials, random_trials, read_labels, read_urls
 from pathloom.plans import jobs
 from pathloom.plans.search import run_trial
+from pathloom.sources.tables import require_unique_ids
 
 
 def test_csv_sources(spark, tmp_path):
@@ -16,9 +17,18 @@ def test_csv_sources(spark, tmp_path):
     assert urls.dtypes == [("id", "bigint"), ("url", "string")]
     assert [tuple(r) for r in urls.collect()] == [(1, "http://a.b.c/d"), (2, "http://a.b.c/d,e"), (None, "http://z")]
     assert len(read_urls(spark, str(tmp_path / "urls.csv"), "DROPMALFORMED").collect()) == 2
+    marked = read_urls(spark, str(tmp_path / "urls.csv"), corrupt_column="bad")
+    assert [r.bad for r in marked.collect()] == [None, None, "x,http://z"]
     assert [tuple(r) for r in read_labels(spark, str(tmp_path / "labels.csv")).collect()] == [(1, "home"), (2, "3")]
 
 
+def test_unique_ids(spark):
+    urls = spark.createDataFrame([(1, "a"), (2, "b"), (1, "c")], "id long, url string")
+    with pytest.raises(ValueError, match="id 1 has 2 rows"):
+        require_unique_ids(urls)
+    assert require_unique_ids(urls.where("url <> 'c'")).count() == 2
+
+
 def test_slices_are_replaced_one_by_one(spark, tmp_path):
     store = UrlStore(str(tmp_path))
     table = spark.createDataFrame([("w", Vectors.dense(1.0))], ["word", "vector"])
