@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.functions.lookup import known_terms
 from pathloom.functions.weights import PositionWeight, PythonWeight, coefficients
 from pathloom.scale import BROADCAST_BYTES, cut_lineage, fits_broadcast, join_skewed
 
@@ -88,43 +88,36 @@ def _means_in_tasks(weighted: DataFrame, vectors: DataFrame) -> DataFrame:
 
     Each Arrow batch of URLs looks its terms up in the word list and sums rows of the vector matrix per URL.
     """
-    known = vectors.toArrow()
-    components = np.array(known["vector"].combine_chunks().flatten())
-    matrix = components.reshape(len(known), len(components) // max(len(known), 1))
-    shared = weighted.sparkSession.sparkContext.broadcast((known["word"].to_pylist(), matrix))
+    table = vectors.toArrow()
+    components = np.array(table["vector"].combine_chunks().flatten())
+    matrix = components.reshape(len(table), len(components) // max(len(table), 1))
+    shared = weighted.sparkSession.sparkContext.broadcast((table["word"].to_pylist(), matrix))
 
     def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_list, vector_of = shared.value
+        words, vector_of = shared.value
         size = vector_of.shape[1]
         for batch in batches:
-            terms, weights = batch["split_url"].flatten(), batch["coefficients"].flatten()
-            words = pa.array(word_list, terms.type)
-            at = pc.index_in(terms, value_set=words)
-            # Terms per URL that have a vector; URLs without any have no row.
-            owner = np.repeat(np.arange(len(batch)), pc.list_value_length(batch["split_url"]).fill_null(0).to_numpy())
-            found = pc.is_valid(at)
-            owner, at = owner[found.to_numpy(zero_copy_only=False)], at.drop_null().to_numpy()
-            terms, weights = terms.filter(found), weights.filter(found)
-            urls, starts, row = np.unique(owner, return_index=True, return_inverse=True)
-            if not len(urls):
+            known = known_terms(batch["split_url"], words)
+            if not len(known.rows):
                 continue
+            weights = batch["coefficients"].flatten().filter(known.found)
             factor = weights.to_numpy(zero_copy_only=False)
-            total = np.add.reduceat(factor, starts)
-            sums = np.zeros((len(urls), size))
-            for first in range(0, len(at), _TERMS_AT_ONCE):
+            total = np.add.reduceat(factor, known.starts)
+            sums = np.zeros((len(known.rows), size))
+            for first in range(0, len(factor), _TERMS_AT_ONCE):
                 part = slice(first, first + _TERMS_AT_ONCE)
-                rows, offsets = np.unique(row[part], return_index=True)
-                sums[rows] += np.add.reduceat(vector_of[at[part]] * factor[part, None], offsets)
+                rows, starts = np.unique(known.row_of[part], return_index=True)
+                sums[rows] += np.add.reduceat(vector_of[known.word_at[part]] * factor[part, None], starts)
             with np.errstate(divide="ignore", invalid="ignore"):
                 mean = sums / total[:, None]
-            ends = np.append(starts, len(at)).astype(np.int32)
-            edges = np.arange(len(urls) + 1, dtype=np.int32) * size
+            edges = np.arange(len(known.rows) + 1, dtype=np.int32) * size
+            at = pa.array(known.rows)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch["id"].take(pa.array(urls)),
-                    batch["url"].take(pa.array(urls)),
-                    pa.ListArray.from_arrays(ends, terms),
-                    pa.ListArray.from_arrays(ends, weights),
+                    batch["id"].take(at),
+                    batch["url"].take(at),
+                    known.regroup(batch["split_url"].flatten().filter(known.found)),
+                    known.regroup(weights),
                     pa.ListArray.from_arrays(edges, mean.ravel(), mask=pa.array(total == 0)),
                 ],
                 names=["id", "url", "split_url", "coefficients", "vector"],

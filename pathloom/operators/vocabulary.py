@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.functions.lookup import known_terms
 from pathloom.operators.terms import explode_terms
-from pathloom.scale import BROADCAST_BYTES, HOT_KEYS, join_skewed, number_rows
+from pathloom.scale import BROADCAST_BYTES, HOT_KEYS, fits_broadcast, join_skewed, number_rows
 
 MIN_COUNT = 10
 MAX_RATIO = 0.8
@@ -79,19 +84,49 @@ def regroup_terms(ranked_terms: DataFrame) -> DataFrame:
     )
 
 
-def rank_terms(split: DataFrame, min_count: int = MIN_COUNT, max_ratio: float = MAX_RATIO, *,
+def _rank_in_tasks(split: DataFrame, ranks: DataFrame) -> DataFrame:
+    """:func:`prune_terms` and :func:`regroup_terms` for a vocabulary that fits every task and URLs that need no
+    combining: each Arrow batch of URLs looks its terms up in the word list, so nothing is spread out or shuffled."""
+    table = ranks.toArrow()
+    orders = np.array(table["word_frequency_order"].combine_chunks())
+    shared = split.sparkSession.sparkContext.broadcast((table["word"].to_pylist(), orders))
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, order_of = shared.value
+        for batch in batches:
+            known = known_terms(batch["split_url"], words)
+            at = pa.array(known.rows)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch["id"].take(at),
+                    batch["url"].take(at),
+                    known.regroup(batch["split_url"].flatten().filter(known.found)),
+                    known.regroup(pa.array(order_of[known.word_at])),
+                ],
+                names=["id", "url", "split_url", "word_frequency_orders"],
+            )
+
+    rows = split.select(F.col("id").cast("long"), "url", "split_url")
+    return rows.mapInArrow(rank, "id long, url string, split_url array<string>, word_frequency_orders array<long>")
+
+
+def rank_terms(split: DataFrame, min_count: int = MIN_COUNT, max_ratio: float = MAX_RATIO, *, unique_ids: bool = False,
                broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Reduce every URL of ``id, url, split_url`` to its vocabulary words and attach their frequency orders.
 
     URLs that keep no word are left out. Copies of one ``id, url`` count in the frequencies but give one row: they are
     combined before their terms are spread out, and the same shuffle then serves the regrouping.
+
+    :param unique_ids: promises that no ``id, url`` has copies. Then, if the vocabulary fits, no shuffle is needed.
     """
     common = _common_words(split, min_count)
+    words = _rank(common, split, max_ratio)
+    if unique_ids and fits_broadcast(words, "word", limit=broadcast_bytes):
+        return _rank_in_tasks(split, words.select("word", "word_frequency_order"))
     # Includes the words that are too frequent to keep: they are no part of the result but would crowd the shuffle.
     hot = common.where(F.col("position") <= HOT_KEYS)
-    terms = explode_terms(split.dropDuplicates(["id", "url"]))
-    ranked = prune_terms(terms, _rank(common, split, max_ratio), hot=hot, broadcast_bytes=broadcast_bytes)
-    return regroup_terms(ranked)
+    terms = explode_terms(split if unique_ids else split.dropDuplicates(["id", "url"]))
+    return regroup_terms(prune_terms(terms, words, hot=hot, broadcast_bytes=broadcast_bytes))
 
 
 def dropped_urls(split: DataFrame, ranked: DataFrame) -> DataFrame:

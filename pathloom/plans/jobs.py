@@ -23,9 +23,10 @@ def split_urls(spark: SparkSession, store: UrlStore, urls_csv: str, term_sorter:
 
 
 def rank_terms(spark: SparkSession, store: UrlStore, min_count: int = vocabulary.MIN_COUNT,
-               max_ratio: float = vocabulary.MAX_RATIO) -> None:
+               max_ratio: float = vocabulary.MAX_RATIO, *, unique_ids: bool = False) -> None:
     """Count, prune and rank the stored terms."""
-    store.write_ranked_urls(vocabulary.rank_terms(store.read_split_urls(spark), min_count, max_ratio))
+    split = store.read_split_urls(spark)
+    store.write_ranked_urls(vocabulary.rank_terms(split, min_count, max_ratio, unique_ids=unique_ids))
 
 
 def train_word_vectors(spark: SparkSession, store: UrlStore, window_sizes: Iterable[int] = word_vectors.WINDOW_SIZES,

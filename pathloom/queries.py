@@ -334,6 +334,11 @@ def ranked_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked_result(vocabulary.rank_terms(_split(spark, sf_dir), MIN_COUNT))
 
 
+@query(_RANKED_RESULT)
+def ranked_terms_in_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked_result(vocabulary.rank_terms(_split(spark, sf_dir), MIN_COUNT, unique_ids=True))
+
+
 @query(f"WITH {_vocabulary_sql(500)} SELECT id, url FROM split WHERE id NOT IN (SELECT id FROM kept)")
 def dropped_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = _split(spark, sf_dir)

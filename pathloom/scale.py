@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # A side is broadcast only if its measured size stays below this many bytes.
 BROADCAST_BYTES = 128 * 1024 * 1024
+# A window without partitions is used for at most this many rows.
+ONE_TASK_ROWS = 100_000
 # At most this many keys are treated as hot. Any other key holds less than 1/HOT_KEYS of all rows.
 HOT_KEYS = 10_000
 # Hash table and row header cost per broadcast row, on top of key and payload.
@@ -39,25 +42,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """``row_number() over (order by ...)`` starting at 1, without a task that sees all rows.
+def number_rows(df: DataFrame, order: list[Column], name: str, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+    """``row_number() over (order by ...)`` as a long starting at 1, without a task that sees more than
+    ``one_task_rows`` rows. ``order`` must be total.
 
-    Rows are range-partitioned and sorted, then numbered by the number of rows in earlier partitions plus the place in
-    their own. ``order`` must be total. The sorted rows are checkpointed, because both steps must see one partitioning.
+    Few rows are numbered by a window. Many are range-partitioned and sorted, then numbered by the number of rows in
+    earlier partitions plus the place in their own; both steps must see one partitioning, so it is checkpointed.
     """
+    counted = cut_lineage(df)
+    if counted.count() <= one_task_rows:
+        return counted.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
     slot = F.col("_slot")
     placed = cut_lineage(
-        df.repartitionByRange(*order)
+        counted.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_slot", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright(slot, _ROW_BITS))
     )
-    # One row per partition of the sort, so both the running sum and the broadcast are bounded by their number.
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        placed.groupBy("_part")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    # One row per partition of the sort, however many rows are numbered.
+    sizes = placed.groupBy("_part").count().orderBy("_part").collect()
+    first = accumulate((rows for _, rows in sizes), initial=0)
+    starts = df.sparkSession.createDataFrame(
+        [(part, start) for (part, _), start in zip(sizes, first)], "_part long, _start long"
     )
     place = slot.bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     return placed.join(F.broadcast(starts), "_part").select(

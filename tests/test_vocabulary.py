@@ -1,5 +1,7 @@
+import functools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from pathloom import explode_terms, rank_terms, split_urls, top_terms, vocabulary
@@ -62,6 +64,16 @@ def test_join_beyond_the_broadcast_bound_gives_the_same_rows(spark):
     split.unpersist()
 
 
+def test_unique_ids_give_the_same_rows_without_a_shuffle(spark, tmp_path):
+    skewed_split(spark).write.parquet(str(tmp_path / "split"))
+    split = spark.read.parquet(str(tmp_path / "split"))
+    ranked = rank_terms(split, 3, 1.5, unique_ids=True)
+    assert "Exchange" not in explained(ranked)
+    assert sorted(map(tuple, ranked.collect())) == sorted(map(tuple, rank_terms(split, 3, 1.5).collect()))
+    shuffled = rank_terms(split, 3, 1.5, unique_ids=True, broadcast_bytes=0)
+    assert sorted(map(tuple, ranked.collect())) == sorted(map(tuple, shuffled.collect()))
+
+
 def test_few_hot_keys_and_many_others(spark, monkeypatch):
     monkeypatch.setattr("pathloom.operators.vocabulary.HOT_KEYS", 2)
     split = skewed_split(spark).cache()
@@ -71,7 +83,10 @@ def test_few_hot_keys_and_many_others(spark, monkeypatch):
     split.unpersist()
 
 
-def test_ranking_matches_brute_force(spark):
+@pytest.mark.parametrize("one_task_rows", [0, 100_000])
+def test_ranking_matches_brute_force(spark, monkeypatch, one_task_rows):
+    numbered = functools.partial(number_rows, one_task_rows=one_task_rows)
+    monkeypatch.setattr("pathloom.operators.vocabulary.number_rows", numbered)
     split = skewed_split(spark)
     counts = {}
     for row in split.collect():
@@ -87,15 +102,18 @@ def test_number_rows_over_many_partitions(spark):
     df = spark.range(10_000).select(F.hash("id").alias("h"), "id")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        rows = number_rows(df, [F.desc("h"), F.asc("id")], "n").collect()
+        rows = number_rows(df, [F.desc("h"), F.asc("id")], "n", one_task_rows=0).collect()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert [r.n for r in sorted(rows, key=lambda r: (-r.h, r.id))] == list(range(1, 10_001))
 
 
 def test_no_rows(spark):
-    assert vocabulary(split_table(spark, "", "")).count() == 0
-    assert rank_terms(split_table(spark, "", "")).count() == 0
+    none = split_table(spark, "", "")
+    assert vocabulary(none).count() == 0
+    assert rank_terms(none).count() == rank_terms(none, unique_ids=True).count() == 0
+    assert number_rows(none, [F.asc("id")], "n", one_task_rows=0).count() == 2
+    assert number_rows(none.limit(0), [F.asc("id")], "n", one_task_rows=-1).count() == 0
 
 
 def test_ranks_are_attached_without_moving_the_terms(spark, tmp_path):
