@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 
 @dataclass(frozen=True)
@@ -28,11 +27,16 @@ class KnownTerms:
         return pa.ListArray.from_arrays(np.append(self.starts, len(self.word_at)).astype(np.int32), values)
 
 
-def known_terms(lists: pa.ListArray, words: list[str]) -> KnownTerms:
-    terms = lists.flatten()
-    at = pc.index_in(terms, value_set=pa.array(words, terms.type))
-    found = pc.is_valid(at)
-    owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).fill_null(0).to_numpy())
-    owner = owner[found.to_numpy(zero_copy_only=False)]
-    rows, starts, row_of = np.unique(owner, return_index=True, return_inverse=True)
-    return KnownTerms(rows, starts, row_of, at.drop_null().to_numpy(), found)
+def known_terms(lists: pa.ListArray, places: dict[str, int]) -> KnownTerms:
+    """Find the terms of a batch among ``places``, each word's place in the list. Only the distinct terms of the batch
+    are looked up, so the cost does not depend on the length of the list."""
+    encoded = lists.flatten().dictionary_encode()
+    distinct = [places.get(word, -1) for word in encoded.dictionary.to_pylist()]
+    # The entry behind the last one is for null terms.
+    at = np.array([*distinct, -1])[encoded.indices.fill_null(len(distinct)).to_numpy()]
+    found = at >= 0
+    lengths = lists.value_lengths().fill_null(0).to_numpy()
+    owner = np.repeat(np.arange(len(lists)), lengths)[found]
+    is_first = np.diff(owner, prepend=-1) > 0
+    starts = np.flatnonzero(is_first)
+    return KnownTerms(owner[starts], starts, np.cumsum(is_first) - 1, at[found], pa.array(found))

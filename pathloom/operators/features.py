@@ -91,13 +91,14 @@ def _means_in_tasks(weighted: DataFrame, vectors: DataFrame) -> DataFrame:
     table = vectors.toArrow()
     components = np.array(table["vector"].combine_chunks().flatten())
     matrix = components.reshape(len(table), len(components) // max(len(table), 1))
-    shared = weighted.sparkSession.sparkContext.broadcast((table["word"].to_pylist(), matrix))
+    places = {word: place for place, word in enumerate(table["word"].to_pylist())}
+    shared = weighted.sparkSession.sparkContext.broadcast((places, matrix))
 
     def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, vector_of = shared.value
+        places, vector_of = shared.value
         size = vector_of.shape[1]
         for batch in batches:
-            known = known_terms(batch["split_url"], words)
+            known = known_terms(batch["split_url"], places)
             if not len(known.rows):
                 continue
             weights = batch["coefficients"].flatten().filter(known.found)
@@ -106,8 +107,9 @@ def _means_in_tasks(weighted: DataFrame, vectors: DataFrame) -> DataFrame:
             sums = np.zeros((len(known.rows), size))
             for first in range(0, len(factor), _TERMS_AT_ONCE):
                 part = slice(first, first + _TERMS_AT_ONCE)
-                rows, starts = np.unique(known.row_of[part], return_index=True)
-                sums[rows] += np.add.reduceat(vector_of[known.word_at[part]] * factor[part, None], starts)
+                rows = known.row_of[part]
+                starts = np.flatnonzero(np.diff(rows, prepend=-1))
+                sums[rows[starts]] += np.add.reduceat(vector_of[known.word_at[part]] * factor[part, None], starts)
             with np.errstate(divide="ignore", invalid="ignore"):
                 mean = sums / total[:, None]
             edges = np.arange(len(known.rows) + 1, dtype=np.int32) * size

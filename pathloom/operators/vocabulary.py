@@ -89,12 +89,13 @@ def _rank_in_tasks(split: DataFrame, ranks: DataFrame) -> DataFrame:
     combining: each Arrow batch of URLs looks its terms up in the word list, so nothing is spread out or shuffled."""
     table = ranks.toArrow()
     orders = np.array(table["word_frequency_order"].combine_chunks())
-    shared = split.sparkSession.sparkContext.broadcast((table["word"].to_pylist(), orders))
+    places = {word: place for place, word in enumerate(table["word"].to_pylist())}
+    shared = split.sparkSession.sparkContext.broadcast((places, orders))
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, order_of = shared.value
+        places, order_of = shared.value
         for batch in batches:
-            known = known_terms(batch["split_url"], words)
+            known = known_terms(batch["split_url"], places)
             at = pa.array(known.rows)
             yield pa.RecordBatch.from_arrays(
                 [
