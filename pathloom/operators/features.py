@@ -16,8 +16,8 @@ from pathloom.functions.weights import PositionWeight, PythonWeight, coefficient
 from pathloom.scale import BROADCAST_BYTES, cut_lineage, fits_broadcast, join_skewed
 
 _DOUBLE_BYTES = 8
-# Terms whose vectors a task holds at a time.
-_TERMS_AT_ONCE = 1 << 16
+# Terms whose vectors a task holds at a time: few enough for the processor cache.
+_TERMS_AT_ONCE = 1 << 12
 
 
 def weighted_coefficients(ranked: DataFrame, s: float, weight: PositionWeight | PythonWeight | None = None) -> DataFrame:
@@ -109,9 +109,12 @@ def _means_in_tasks(weighted: DataFrame, vectors: DataFrame) -> DataFrame:
                 part = slice(first, first + _TERMS_AT_ONCE)
                 rows = known.row_of[part]
                 starts = np.flatnonzero(np.diff(rows, prepend=-1))
-                sums[rows[starts]] += np.add.reduceat(vector_of[known.word_at[part]] * factor[part, None], starts)
+                weighted_vectors = vector_of[known.word_at[part]]
+                weighted_vectors *= factor[part, None]
+                # A URL may reach over into the next part.
+                sums[rows[0] : rows[-1] + 1] += np.add.reduceat(weighted_vectors, starts)
             with np.errstate(divide="ignore", invalid="ignore"):
-                mean = sums / total[:, None]
+                sums /= total[:, None]
             edges = np.arange(len(known.rows) + 1, dtype=np.int32) * size
             at = pa.array(known.rows)
             yield pa.RecordBatch.from_arrays(
@@ -120,7 +123,7 @@ def _means_in_tasks(weighted: DataFrame, vectors: DataFrame) -> DataFrame:
                     batch["url"].take(at),
                     known.regroup(batch["split_url"].flatten().filter(known.found)),
                     known.regroup(weights),
-                    pa.ListArray.from_arrays(edges, mean.ravel(), mask=pa.array(total == 0)),
+                    pa.ListArray.from_arrays(edges, sums.ravel(), mask=pa.array(total == 0)),
                 ],
                 names=["id", "url", "split_url", "coefficients", "vector"],
             )
