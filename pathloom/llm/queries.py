@@ -7,8 +7,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pathloom.llm import mixing, mtree, packing, reputation, warc
+from pathloom.llm import extraction, fingerprints, jaccard, language, mixing, mtree, packing, reputation, toxicity, warc
+from pathloom.llm.folds import held_out
 from pathloom.scale import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +44,43 @@ def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+@query()
+def op2_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labels = _table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
+    model = toxicity.fit(documents.filter(~held_out(F.col("doc_id"))), labels)
+    scored = documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity.score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
+_SHINGLES = r"""WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+members AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS an, any_value(b.n) AS bn, count(*) AS common
+  FROM members a JOIN members b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared WHERE 100 * common >= 80 * (an + bn - common)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM reached r JOIN edges e ON e.a = r.other),
+components AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN components USING (doc_id)"""
+
+
+@query(_SHINGLES)
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
 _BASE32 = "|| ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, {1 + 5 * i}, 5))::BIGINT >> {shift}) & 31) + 1)::BIGINT, 1)"
     for i in range(8) for shift in (15, 10, 5, 0)
@@ -66,6 +105,14 @@ def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query()
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(documents.filter(~held_out(F.col("doc_id"))))
+    found = documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), language.predict(model, F.col("text")).alias("found"))
+    return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score", "found.rejected")
+
+
 @query()
 def op8_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reputation.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
@@ -83,3 +130,8 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""")
 def op9_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k_inner_products(_table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_texts(_table(spark, sf_dir, "pages"))

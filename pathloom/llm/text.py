@@ -18,6 +18,10 @@ GROUP = 4 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+# Between words of letters: every ASCII character that is no letter.
+NO_LETTER = np.arange(256) < 0x80
+for _letter in b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ":
+    NO_LETTER[_letter] = False
 _LOWER = np.arange(256)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 _RANDOM = np.random.default_rng(20240229)
@@ -66,15 +70,17 @@ def plain(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.fill_null("") if column.null_count else column
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(column: pa.Array, gaps: np.ndarray = _SPACE, starts_of: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word of the texts in order, and for each text the number of words before it (one more entry
-    at the end holds the number of all words)."""
+    at the end holds the number of all words). ``gaps`` tells for each byte value whether it stands between words.
+
+    With ``starts_of`` there is one column per word for its hash and for the hashes of its first bytes, so many each."""
     offsets = _offsets(column).astype(np.int64)
     if not len(column) or offsets[-1] == offsets[0]:
-        return np.empty(0, np.uint64), np.zeros(len(column) + 1, np.int64)
+        return np.empty((0, 1 + len(starts_of))[:1 + bool(starts_of)], np.uint64), np.zeros(len(column) + 1, np.int64)
     data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
     offsets = offsets - offsets[0]
-    inside = ~_SPACE[data]
+    inside = ~gaps[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.empty(len(data) + 1, bool)
@@ -83,7 +89,7 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(inside & (edge[:-1] | ~before[:-1]))
     after = np.append(inside[1:], False)
     ends = np.flatnonzero(inside & (edge[1:] | ~after)) + 1
-    hashes = np.empty(len(starts), np.uint64)
+    hashes = np.empty((len(starts), 1 + len(starts_of)), np.uint64)
     word = 0
     while word < len(starts):
         base = starts[word]
@@ -92,9 +98,12 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(part * _power(_BASE, len(part)), out=sums[1:])
         s, e = starts[word:stop] - base, ends[word:stop] - base
-        hashes[word:stop] = mix((sums[e] - sums[s]) * _power(_INVERSE, len(part))[s] + (e - s).astype(np.uint64))
+        back = _power(_INVERSE, len(part))[s]
+        hashes[word:stop, 0] = mix((sums[e] - sums[s]) * back + (e - s).astype(np.uint64))
+        for column_, size in enumerate(starts_of, 1):
+            hashes[word:stop, column_] = mix((sums[np.minimum(s + size, e)] - sums[s]) * back + np.uint64(size << 40))
         word = stop
-    return hashes, np.searchsorted(starts, offsets)
+    return hashes if starts_of else hashes[:, 0], np.searchsorted(starts, offsets)
 
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
