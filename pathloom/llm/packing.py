@@ -10,6 +10,8 @@ sequences of a power of two, which need no padding.
 from __future__ import annotations
 
 import os
+import re
+import string
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -23,8 +25,12 @@ CAPACITY = 4096
 # Classes of documents below 1/CLASSES of the capacity are one class.
 CLASSES = 64
 # Ids of this many different words are kept by a worker.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 500_000
 _PART_BITS = 38
+# Characters at which Python splits words and the vocabulary does not.
+_OTHER_SPACE = re.compile("[\x1c-\x1f]")
+# Letters whose lower case is the same alone and in a word.
+_SIMPLE_CASE = re.compile("[\x00-\u012f\u0131-\u024f]*")
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
@@ -105,8 +111,11 @@ class HarmonicPacker:
 
 
 class WordTokenizer:
-    """Ids of a text as bytes of little-endian 32-bit numbers. The vocabulary drops white space and never joins across it, so
-    each different word is tokenized once and looked up from then on."""
+    """Ids of a text as bytes of little-endian 32-bit numbers.
+
+    The vocabulary drops white space, never joins across it, lowers case and parts letters from punctuation. So each different word is tokenized
+    once, without its case and the punctuation behind it, and looked up from then on. Texts where that might not hold are tokenized whole.
+    """
 
     def __init__(self, path: str, end_id: int, known: int = KNOWN_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -114,21 +123,43 @@ class WordTokenizer:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), known
         self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
         self.end = np.array([end_id], "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            new = [word for word in set(words) if word not in self.words]
-            if new:
-                if len(self.words) + len(new) > self.known:
-                    self.words.clear()
-                    new = list(set(words))
-                for i in range(0, len(new), 4096):
-                    part = new[i:i + 4096]
-                    for word, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                        self.words[word] = np.array(code.ids, "<u4").tobytes()
-            yield b"".join(map(self.words.__getitem__, words)) + self.end
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [None if _OTHER_SPACE.search(text) else text.split() for text in texts]
+        new = set().union(*filter(None, split)) - self.words.keys()
+        if len(self.words) + len(new) > self.known:
+            self.words.clear()
+            new = set().union(*filter(None, split))
+        self._learn(list(new))
+        return [(self._ids([text])[0] if words is None else b"".join(map(self.words.__getitem__, words))) + self.end
+                for text, words in zip(texts, split)]
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(code.ids, "<u4").tobytes() for code in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.parts) + len(words) > 2 * self.known:
+            self.parts = {"": b""}
+        cut = []
+        for word in words:
+            head = word.rstrip(string.punctuation)
+            if "<|" in word or head and not head[-1].isalpha():
+                cut.append((word, ""))
+            else:
+                cut.append((head.lower() if _SIMPLE_CASE.fullmatch(head) else head, word[len(head):]))
+        new = {part for pair in cut for part in pair} - self.parts.keys()
+        letters = [part for part in new if part.isalpha()]
+        code = self.tokenizer.encode(" ".join(letters), add_special_tokens=False)
+        owner = np.array(code.word_ids, np.int64)
+        if len(letters) == (owner[-1] + 1 if len(owner) else 0):
+            raw, ends = np.array(code.ids, "<u4").tobytes(), (4 * np.searchsorted(owner, np.arange(len(letters) + 1))).tolist()
+            self.parts.update(zip(letters, (raw[i:j] for i, j in zip(ends, ends[1:]))))
+            new.difference_update(letters)
+        rest = list(new)
+        self.parts.update(zip(rest, self._ids(rest)))
+        self.words.update((word, self.parts[head] + self.parts[tail]) for word, (head, tail) in zip(words, cut))
 
 
 _tokenizers: dict[tuple, WordTokenizer] = {}
