@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from pathloom.llm.components import components
 from pathloom.llm.text import mix, plain, row_groups, shingle_sets
-from pathloom.scale import cut_lineage, fits_broadcast
+from pathloom.llm.joins import left_join, semi_join
+from pathloom.scale import cut_lineage
 
 PERCENT = 80
 GROUPS = 64
@@ -37,7 +38,6 @@ BLOCK = 512
 PARTS_PER_PARTITION = 4
 _CHUNK_BYTES = 8 << 20
 _ALL = -1
-BROADCAST_BYTES = 32 << 20
 
 
 # ---------------------------------------------------------------- shingles that occur only once
@@ -433,19 +433,16 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = info.filter("n_shingles > 0").groupBy(*same_set).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows"), F.max("may_link").alias("may_link"))
     classes = cut_lineage(classes)
 
-    wanted = classes.filter("may_link").select(F.col("node").alias("doc_id")).distinct()
-    wanted = F.broadcast(wanted) if fits_broadcast(wanted, "doc_id", 0, BROADCAST_BYTES) else wanted
+    wanted = classes.filter("may_link").select(F.col("node").alias("doc_id"))
 
     @F.arrow_udf("binary")
     def as_set(column: pa.Array) -> pa.Array:
         return pa.array([s.tobytes() for s in shingle_sets(plain(column))], pa.binary())
 
-    sets = cut_lineage(known.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), as_set("text").alias("set")).filter("octet_length(set) > 0"))
+    sets = cut_lineage(semi_join(known, wanted, "doc_id").select(F.col("doc_id").alias("node"), as_set("text").alias("set")).filter("octet_length(set) > 0"))
     # Now that copies are gone, fewer shingles occur elsewhere.
-    again = _occurrence(sets, _from_sets, percent).filter("may_link").select(F.col("doc_id").alias("node")).distinct()
-    again = cut_lineage(again)
-    again = F.broadcast(again) if fits_broadcast(again, "node", 0, BROADCAST_BYTES) else again
-    sets = cut_lineage(sets.join(again, "node", "left_semi"))
+    again = cut_lineage(_occurrence(sets, _from_sets, percent).filter("may_link").select(F.col("doc_id").alias("node")))
+    sets = cut_lineage(semi_join(sets, again, "node"))
 
     found = cut_lineage(_link_in_blocks(sets, percent))
     roots = components(found)
@@ -458,8 +455,7 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     looked_up = cut_lineage(linked.filter("rows > 1 or component_id != node").drop("node", "rows"))
     key = F.concat_ws(":", *same_set)
     named = looked_up.select(key.alias("class"), "component_id")
-    named = F.broadcast(named) if fits_broadcast(named, "class", 8, BROADCAST_BYTES) else named
-    out = info.withColumn("class", key).join(named, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = left_join(info.withColumn("class", key), named, "class").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     lost = rows.filter("doc_id is null").select("doc_id", _set_size(F.col("text")).alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(lost)
 
@@ -475,12 +471,9 @@ def _set_size(text: Column) -> Column:
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row of each component of ``docs``, the one with the smallest id, with all columns. Rows without id stay."""
     found = cut_lineage(similar_documents(docs, percent).filter("doc_id is not null"))
-    gone = found.filter("doc_id != component_id").select("doc_id").distinct()
-    gone = F.broadcast(gone) if fits_broadcast(gone, "doc_id", 0, BROADCAST_BYTES) else gone
-    kept = docs.join(gone, "doc_id", "left_anti")
-    repeated = found.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    kept = semi_join(docs, found.filter("doc_id != component_id"), "doc_id", "left_anti")
+    repeated = cut_lineage(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     if not repeated.limit(1).count():
         return kept.select(*docs.columns)
-    twice = F.broadcast(repeated) if fits_broadcast(repeated, "doc_id", 0, BROADCAST_BYTES) else repeated
-    single = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
-    return single.unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    single = semi_join(kept, repeated, "doc_id", "left_anti").select(*docs.columns)
+    return single.unionByName(semi_join(kept, repeated, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns))

@@ -15,11 +15,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.scale import cut_lineage, join_skewed, number_rows
+from pathloom.llm.joins import left_join
+from pathloom.scale import cut_lineage, number_rows
 
 WORD = r"[^\x20\x09-\x0D]+"
 # Documents of one source and size are dealt to groups of about this many before their copies are assigned.
-GROUP_ROWS = 4096
+GROUP_ROWS = 256
 # As many sources are held beside the table of sizes in each task; more are joined by a shuffle.
 FEW_SOURCES = 100_000
 TOLERANCE = 1e-7
@@ -120,53 +121,89 @@ def _whole_copies(cap: float):
     return work
 
 
-def mix(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Copies of each document so that the words of each source meet its target.
-
-    Reads ``doc_id, text, source``; other columns are ignored. One row per row of ``docs``: ``doc_id, size`` (words; 0
-    without text), ``source_size, target`` (of its source), ``copies`` (0 to ``cap``, a whole number) and ``taken = copies * size``.
-    A document without words keeps one copy. Rows that repeat are documents of their own. An empty table gives an empty
-    one. The words taken of a source miss its target by half of its shortest document or, where that is capped, little more.
-
-    No group is large: copies are settled per source and size, then per dealt group of about ``group_rows`` documents,
-    then by hash within it.
-    """
-    sized = cut_lineage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+def _plan(sized: DataFrame, weights, share: float, cap: float, group_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From ``source, size, place`` of all documents: the targets of the sources, the number of groups of each cell (source and
+    size), and of each group the copies of all its documents and the last place that gets one more."""
     counts = cut_lineage(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     sizes = counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     targets = cut_lineage(source_targets(sizes, weights, share, cap))
     few = targets.count() <= FEW_SOURCES
-    named = targets.select(F.col("source").alias("_source"), "source_no", "source_size", "target")
-    named = F.broadcast(named) if few else named
-    same_source = F.col("source").eqNullSafe(F.col("_source"))
-    cells = cut_lineage(counts.join(named, same_source).filter("size > 0").select("source_no", "size", "n"))
+    cells = cut_lineage(_named(counts, targets).filter("size > 0").select("source_no", "size", "n"))
     theta = balance(cells, targets.filter("source_size > 0"), cap)
-
     rate = (_rates(F.col("theta"), cap) * 10**9).cast("long")
     rated = cells.join(F.broadcast(theta) if few else theta, "source_no").select("source_no", "size", "n", rate.alias("rate"))
     # One row per source and size, so a source has no more of them than its longest document has words.
     whole = rated.groupBy("source_no").applyInPandas(_whole_copies(cap), "source_no long, size long, n long, copies long")
-    cell = F.concat_ws(":", "source_no", "size")
     rounded = cut_lineage(whole.select(
-        cell.alias("cell"), F.col("n").alias("cell_rows"), F.col("copies").alias("copies_of_cell"),
+        _cell().alias("cell"), F.col("n").alias("cell_rows"), F.col("copies").alias("cell_copies"),
         F.ceil(F.col("n") / group_rows).alias("groups")))
-    order = F.xxhash64("doc_id")
-    known = sized.join(named, same_source).drop("_source", "source").withColumn("cell", cell)
-    dealt = cut_lineage(
-        join_skewed(known.filter("size > 0"), rounded, "cell", payload=32)
-        .withColumn("group", F.pmod(F.xxhash64(order, F.lit(7)), F.col("groups")))
-    )
-    by_cell = Window.partitionBy("cell").orderBy("group")
-    groups = (
-        dealt.groupBy("cell", "group", "copies_of_cell", "cell_rows").agg(F.count(F.lit(1)).alias("m"))
-        .withColumn("upto", F.expr("(sum(m) over (partition by cell order by `group`)) * copies_of_cell div cell_rows"))
+    groups = rounded.select("cell", "groups")
+
+    # Copies of a row share a place, so however many there are, a group stays small.
+    places = _named(sized, targets).filter("size > 0").withColumn("cell", _cell()).groupBy("cell", "place").agg(F.count(F.lit(1)).alias("rows"))
+    places = cut_lineage(_grouped(left_join(places, groups, "cell")).select("cell", "group", "place", "rows"))
+    by_cell = Window.partitionBy("cell").orderBy("group_no")
+    upto = F.expr("(sum(m) over (partition by cell order by group_no)) * cell_copies div cell_rows")
+    of_group = left_join(places.groupBy("cell", "group").agg(F.sum("rows").alias("m")), rounded, "cell", 24)
+    of_group = (
+        of_group.withColumn("group_no", F.element_at(F.split("group", ":"), -1).cast("long")).withColumn("upto", upto)
         .withColumn("k", F.col("upto") - F.coalesce(F.lag("upto").over(by_cell), F.lit(0)))
-        .select(F.concat_ws(":", "cell", "group").alias("key"), "m", "k")
+        .select("group", F.expr("k div m").alias("base"), (F.col("k") % F.col("m")).alias("extra"))
     )
-    dealt = dealt.withColumn("key", F.concat_ws(":", "cell", "group")).drop("cell", "group", "groups", "copies_of_cell", "cell_rows")
-    place = F.row_number().over(Window.partitionBy("key").orderBy(order, "doc_id"))
-    placed = dealt.withColumn("place", place).join(groups, "key")
-    copies = F.expr("k div m") + F.when(F.col("place") <= F.col("k") % F.col("m"), 1).otherwise(0)
-    chosen = placed.select("doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"))
-    empty = known.filter("size = 0").select("doc_id", "size", "source_size", "target", F.lit(1).cast("long").alias("copies"))
-    return chosen.unionByName(empty).withColumn("taken", F.col("copies") * F.col("size"))
+    running = F.sum("rows").over(Window.partitionBy("group").orderBy("place"))
+    last = places.withColumn("running", running).join(of_group, "group").groupBy("group", "base").agg(
+        F.max(F.when(F.col("running") <= F.col("extra"), F.col("place"))).alias("last_place"))
+    return targets, groups, cut_lineage(last)
+
+
+def _cell() -> Column:
+    return F.concat_ws(":", "source_no", "size")
+
+
+def _named(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """``rows`` with the number, size and target of their source; null is a source."""
+    named = targets.select(F.col("source").alias("_source"), "source_no", "source_size", "target")
+    named = F.broadcast(named) if named.count() <= FEW_SOURCES else named
+    return rows.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    number = F.pmod(F.xxhash64("place", F.lit(7)), F.coalesce("groups", F.lit(1)))
+    return rows.withColumn("group", F.concat_ws(":", "cell", number))
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"size": word_count(F.col("text")), "place": F.xxhash64("doc_id", "text")})
+
+
+def _with_copies(placed: DataFrame, plan: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    targets, groups, last = plan
+    rows = _grouped(left_join(_named(placed, targets).withColumn("cell", _cell()), groups, "cell"))
+    rows = left_join(rows, last, "group", 24)
+    more = F.when(F.col("place") <= F.col("last_place"), 1).otherwise(0)
+    return rows.withColumn("copies", F.when(F.col("size") == 0, 1).otherwise(F.col("base") + more).cast("long"))
+
+
+def mix(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Copies of each document so that the words of each source meet its target.
+
+    Reads ``doc_id, text, source``; other columns are ignored. One row per row of ``docs``: ``doc_id, size`` (words; 0
+    without text), ``source_size, target`` (of its source), ``copies`` (0 to ``cap``, a whole number) and ``taken = copies * size``.
+    A document without words keeps one copy. Rows that repeat get the same number of copies. An empty table gives an empty
+    one. The words taken of a source miss its target by half of its shortest document or, where that is capped, little more.
+
+    No group is large: copies are settled per source and size, then per dealt group of about ``group_rows`` documents,
+    then by hash within it.
+    """
+    sized = cut_lineage(_placed(docs.select("doc_id", "text", "source")).drop("text"))
+    mixed = _with_copies(sized, _plan(sized, weights, share, cap, group_rows))
+    return mixed.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def repeat_mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, each as often as :func:`mix` says, with all their columns."""
+    kept = docs.select(F.struct("*").alias("_row"), "doc_id", "text", "source")
+    sized = cut_lineage(_placed(docs.select("doc_id", "text", "source")).drop("text"))
+    arguments = {"weights": (5, 2, 1), "share": 1.5, "cap": 2.0, "group_rows": GROUP_ROWS} | options
+    mixed = _with_copies(_placed(kept).drop("text"), _plan(sized, **arguments)).filter("copies > 0")
+    return mixed.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("_row.*")

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pathloom.scale import cut_lineage, fits_broadcast
+from pathloom.llm.joins import left_join
+from pathloom.scale import cut_lineage
 
 MAGIC = "WARC/1.0\r\n"
 _END = "\r\n\r\n"
@@ -70,18 +71,12 @@ def records(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     )
     shared = cut_lineage(shared)
     keyed = known.withColumn("payload_key", F.concat_ws(":", "payload_digest", "payload_bytes"))
-    return _left_join_skewed(keyed, shared, "payload_key").select(
+    return left_join(keyed, shared, "payload_key").select(
         "page_id", "url", "html", "payload_bytes", "payload_digest",
         F.when(F.col("first_id") < F.col("page_id"), F.col("first_id")).alias("refers_to"),
     )
 
 
-def _left_join_skewed(facts: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
-    if fits_broadcast(dimension, key, 16, 32 << 20):
-        return facts.join(F.broadcast(dimension), key, "left")
-    return facts.join(dimension, key, "left")  # a hot side of this join is split at run time
-
-
 def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> None:
     """Write the records of ``pages`` as WARC files under ``path``, one file per task."""
     row = records(pages, min_revisit_bytes)
