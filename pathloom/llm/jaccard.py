@@ -31,7 +31,7 @@ from pathloom.llm.joins import left_join, semi_join
 from pathloom.scale import cut_lineage
 
 PERCENT = 80
-GROUPS = 64
+GROUPS = 512
 LEAF = 32
 # A block or half of a pair of blocks holds at most about this many documents.
 BLOCK = 512
@@ -198,7 +198,7 @@ def count_vectors(sets: list[np.ndarray], groups: int = GROUPS) -> np.ndarray:
     """How many members of each set fall into each group of hashes."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     group = (np.concatenate([np.empty(0, np.uint64), *sets]) % np.uint64(groups)).astype(np.int64)
-    return np.bincount(owner * groups + group, minlength=len(sets) * groups).reshape(len(sets), groups).astype(np.int32)
+    return np.bincount(owner * groups + group, minlength=len(sets) * groups).reshape(len(sets), groups).astype(np.uint16 if max(map(len, sets), default=0) < 2**16 else np.int32)
 
 
 class CountTree:
@@ -209,7 +209,7 @@ class CountTree:
         self.order = np.arange(len(counts))
         self.leaf = leaf
         self.nodes: list[tuple] = []  # start, stop, largest counts, least size, largest size, children
-        self._counts, self._sizes = counts, counts.sum(axis=1)
+        self._counts, self._sizes = counts, counts.sum(axis=1, dtype=np.int64)
         self.root = self._build(0, len(counts)) if len(counts) else None
         self.counts, self.sizes = counts[self.order], self._sizes[self.order]
 
@@ -218,7 +218,7 @@ class CountTree:
         points, sizes = self._counts[rows], self._sizes[rows]
         children = ()
         if stop - start > self.leaf:
-            spread = np.append(points.max(axis=0) - points.min(axis=0), sizes.max() - sizes.min())
+            spread = np.append(points.max(axis=0).astype(np.int64) - points.min(axis=0), sizes.max() - sizes.min())
             widest = int(spread.argmax())
             along = sizes if widest == points.shape[1] else points[:, widest]
             self.order[start:stop] = rows[np.argsort(along, kind="stable")]
@@ -229,11 +229,11 @@ class CountTree:
 
     def candidates(self, counts: np.ndarray, percent: int, skip: Callable[[int, int], bool]) -> Iterator[np.ndarray]:
         """Places (in ``order``) of sets that may be similar enough to one with these counts; ranges with ``skip(start, stop)`` are left out."""
-        size = int(counts.sum())
+        size = int(counts.sum(dtype=np.int64))
         stack = [self.root] if self.root is not None else []
         while stack:
             start, stop, largest, least, most, children = self.nodes[stack.pop()]
-            bound = int(np.minimum(counts, largest).sum())
+            bound = int(np.minimum(counts, largest).sum(dtype=np.int64))
             # The overlap that a set of the least fitting size would need.
             near = max(least, -(-percent * size // 100))
             if near > min(most, size * 100 // percent) or not links(size, near, min(bound, size, near), percent) or skip(start, stop):
@@ -241,7 +241,7 @@ class CountTree:
             if children:
                 stack += children
                 continue
-            bounds = np.minimum(self.counts[start:stop], counts).sum(axis=1)
+            bounds = np.minimum(self.counts[start:stop], counts).sum(axis=1, dtype=np.int64)
             yield start + np.flatnonzero(links(size, self.sizes[start:stop], bounds, percent))
 
 
@@ -324,13 +324,19 @@ def _sets_of(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
     return [np.frombuffer(value, np.uint64) for value in column.to_pylist()]
 
 
+def _slices(column: pa.Array, rows: int = 256) -> Iterator[list[np.ndarray]]:
+    """The sets of a batch, few at a time."""
+    for start in range(0, len(column), rows):
+        yield _sets_of(column.slice(start, rows))
+
+
 def _least_shingles(column: Column) -> Column:
     """The least shingle of a set under two hash functions."""
     salts = np.array([0x2545F4914F6CDD1D, 0x369DEA0F31A53F85], np.uint64)
 
     @F.arrow_udf("array<long>")
     def work(column: pa.Array) -> pa.Array:
-        return pa.array([[int(mix(s ^ salt).min().view(np.int64)) for salt in salts] for s in _sets_of(column)], pa.list_(pa.int64()))
+        return pa.array([[int(mix(s ^ salt).min().view(np.int64)) for salt in salts] for sets in _slices(column) for s in sets], pa.list_(pa.int64()))
 
     return work(column)
 
@@ -339,7 +345,7 @@ def _prefix(column: Column, percent: int) -> Column:
     """The smallest shingles of a set, as many as it can lose and still link, and one more."""
     @F.arrow_udf("array<long>")
     def work(column: pa.Array) -> pa.Array:
-        return pa.array([s[:len(s) - -(-percent * len(s) // 100) + 1].view(np.int64) for s in _sets_of(column)], pa.list_(pa.int64()))
+        return pa.array([s[:len(s) - -(-percent * len(s) // 100) + 1].view(np.int64) for sets in _slices(column) for s in sets], pa.list_(pa.int64()))
 
     return work(column)
 
@@ -347,7 +353,8 @@ def _prefix(column: Column, percent: int) -> Column:
 def _packed_counts(column: Column) -> Column:
     @F.arrow_udf("binary")
     def work(column: pa.Array) -> pa.Array:
-        return pa.array([row.tobytes() for row in count_vectors(_sets_of(column))], pa.binary())
+        rows = (row for sets in _slices(column) for row in count_vectors(sets))
+        return pa.array([row.astype(np.int32 if row.max() >= 2**15 else np.uint16).tobytes() for row in rows], pa.binary())
 
     return work(column)
 
@@ -394,7 +401,9 @@ def _pairs_left(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     counts = sets.select("node", _packed_counts(F.col("set")).alias("counts"))
 
     def work(table: pa.Table) -> list[tuple[int, int]]:
-        vectors = np.frombuffer(b"".join(table["counts"].to_pylist()), np.int32).reshape(-1, GROUPS)
+        # Two bytes for each count or, in vectors of very large sets, four.
+        packed = table["counts"].to_pylist()
+        vectors = np.array([np.frombuffer(row, np.uint16 if len(row) == 2 * GROUPS else np.int32) for row in packed])
         return pair_block(table["node"].to_numpy(), vectors, table["root"].to_numpy(), table["side"].to_numpy(), percent)
 
     rows = met.join(counts, "node").select("block", "node", "root", "side", "counts")
@@ -406,7 +415,7 @@ def _pairs_left(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     @F.arrow_udf("boolean")
     def similar(left: pa.Array, right: pa.Array) -> pa.Array:
-        both = zip(_sets_of(left), _sets_of(right))
+        both = ((x, y) for xs, ys in zip(_slices(left), _slices(right)) for x, y in zip(xs, ys))
         return pa.array([bool(links(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)), percent)) for x, y in both], pa.bool_())
 
     first = sets.select(F.col("node").alias("a"), F.col("set").alias("left"))
