@@ -10,7 +10,6 @@ sequences of a power of two, which need no padding.
 from __future__ import annotations
 
 import os
-import re
 import string
 import zlib
 from collections import deque
@@ -18,19 +17,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from pathloom.llm.text import plain, row_groups
+
 CAPACITY = 4096
 # Classes of documents below 1/CLASSES of the capacity are one class.
 CLASSES = 64
-# Ids of this many different words are kept by a worker.
-KNOWN_WORDS = 500_000
+# Ids of this many different parts of words are kept by a worker.
+KNOWN_PARTS = 1_000_000
+_BYTES_AT_ONCE = 4 << 20
 _PART_BITS = 38
-# Characters at which Python splits words and the vocabulary does not.
-_OTHER_SPACE = re.compile("[\x1c-\x1f]")
-# Letters whose lower case is the same alone and in a word.
-_SIMPLE_CASE = re.compile("[\x00-\u012f\u0131-\u024f]*")
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
@@ -113,53 +112,62 @@ class HarmonicPacker:
 class WordTokenizer:
     """Ids of a text as bytes of little-endian 32-bit numbers.
 
-    The vocabulary drops white space, never joins across it, lowers case and parts letters from punctuation. So each different word is tokenized
-    once, without its case and the punctuation behind it, and looked up from then on. Texts where that might not hold are tokenized whole.
+    The vocabulary drops white space, never joins across it, lowers case and parts letters from punctuation. So a word is cut into what
+    ends with a letter and the ASCII punctuation behind it, and each different part is tokenized once and looked up from then on.
     """
 
-    def __init__(self, path: str, end_id: int, known: int = KNOWN_WORDS):
+    def __init__(self, path: str, end_id: int, known: int = KNOWN_PARTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), known
-        self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
         self.end = np.array([end_id], "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if _OTHER_SPACE.search(text) else text.split() for text in texts]
-        new = set().union(*filter(None, split)) - self.words.keys()
-        if len(self.words) + len(new) > self.known:
-            self.words.clear()
-            new = set().union(*filter(None, split))
-        self._learn(list(new))
-        return [(self._ids([text])[0] if words is None else b"".join(map(self.words.__getitem__, words))) + self.end
-                for text, words in zip(texts, split)]
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(code.ids, "<u4").tobytes() for code in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.parts) + len(words) > 2 * self.known:
-            self.parts = {"": b""}
-        cut = []
-        for word in words:
-            head = word.rstrip(string.punctuation)
-            if "<|" in word or head and not head[-1].isalpha():
-                cut.append((word, ""))
-            else:
-                cut.append((head.lower() if _SIMPLE_CASE.fullmatch(head) else head, word[len(head):]))
-        new = {part for pair in cut for part in pair} - self.parts.keys()
-        letters = [part for part in new if part.isalpha()]
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Of texts without nulls, each with the end id."""
+        lists = pc.ascii_split_whitespace(texts)
+        encoded = lists.flatten().dictionary_encode()
+        parts = _parts(encoded.dictionary).dictionary_encode()
+        names = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
+        codes = list(map(self.parts.get, names))
+        if None in codes:
+            new = [name for name, code in zip(names, codes) if code is None]
+            if len(self.parts) + len(new) > self.known:
+                self.parts, new = {"": b""}, names
+            self._learn(new)
+            codes = list(map(self.parts.__getitem__, names))
+        # The ids of all parts stand in a row; those of a text are gathered by the places of its words, two parts each.
+        sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        at = parts.indices.to_numpy().reshape(-1, 2)[encoded.indices.to_numpy()].ravel()
+        each = sizes[at]
+        ends = np.append(0, np.cumsum(each))
+        first = (np.cumsum(sizes) - sizes)[at] - ends[:-1]
+        ids = np.frombuffer(b"".join(codes), "<u4")[np.repeat(first, each) + np.arange(ends[-1])]
+        bounds = ends[2 * np.append(0, np.cumsum(lists.value_lengths().to_numpy()))]
+        return [ids[i:j].tobytes() + self.end for i, j in zip(bounds, bounds[1:])]
+
+    def _learn(self, names: list[str]) -> None:
+        letters = [name for name in names if name.isalpha()]
         code = self.tokenizer.encode(" ".join(letters), add_special_tokens=False)
         owner = np.array(code.word_ids, np.int64)
         if len(letters) == (owner[-1] + 1 if len(owner) else 0):
             raw, ends = np.array(code.ids, "<u4").tobytes(), (4 * np.searchsorted(owner, np.arange(len(letters) + 1))).tolist()
-            self.parts.update(zip(letters, (raw[i:j] for i, j in zip(ends, ends[1:]))))
-            new.difference_update(letters)
-        rest = list(new)
-        self.parts.update(zip(rest, self._ids(rest)))
-        self.words.update((word, self.parts[head] + self.parts[tail]) for word, (head, tail) in zip(words, cut))
+            self.parts.update(zip(letters, [raw[i:j] for i, j in zip(ends, ends[1:])]))
+        rest = [name for name in names if name not in self.parts]
+        ids = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        self.parts.update(zip(rest, [np.array(code.ids, "<u4").tobytes() for code in ids]))
+
+
+def _parts(words: pa.StringArray) -> pa.StringArray:
+    """Every word as two texts in lower case: up to its last letter, and the punctuation behind. A word that ends otherwise is not cut."""
+    heads = pc.utf8_rtrim(words, string.punctuation)
+    cut = pc.and_(pc.match_substring_regex(heads, r"\p{L}$"), pc.invert(pc.match_substring(words, "<|")))
+    offsets = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4)
+    split = np.empty(2 * len(words) + 1, np.int32)
+    split[0::2] = offsets
+    split[1::2] = np.where(cut.to_numpy(zero_copy_only=False), offsets[:-1] + pc.binary_length(heads).to_numpy(), offsets[1:])
+    return pc.ascii_lower(pa.StringArray.from_buffers(2 * len(words), pa.py_buffer(split), words.buffers()[2]))
 
 
 _tokenizers: dict[tuple, WordTokenizer] = {}
@@ -199,11 +207,9 @@ def pack(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, capacity: int
 
         for batch in batches:
             found: list[tuple] = []
-            doc_ids = batch.column(0).to_pylist()
-            texts = batch.column(1)
-            for start in range(0, len(doc_ids), 256):
-                part = [text or "" for text in texts.slice(start, 256).to_pylist()]
-                for doc_id, ids in zip(doc_ids[start:start + 256], tokenizer.encode(part)):
+            doc_ids, texts = batch.column(0).to_pylist(), plain(batch.column(1))
+            for start, stop in row_groups(texts, _BYTES_AT_ONCE):
+                for doc_id, ids in zip(doc_ids[start:stop], tokenizer.encode(texts.slice(start, stop - start))):
                     waiting[number] = [doc_id, ids, len(ids) // 4]
                     found += rows(packer.add(number, len(ids) // 4))
                     number += 1

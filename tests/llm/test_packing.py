@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -24,15 +25,20 @@ def tokenizer():
 
 def test_ids_are_those_of_the_tokenizer(tokenizer):
     mine = WordTokenizer(PATH, 2)
-    for text, ids in zip(ODD, mine.encode(ODD)):
+    for text, ids in zip(ODD, mine.encode(pa.array(ODD))):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [2]
 
 
-@settings(deadline=None, max_examples=200)
-@given(st.lists(st.text(max_size=30), max_size=5))
-def test_ids_of_any_text(texts):
-    mine, tokenizer = WordTokenizer(PATH, 2, known=3), Tokenizer.from_file(PATH)
-    for text, ids in zip(texts, mine.encode(texts)):
+@pytest.fixture(scope="module")
+def forgetful():
+    return WordTokenizer(PATH, 2, known=3)
+
+
+@settings(deadline=None, max_examples=300)
+@given(texts=st.lists(st.text(max_size=30) | st.text(st.sampled_from("aÉİσΣ'’\u0301 !|<>🙂1²\u2028\x1c"), max_size=12), max_size=5))
+def test_ids_of_any_text(tokenizer, forgetful, texts):
+    mine = forgetful
+    for text, ids in zip(texts, mine.encode(pa.array(texts, pa.string()))):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [2]
 
 
