@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from pathloom.llm.components import components
 from pathloom.llm.text import mix, plain, row_groups, shingle_sets
-from pathloom.llm.joins import left_join, semi_join
+from pathloom.llm.joins import left_join, partitions_for, semi_join
 from pathloom.scale import cut_lineage
 
 PERCENT = 80
@@ -36,7 +36,8 @@ LEAF = 32
 # A block or half of a pair of blocks holds at most about this many documents.
 BLOCK = 512
 PARTS_PER_PARTITION = 4
-_CHUNK_BYTES = 8 << 20
+ROWS_PER_PARTITION = 8192
+_CHUNK_BYTES = 2 << 20
 _ALL = -1
 
 
@@ -58,6 +59,12 @@ def _rows(ddl: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def _dicts(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch one by one, so that only one is held twice."""
+    for i in range(len(batch)):
+        yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+
+
 def _pack(parts: int, read: Callable) -> Callable:
     """Chunks of documents as one row with their ids and set hashes and one per part with the hashes of their shingles.
 
@@ -119,7 +126,7 @@ def _count_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _rows(_COUNTED, out)
 
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in _dicts(batch):
             if row["part"] == _ALL:
                 yield _rows(_COUNTED, [(row["chunk"], row["doc_ids"], row["sizes"], row["first_hash"], row["second_hash"], b"", b"")])
                 continue
@@ -149,7 +156,7 @@ def _judge(percent: int) -> Callable:
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_schema(_INFO))
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _dicts(batch):
                 if row["chunk"] != chunk:
                     if info is not None:
                         yield judged()
@@ -178,7 +185,7 @@ def _from_sets(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[np.ndar
 
 def _occurrence(rows: DataFrame, read: Callable, percent: int) -> DataFrame:
     """``_INFO`` of ``rows (doc_id, text or set)``."""
-    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = partitions_for(rows, ROWS_PER_PARTITION)
     packed = rows.mapInArrow(_pack(partitions * PARTS_PER_PARTITION, read), _PACKED)
     # The rows with the ids of a chunk are spread like a part of their own each.
     place = F.when(F.col("part") == _ALL, F.xxhash64("chunk")).otherwise(F.col("part"))
@@ -375,7 +382,7 @@ def _link_in_blocks(sets: DataFrame, percent: int) -> DataFrame:
         return link_block(table["node"].to_numpy(), _sets_of(table["set"]), percent)
 
     rows = blocks.join(sets, "node").select("block", "node", "set")
-    partitions = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = partitions_for(sets, ROWS_PER_PARTITION)
     return rows.repartition(partitions, "block").sortWithinPartitions("block", "node").mapInArrow(_by_block(work), _PAIRS)
 
 
@@ -407,7 +414,7 @@ def _pairs_left(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
         return pair_block(table["node"].to_numpy(), vectors, table["root"].to_numpy(), table["side"].to_numpy(), percent)
 
     rows = met.join(counts, "node").select("block", "node", "root", "side", "counts")
-    partitions = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = partitions_for(sets, ROWS_PER_PARTITION)
     pairs = rows.repartition(partitions, "block").sortWithinPartitions("block").mapInArrow(_by_block(work), _PAIRS)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 SHINGLE_WORDS = 5
 # Bytes worked on at once; the arrays of a step take about ten times as much.
 SEGMENT = 1 << 20
-GROUP = 4 << 20
+GROUP = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
