@@ -16,10 +16,12 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.llm.joins import partitions_for
 from pathloom.llm.text import plain, shingle_sets
 
 K = 128
 BUCKETS_PER_PARTITION = 4
+ROWS_PER_PARTITION = 8192
 
 
 def sketch(shingles: np.ndarray, k: int = K) -> np.ndarray:
@@ -131,7 +133,8 @@ def _with_next(docs: DataFrame) -> DataFrame:
     is moved once, and only one document per bucket twice.
     """
     spark = docs.sparkSession
-    buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = partitions_for(docs, ROWS_PER_PARTITION)
+    buckets = BUCKETS_PER_PARTITION * partitions
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     place = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))  # a null id comes last
     cuts = rows.filter("doc_id is not null").select(place.alias("place")).approxQuantile(
@@ -152,7 +155,7 @@ def _with_next(docs: DataFrame) -> DataFrame:
     spread = joined.select("doc_id", "text", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, lead))).alias("to"))
     return (
         spread.select("to.bucket", "to.lead", "doc_id", "text")
-        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket")
+        .repartition(partitions, "bucket")
         .sortWithinPartitions("bucket", "lead", F.col("doc_id").desc_nulls_last(), "text")
     )
 

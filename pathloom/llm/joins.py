@@ -1,4 +1,4 @@
-"""Left joins on keys of which one may hold a large part of all rows."""
+"""Left joins on keys of which one may hold a large part of all rows, and numbers of partitions."""
 
 from __future__ import annotations
 
@@ -10,6 +10,11 @@ from pathloom.scale import fits_broadcast
 BROADCAST_BYTES = 32 << 20
 
 
+def partitions_for(rows: DataFrame, rows_each: int) -> int:
+    """So many partitions that each holds about ``rows_each`` of ``rows``, and no fewer than the session asks for."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // rows_each))
+
+
 def left_join(facts: DataFrame, dimension: DataFrame, key: str, payload: Column | int = 16) -> DataFrame:
     """``facts`` with the columns of ``dimension``, whose keys are unique.
 
