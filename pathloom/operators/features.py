@@ -6,14 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, StructField, StructType
 
-from pathloom.functions.lookup import known_terms
+from pathloom.functions.lookup import KnownTerms, known_terms
 from pathloom.functions.weights import PositionWeight, PythonWeight, coefficients
-from pathloom.scale import BROADCAST_BYTES, cut_lineage, fits_broadcast, join_skewed
+from pathloom.scale import BROADCAST_BYTES, HOT_BYTES, HOT_KEYS, cut_lineage, fits_broadcast, join_skewed
 
 _DOUBLE_BYTES = 8
 # Terms whose vectors a task holds at a time: few enough for the processor cache.
@@ -32,13 +34,21 @@ def pair_terms(weighted: DataFrame) -> DataFrame:
     return weighted.select("id", "url", pairs.alias("split_urls_and_coefficients"))
 
 
+def _array_of_sums(size: int, prefix: str = "_sum_") -> Column:
+    return F.array(*[F.col(f"{prefix}{i}") for i in range(size)])
+
+
+def _sums(size: int) -> list[Column]:
+    return [F.sum(F.col("vector")[i] * F.col("coefficient")).alias(f"_sum_{i}") for i in range(size)]
+
+
 def vector_size_of(vectors: DataFrame) -> int:
     """Length of the vectors of a ``word, vector`` table; 0 if it is empty."""
     first = vectors.select(F.size(vector_to_array("vector"))).first()
     return 0 if first is None else first[0]
 
 
-def join_word_vectors(weighted: DataFrame, vectors: DataFrame, *,
+def join_word_vectors(weighted: DataFrame, vectors: DataFrame, *, hot_keys: int = HOT_KEYS,
                       broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row ``id, url, pos, word, coefficient, vector`` (``array<double>``) per term that has a word vector."""
     terms = (
@@ -47,7 +57,8 @@ def join_word_vectors(weighted: DataFrame, vectors: DataFrame, *,
         .select("id", "url", "pos", "_pair.word", "_pair.coefficient")
     )
     arrays = vectors.select("word", vector_to_array("vector").alias("vector"))
-    joined = join_skewed(terms, arrays, "word", payload=_DOUBLE_BYTES * F.size("vector"), broadcast_bytes=broadcast_bytes)
+    joined = join_skewed(terms, arrays, "word", payload=_DOUBLE_BYTES * F.size("vector"), hot_keys=hot_keys,
+                         broadcast_bytes=broadcast_bytes)
     return joined.select("id", "url", "pos", "word", "coefficient", "vector")
 
 
@@ -64,11 +75,10 @@ def mean_vectors(terms: DataFrame, vector_size: int) -> DataFrame:
     The sums combine on the map side. The vector is null where the coefficients sum to zero.
     """
     in_order = F.array_sort(F.collect_list(F.struct("pos", "word", "coefficient")))
-    sums = [F.sum(F.col("vector")[i] * F.col("coefficient")).alias(f"_sum_{i}") for i in range(vector_size)]
     total = F.col("_total")
     return (
         terms.groupBy("id", "url")
-        .agg(in_order.alias("_terms"), F.sum("coefficient").alias("_total"), *sums)
+        .agg(in_order.alias("_terms"), F.sum("coefficient").alias("_total"), *_sums(vector_size))
         .select(
             "id",
             "url",
@@ -79,72 +89,142 @@ def mean_vectors(terms: DataFrame, vector_size: int) -> DataFrame:
     )
 
 
-_MEAN_SCHEMA = "id long, url string, split_url array<string>, coefficients array<double>, vector array<double>"
+class SharedVectors:
+    """A table of word vectors that every task holds. One broadcast serves any number of feature sets; ``destroy`` it when they are computed."""
+
+    def __init__(self, vectors: DataFrame):
+        """:param vectors: ``word, vector`` with ``array<double>``, known to fit."""
+        table = vectors.toArrow()
+        components = np.array(table["vector"].combine_chunks().flatten())
+        self.size = len(components) // max(len(table), 1)
+        places = {word: place for place, word in enumerate(table["word"].to_pylist())}
+        self._shared = vectors.sparkSession.sparkContext.broadcast((places, components.reshape(len(table), self.size)))
+
+    @property
+    def value(self) -> tuple[dict[str, int], np.ndarray]:
+        return self._shared.value
+
+    def destroy(self) -> None:
+        self._shared.destroy()
+
+
+def share_vectors(vectors: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> SharedVectors | None:
+    """``vectors`` for every task, or None if they are larger than ``broadcast_bytes``."""
+    arrays = vectors.select("word", vector_to_array("vector").alias("vector"))
+    return SharedVectors(arrays) if fits_broadcast(arrays, "word", _DOUBLE_BYTES * F.size("vector"), broadcast_bytes) else None
+
+
+def _summed(batch: pa.RecordBatch, places: dict[str, int], vector_of: np.ndarray) -> tuple[KnownTerms, pa.Array, np.ndarray, np.ndarray]:
+    """The known terms of a batch, their coefficients, and per URL that has any the sum of coefficients and of weighted
+    vectors. Terms with a null coefficient add nothing."""
+    known = known_terms(batch["split_url"], places)
+    weights = batch["coefficients"].flatten().filter(known.found)
+    factor = weights.fill_null(0.0).to_numpy(zero_copy_only=False)
+    sums = np.zeros((len(known.rows), vector_of.shape[1]))
+    total = np.add.reduceat(factor, known.starts) if len(factor) else np.zeros(0)
+    for first in range(0, len(factor), _TERMS_AT_ONCE):
+        part = slice(first, first + _TERMS_AT_ONCE)
+        rows = known.row_of[part]
+        starts = np.flatnonzero(np.diff(rows, prepend=-1))
+        weighted_vectors = vector_of[known.word_at[part]]
+        weighted_vectors *= factor[part, None]
+        # A URL may reach over into the next part.
+        sums[rows[0] : rows[-1] + 1] += np.add.reduceat(weighted_vectors, starts)
+    return known, weights, total, sums
+
+
+def _lists(values: np.ndarray, mask: np.ndarray | None = None) -> pa.ListArray:
+    edges = np.arange(len(values) + 1, dtype=np.int32) * (values.shape[1] if len(values) else 0)
+    return pa.ListArray.from_arrays(edges, values.ravel(), mask=None if mask is None else pa.array(mask))
 
 
-def _means_in_tasks(weighted: DataFrame, vectors: DataFrame) -> DataFrame:
-    """:func:`mean_vectors` for word vectors (``word, vector`` as ``array<double>``) that fit every task: no term rows,
-    no join and no shuffle.
+def _with_fields(rows: DataFrame, *fields: tuple[str, DataType]) -> StructType:
+    return StructType([*rows.schema.fields, *(StructField(name, kind) for name, kind in fields)])
+
+
+def _means_in_tasks(weighted: DataFrame, shared: SharedVectors) -> DataFrame:
+    """:func:`mean_vectors` per row for word vectors that every task holds: no term rows, no join and no shuffle.
 
     Each Arrow batch of URLs looks its terms up in the word list and sums rows of the vector matrix per URL.
     """
-    table = vectors.toArrow()
-    components = np.array(table["vector"].combine_chunks().flatten())
-    matrix = components.reshape(len(table), len(components) // max(len(table), 1))
-    places = {word: place for place, word in enumerate(table["word"].to_pylist())}
-    shared = weighted.sparkSession.sparkContext.broadcast((places, matrix))
 
     def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, vector_of = shared.value
-        size = vector_of.shape[1]
         for batch in batches:
-            known = known_terms(batch["split_url"], places)
-            if not len(known.rows):
-                continue
-            weights = batch["coefficients"].flatten().filter(known.found)
-            factor = weights.to_numpy(zero_copy_only=False)
-            total = np.add.reduceat(factor, known.starts)
-            sums = np.zeros((len(known.rows), size))
-            for first in range(0, len(factor), _TERMS_AT_ONCE):
-                part = slice(first, first + _TERMS_AT_ONCE)
-                rows = known.row_of[part]
-                starts = np.flatnonzero(np.diff(rows, prepend=-1))
-                weighted_vectors = vector_of[known.word_at[part]]
-                weighted_vectors *= factor[part, None]
-                # A URL may reach over into the next part.
-                sums[rows[0] : rows[-1] + 1] += np.add.reduceat(weighted_vectors, starts)
+            known, weights, total, sums = _summed(batch, *shared.value)
             with np.errstate(divide="ignore", invalid="ignore"):
                 sums /= total[:, None]
-            edges = np.arange(len(known.rows) + 1, dtype=np.int32) * size
             at = pa.array(known.rows)
+            terms = known.regroup(batch["split_url"].flatten().filter(known.found))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch["id"].take(at),
-                    batch["url"].take(at),
-                    known.regroup(batch["split_url"].flatten().filter(known.found)),
-                    known.regroup(weights),
-                    pa.ListArray.from_arrays(edges, sums.ravel(), mask=pa.array(total == 0)),
-                ],
+                [batch["id"].take(at), batch["url"].take(at), terms, known.regroup(weights), _lists(sums, total == 0)],
                 names=["id", "url", "split_url", "coefficients", "vector"],
             )
 
-    return weighted.withColumn("id", F.col("id").cast("long")).mapInArrow(means, _MEAN_SCHEMA)
+    return weighted.mapInArrow(means, _with_fields(weighted, ("vector", ArrayType(DoubleType()))))
 
 
-def url_means(ranked: DataFrame, vectors: DataFrame, s: float, weight: PositionWeight | PythonWeight | None = None, *,
-              broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Weighted mean vector per URL of a ranked table, before standardization.
+def _means_beyond(ranked: DataFrame, weighted: DataFrame, vectors: DataFrame, hot_keys: int | None) -> DataFrame:
+    """:func:`mean_vectors` per row for word vectors of any size.
 
-    ``ranked`` has one row per URL. Word vectors within ``broadcast_bytes`` are applied inside the tasks that read the
-    URLs; larger ones are joined term by term, and that result is cut off from its shuffles as it is read repeatedly.
+    Ranks are frequencies, so the vectors of the first ranks, as many as ``HOT_BYTES`` hold, cover most terms; they are summed
+    inside the tasks that read the URLs. Only the other terms meet their vectors by a shuffle, and both sums are added.
     """
-    weighted = weighted_coefficients(ranked, s, weight)
     arrays = vectors.select("word", vector_to_array("vector").alias("vector"))
-    if fits_broadcast(arrays, "word", _DOUBLE_BYTES * F.size("vector"), broadcast_bytes):
-        means = _means_in_tasks(weighted, arrays)
-    else:
-        joined = join_word_vectors(weighted, vectors, broadcast_bytes=broadcast_bytes)
-        means = cut_lineage(mean_vectors(joined, vector_size_of(vectors)))
+    size, width = vector_size_of(vectors), _DOUBLE_BYTES * F.size("vector")
+    hot_keys = HOT_BYTES // (_DOUBLE_BYTES * max(size, 1) + 128) if hot_keys is None else hot_keys
+    ranks = ranked.select(F.explode(F.arrays_zip(F.col("split_url").alias("word"), F.col("word_frequency_orders").alias("rank"))).alias("_"))
+    words = cut_lineage(ranks.select("_.*").where(F.col("rank") <= hot_keys).select("word").distinct())
+    hot = arrays.join(F.broadcast(words) if fits_broadcast(words, "word", limit=HOT_BYTES) else words, "word", "left_semi")
+    hot = cut_lineage(hot)
+    while not fits_broadcast(hot, "word", width, HOT_BYTES):  # words longer than expected
+        hot_keys //= 2
+        hot = cut_lineage(hot.limit(hot_keys))
+    shared = SharedVectors(hot)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, vector_of = shared.value
+        for batch in batches:
+            known, _, total, sums = _summed(batch, places, vector_of)
+            all_sums, all_total = np.zeros((len(batch), size)), np.zeros(len(batch))
+            all_total[known.rows] = total
+            all_sums[known.rows] = sums if sums.shape[1] else 0
+            lists = batch["split_url"]
+            found = pa.ListArray.from_arrays(np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy())).astype(np.int32), known.found)
+            yield pa.RecordBatch.from_arrays([*batch.columns, found, pa.array(all_total), _lists(all_sums)],
+                                             names=[*batch.schema.names, "_found", "_total", "_sums"])
+
+    numbered = cut_lineage(weighted).withColumn("_row", F.monotonically_increasing_id())
+    doubles = ArrayType(DoubleType())
+    schema = _with_fields(numbered, ("_found", ArrayType(BooleanType())), ("_total", DoubleType()), ("_sums", doubles))
+    rows = cut_lineage(numbered.mapInArrow(partial, schema))
+    shared.destroy()
+    entries = F.arrays_zip(F.col("split_url").alias("word"), F.col("coefficients").alias("coefficient"), F.col("_found").alias("found"))
+    cold = rows.select("_row", F.posexplode(entries).alias("pos", "_")).where("not _.found").select("_row", "pos", "_.word", "_.coefficient")
+    met = cold.join(arrays.join(F.broadcast(hot.select("word")), "word", "left_anti"), "word")
+    added = met.groupBy("_row").agg(F.collect_list("pos").alias("_pos"), F.sum("coefficient").alias("_more"), *_sums(size))
+    added = added.select("_row", "_pos", "_more", _array_of_sums(size).alias("_added"))
+    kept = F.filter(entries, lambda e, i: e["found"] | F.coalesce(F.array_contains("_pos", i), F.lit(False)))
+    total = F.col("_total") + F.coalesce("_more", F.lit(0.0))
+    sums = F.when(F.col("_added").isNull(), F.col("_sums")).otherwise(
+        F.zip_with("_sums", "_added", lambda a, b: a + F.coalesce(b, F.lit(0.0))))
+    return cut_lineage(rows.join(added, "_row", "left").select(
+        "id", "url", F.transform(kept, lambda e: e["word"]).alias("split_url"),
+        F.transform(kept, lambda e: e["coefficient"]).alias("coefficients"),
+        F.when(total != 0, F.transform(sums, lambda x: x / total)).alias("vector"),
+    ))
+
+
+def url_means(ranked: DataFrame, vectors: DataFrame | SharedVectors, s: float, weight: PositionWeight | PythonWeight | None = None, *,
+              hot_keys: int | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Weighted mean vector per row of a ranked table, before standardization.
+
+    Every row gives its own row, also if an ``id, url`` repeats; ``id`` may be of any type and keeps it. A term with a null
+    coefficient stays in the arrays but adds nothing. Word vectors within ``broadcast_bytes``, and those that are shared
+    already, are applied inside the tasks that read the URLs; of larger ones only the ``hot_keys`` most frequent are.
+    """
+    weighted = weighted_coefficients(ranked, s, weight)
+    shared = vectors if isinstance(vectors, SharedVectors) else share_vectors(vectors, broadcast_bytes)
+    means = _means_in_tasks(weighted, shared) if shared else _means_beyond(ranked, weighted, vectors, hot_keys)
     with_vector = means.where(F.col("vector").isNotNull())
     return with_vector.withColumn("vector", array_to_vector("vector"))
 
@@ -157,11 +237,13 @@ def standardize(urls_and_vectors: DataFrame) -> DataFrame:
     return scaled.select(*[F.col("_scaled").alias(c) if c == "vector" else c for c in urls_and_vectors.columns])
 
 
-def url_features(ranked: DataFrame, vectors: DataFrame, s: float,
-                 weight: PositionWeight | PythonWeight | None = None, *,
+def url_features(ranked: DataFrame, vectors: DataFrame | SharedVectors, s: float,
+                 weight: PositionWeight | PythonWeight | None = None, *, hot_keys: int | None = None,
                  broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``id, url, split_url, coefficients, vector``: standardized mean vectors of the URLs.
 
-    A URL has no row if none of its terms has a vector or its coefficients sum to zero.
+    A URL has no row if none of its terms has a vector or its coefficients sum to zero. The means are computed once, for
+    the deviations, and kept for whoever reads the result.
     """
-    return standardize(url_means(ranked, vectors, s, weight, broadcast_bytes=broadcast_bytes))
+    means = url_means(ranked, vectors, s, weight, hot_keys=hot_keys, broadcast_bytes=broadcast_bytes)
+    return standardize(means.persist(StorageLevel.MEMORY_AND_DISK))

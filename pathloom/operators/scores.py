@@ -33,10 +33,12 @@ def align_labels(labels: DataFrame, clusters: DataFrame, *, broadcast_bytes: int
 
 
 def encode_labels(aligned: DataFrame, *, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Add ``label_id``: labels numbered from 1 in the order of their first id."""
+    """Add ``label_id``: labels numbered from 1 in the order of their first id; null is a label like any other."""
     first_seen = aligned.groupBy("label").agg(F.min("id").alias("_first"))
     codes = number_rows(first_seen, [F.asc("_first"), F.asc("label")], "label_id").select("label", "label_id")
-    return join_skewed(aligned, codes, "label", broadcast_bytes=broadcast_bytes)
+    named = join_skewed(aligned.where("label is not null"), codes.where("label is not null"), "label", broadcast_bytes=broadcast_bytes)
+    of_null = codes.where("label is null").agg(F.max("label_id")).scalar()
+    return named.unionByName(aligned.where("label is null").withColumn("label_id", of_null))
 
 
 def v_measure(assigned: DataFrame, label: str = "label", cluster: str = "cluster_id") -> DataFrame:

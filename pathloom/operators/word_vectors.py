@@ -11,21 +11,27 @@ from pyspark.sql import functions as F
 
 VECTOR_SIZE = 100
 WINDOW_SIZES = range(2, 6)
+# Rows are trained on in so many parts, whatever the size of the cluster, as the vectors depend on it.
+TRAINING_PARTITIONS = 8
+# Words times their size. Spark ML keeps the model in one array on the driver and in each task.
+MODEL_VALUES = 2**28
 
 
 def word_vectors(split: DataFrame, window_size: int, vector_size: int = VECTOR_SIZE, *,
-                 num_partitions: int | None = None, max_iter: int = 1, seed: int = 1) -> DataFrame:
+                 num_partitions: int = TRAINING_PARTITIONS, max_iter: int = 1, seed: int = 1,
+                 model_values: int = MODEL_VALUES) -> DataFrame:
     """``word, vector`` of every word in the term arrays ``split_url``.
 
-    :param num_partitions: training partitions, by default the parallelism of the cluster. One partition and a fixed
-        row order give the same vectors each time, but then a single task trains on all rows.
-
-    The model (words times ``vector_size`` floats) lives on the driver, as Spark ML has it; ``min_count`` of the
-    vocabulary bounds its number of words.
+    :param num_partitions: training partitions. One partition and a fixed row order give the same vectors each time, but
+        then a single task trains on all rows.
+    :param model_values: largest allowed number of words times ``vector_size``. The model lives on the driver, as Spark
+        ML has it, so a larger vocabulary is refused before the training begins.
     """
-    parallelism = num_partitions or split.sparkSession.sparkContext.defaultParallelism
+    words = split.select(F.explode("split_url").alias("word")).distinct().count()
+    if words * vector_size > model_values:
+        raise ValueError(f"{words} words times {vector_size} are more than {model_values} values: raise min_count of the vocabulary")
     estimator = Word2Vec(windowSize=window_size, vectorSize=vector_size, minCount=0, maxIter=max_iter, seed=seed,
-                         numPartitions=parallelism, inputCol="split_url", outputCol="url_vector")
+                         numPartitions=num_partitions, inputCol="split_url", outputCol="url_vector")
     return estimator.fit(split.select("split_url")).getVectors()
 
 

@@ -12,21 +12,22 @@ from pathloom.functions.weights import PositionWeight, PythonWeight
 from pathloom.operators import clustering, coordinates, scores, terms, timing, vocabulary, word_vectors
 from pathloom.operators.features import url_features
 from pathloom.plans.search import Score, SearchResult, Trial, random_trials, search_clusters
-from pathloom.sources.tables import UrlStore, read_labels, read_urls
+from pathloom.sources.tables import UrlStore, read_labels, read_urls, require_unique_ids
 
 Weight = PositionWeight | PythonWeight | None
 
 
 def split_urls(spark: SparkSession, store: UrlStore, urls_csv: str, term_sorter: TermSorter | None = None) -> None:
-    """Read the URL file and store its terms."""
-    store.write_split_urls(terms.split_urls(read_urls(spark, urls_csv), term_sorter))
+    """Read the URL file, check that no id repeats, and store its terms."""
+    store.write_split_urls(terms.split_urls(require_unique_ids(read_urls(spark, urls_csv)), term_sorter))
 
 
 def rank_terms(spark: SparkSession, store: UrlStore, min_count: int = vocabulary.MIN_COUNT,
-               max_ratio: float = vocabulary.MAX_RATIO, *, unique_ids: bool = False) -> None:
-    """Count, prune and rank the stored terms."""
+               max_ratio: float = vocabulary.MAX_RATIO, *, unique_ids: bool = False) -> int:
+    """Count, prune and rank the stored terms. Returns how many URLs kept no word and are therefore left out."""
     split = store.read_split_urls(spark)
     store.write_ranked_urls(vocabulary.rank_terms(split, min_count, max_ratio, unique_ids=unique_ids))
+    return vocabulary.dropped_urls(split, store.read_ranked_urls(spark)).count()
 
 
 def train_word_vectors(spark: SparkSession, store: UrlStore, window_sizes: Iterable[int] = word_vectors.WINDOW_SIZES,

@@ -9,15 +9,13 @@ from itertools import groupby, product
 from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.functions.vectors import is_zero
 from pathloom.functions.weights import PositionWeight, PythonWeight
-from pathloom.operators.clustering import MAX_ITER, ClusterModel, assign_clusters, fit_clusters
-from pathloom.operators.features import url_features
+from pathloom.operators.clustering import MAX_ITER, ClusterModel, assign_clusters, fit_clusters, without_zero_vectors
+from pathloom.operators.features import SharedVectors, share_vectors, standardize, url_features, url_means
 from pathloom.operators.scores import silhouette
+from pathloom.scale import cut_lineage
 
 # The searched ranges, bounds included.
 K_RANGE = (4, 20)
@@ -25,9 +23,6 @@ DISTANCE_MEASURES = ("euclidean", "cosine")
 WINDOW_RANGE = (2, 5)
 S_RANGE = (0.5, 5.0)
 
-# A search starts from this score; a result must beat it.
-LOWEST_SCORE = -1.0
-
 Score = Callable[[DataFrame], float]
 
 
@@ -70,15 +65,16 @@ def _has_two_clusters(clustered: DataFrame) -> bool:
     return clustered.select("cluster_id").distinct().limit(2).count() == 2
 
 
-def _has_zero_vector(features: DataFrame) -> bool:
-    return features.where(is_zero(vector_to_array("vector"))).limit(1).count() > 0
+def _clusterable(features: DataFrame, trial: Trial) -> DataFrame:
+    return without_zero_vectors(features) if trial.distance_measure == "cosine" else features
 
 
 def run_trial(features: DataFrame, trial: Trial, algorithm: str, score: Score | None = None, *,
               max_iter: int = MAX_ITER, seed: int = 1) -> tuple[float | None, ClusterModel | None]:
-    """Fit and score one trial on its (cached) features. No score if the clusters cannot be formed (cosine distance
-    with a zero vector) or only one came out."""
-    if trial.distance_measure == "cosine" and _has_zero_vector(features):
+    """Fit and score one trial on its (cached) features. Under cosine distance rows with a zero vector are in no cluster. No
+    score if no row is left or, without a score function, only one cluster came out."""
+    features = _clusterable(features, trial)
+    if not features.limit(1).count():
         return None, None
     model = fit_clusters(features, trial.k, trial.distance_measure, algorithm=algorithm, max_iter=max_iter, seed=seed)
     clustered = assign_clusters(model, features)
@@ -98,42 +94,54 @@ def search_clusters(ranked: DataFrame, vectors_of: Callable[[int], DataFrame], t
     :param vectors_of: the word vectors of a window size, e.g. a table read from a store.
     :param score: score of a clustered DataFrame, higher is better; by default the silhouette under the distance
         measure of the trial, so scores of different measures are compared as they are.
-    :param parallelism: feature sets worked on at a time. Each is cached while its trials run, fitting and scoring
-        included, and trials with equal ``window_size`` and ``s`` share one.
+    :param parallelism: feature sets worked on at a time. The means of each are cached while its trials run, scaling, fitting and
+        scoring included, and trials with equal ``window_size`` and ``s`` share them. The word vectors of a window size are
+        shared by all of its feature sets.
     """
 
-    def feature_key(at: int) -> tuple[int, float]:
-        return trials[at].window_size, trials[at].s
-
-    def features_of(trial: Trial) -> DataFrame:
-        return url_features(ranked, vectors_of(trial.window_size), trial.s, weight)
-
-    def run_group(group: list[int]) -> list[tuple[int, float | None, ClusterModel | None]]:
-        features = features_of(trials[group[0]]).persist(StorageLevel.MEMORY_AND_DISK)
+    def run_group(shared: SharedVectors | DataFrame, group: list[int]) -> list[tuple[int, float | None, ClusterModel | None]]:
+        means = url_means(ranked, shared, trials[group[0]].s, weight).persist(StorageLevel.MEMORY_AND_DISK)
         try:
+            features = standardize(means)
             return [(at, *run_trial(features, trials[at], algorithm, score, max_iter=max_iter, seed=seed)) for at in group]
         finally:
-            features.unpersist()
+            means.unpersist()
 
-    groups = [list(group) for _, group in groupby(sorted(range(len(trials)), key=feature_key), key=feature_key)]
     spark = ranked.sparkSession
-    if parallelism > 1:
-        with ThreadPool(parallelism) as pool:
-            outcomes = pool.map(inheritable_thread_target(spark)(run_group), groups)
-    else:
-        outcomes = [run_group(group) for group in groups]
-
-    best, best_score, best_model = None, LOWEST_SCORE, None
+    shares: dict[int, SharedVectors | DataFrame] = {}
+    for size in sorted({trial.window_size for trial in trials}):
+        shares[size] = share_vectors(vectors_of(size)) or vectors_of(size)
+    try:
+        keys = [(trial.window_size, trial.s) for trial in trials]
+        groups = [list(group) for _, group in groupby(sorted(range(len(trials)), key=keys.__getitem__), key=keys.__getitem__)]
+        work = [(shares[trials[group[0]].window_size], group) for group in groups]
+        if parallelism > 1:
+            with ThreadPool(parallelism) as pool:
+                outcomes = pool.starmap(inheritable_thread_target(spark)(run_group), work)
+        else:
+            outcomes = [run_group(*each) for each in work]
+        return _result(spark, ranked, shares, trials, [outcome for group in outcomes for outcome in group], algorithm, weight)
+    finally:
+        for shared in shares.values():
+            if isinstance(shared, SharedVectors):
+                shared.destroy()
+
+
+def _result(spark: SparkSession, ranked: DataFrame, shares: dict, trials: Sequence[Trial], outcomes: list, algorithm: str,
+            weight: PositionWeight | PythonWeight | None) -> SearchResult:
+    best, best_score, best_model = None, None, None
     rows = []
-    for at, value, model in sorted((outcome for group in outcomes for outcome in group), key=lambda o: o[0]):
+    for at, value, model in sorted(outcomes, key=lambda outcome: outcome[0]):
         trial = trials[at]
         rows.append((at + 1, algorithm, trial.k, trial.distance_measure, trial.window_size, trial.s, value))
-        if value is not None and value > best_score:
+        if value is not None and value == value and (best_score is None or value > best_score):
             best, best_score, best_model = trial, value, model
     table = spark.createDataFrame(
         rows, "trial int, algorithm string, k int, distance_measure string, window_size int, s double, score double"
     )
     if best is None:
         return SearchResult(table, None, None, None, None)
-    clustered = assign_clusters(best_model, features_of(best)).select("id", "url", "cluster_id", "vector")
+    features = _clusterable(url_features(ranked, shares[best.window_size], best.s, weight), best)
+    # Computed now, as the shared vectors end with the search.
+    clustered = cut_lineage(assign_clusters(best_model, features).select("id", "url", "cluster_id", "vector"))
     return SearchResult(table, best, best_score, best_model, clustered)

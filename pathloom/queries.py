@@ -309,9 +309,9 @@ def vocabulary_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.vocabulary(_split(spark, sf_dir))
 
 
-@query(f'WITH {_vocabulary_sql(10)} SELECT word, "count" FROM vocabulary ORDER BY "count" DESC, word LIMIT 20')
+@query(f'WITH {_vocabulary_sql(10)} SELECT word, "count" FROM vocabulary ORDER BY "count" DESC, word LIMIT 10')
 def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocabulary.top_terms(_split(spark, sf_dir), 20)
+    return vocabulary.top_terms(_split(spark, sf_dir), 10)
 
 
 @query(f"WITH {_vocabulary_sql(MIN_COUNT)} SELECT id, url, pos, word, word_frequency_order FROM kept")
@@ -324,8 +324,8 @@ def prune_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_vocabulary_sql(MIN_COUNT)} SELECT id, url, pos, word, word_frequency_order FROM kept")
 def prune_terms_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = _split(spark, sf_dir)
-    words = vocabulary.vocabulary(split, MIN_COUNT)
-    kept = vocabulary.prune_terms(terms.explode_terms(split), words, broadcast_bytes=0)
+    words = vocabulary.vocabulary(split, MIN_COUNT, one_task_rows=0)
+    kept = vocabulary.prune_terms(terms.explode_terms(split), words, hot_keys=5, broadcast_bytes=0)
     return kept.select("id", "url", "pos", "word", "word_frequency_order")
 
 
@@ -339,10 +339,35 @@ def ranked_terms_in_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked_result(vocabulary.rank_terms(_split(spark, sf_dir), MIN_COUNT, unique_ids=True))
 
 
-@query(f"WITH {_vocabulary_sql(500)} SELECT id, url FROM split WHERE id NOT IN (SELECT id FROM kept)")
+@query(_RANKED_RESULT)
+def ranked_terms_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As for a vocabulary that fits no task, with few hot words."""
+    split = _split(spark, sf_dir)
+    return _ranked_result(vocabulary.rank_terms(split, MIN_COUNT, hot_keys=5, one_task_rows=0, broadcast_bytes=0))
+
+
+def _ranked_names_sql() -> str:
+    return _RANKED_RESULT.replace("SELECT id, url, string_agg", "SELECT 'page ' || id AS id, url, string_agg")
+
+
+def _named_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _split(spark, sf_dir).withColumn("id", F.concat(F.lit("page "), F.col("id").cast("string")))
+
+
+@query(_ranked_names_sql())
+def ranked_terms_string_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked_result(vocabulary.rank_terms(_named_pages(spark, sf_dir), MIN_COUNT, unique_ids=True))
+
+
+@query(_ranked_names_sql())
+def ranked_terms_string_ids_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked_result(vocabulary.rank_terms(_named_pages(spark, sf_dir), MIN_COUNT, hot_keys=5, broadcast_bytes=0))
+
+
+@query(f"WITH {_vocabulary_sql(40)} SELECT id, url FROM split WHERE id NOT IN (SELECT id FROM kept)")
 def dropped_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = _split(spark, sf_dir)
-    return vocabulary.dropped_urls(split, vocabulary.rank_terms(split, 500))
+    return vocabulary.dropped_urls(split, vocabulary.rank_terms(split, 40))
 
 
 # ---------------------------------------------------------------- features
@@ -403,7 +428,7 @@ def join_word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_KNOWN)
 def join_word_vectors_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_dimension(_known_terms(spark, sf_dir, broadcast_bytes=0), "vector", "id", "pos", "word")
+    return _by_dimension(_known_terms(spark, sf_dir, hot_keys=5, broadcast_bytes=0), "vector", "id", "pos", "word")
 
 
 @query(f"WITH {_VECTORS} SELECT id, pos, word, d, round(x * coefficient, 6) + 0.0 AS value FROM known_values")
@@ -429,11 +454,26 @@ def mean_vectors_in_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_dimension(means.withColumn("array", vector_to_array("vector")), "array", "id", "url")
 
 
+@query(_MEANS)
+def mean_vectors_beyond(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As for word vectors that fit no task: five words are summed in tasks, all others are joined."""
+    means = features.url_means(_ranked(spark, sf_dir), _borrowed_vectors(spark, sf_dir), S, hot_keys=5, broadcast_bytes=0)
+    return _by_dimension(means.withColumn("array", vector_to_array("vector")), "array", "id", "url")
+
+
+@query(f"WITH {_VECTORS} SELECT 'page ' || id AS id, url, d, round(value, 6) + 0.0 AS value FROM means")
+def mean_vectors_string_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = _ranked(spark, sf_dir).withColumn("id", F.concat(F.lit("page "), F.col("id").cast("string")))
+    means = features.url_means(ranked, _borrowed_vectors(spark, sf_dir), S)
+    return _by_dimension(means.withColumn("array", vector_to_array("vector")), "array", "id", "url")
+
+
 @query(f"""WITH {_VECTORS}
 SELECT id, url, string_agg(word, '|' ORDER BY pos) AS terms, round(sum(coefficient), 6) + 0.0 AS total FROM known
 GROUP BY id, url""")
 def rebuilt_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rebuilt = features.mean_vectors(_known_terms(spark, sf_dir), 1)
+    size = features.vector_size_of(_borrowed_vectors(spark, sf_dir))
+    rebuilt = features.mean_vectors(_known_terms(spark, sf_dir), size)
     total = F.aggregate("coefficients", F.lit(0.0), lambda a, b: a + b)
     return rebuilt.select("id", "url", _joined("split_url").alias("terms"), _six(total).alias("total"))
 
@@ -460,57 +500,112 @@ def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_dimension(table.withColumn("array", vector_to_array("vector")), "array", "id")
 
 
-# ---------------------------------------------------------------- word vectors and clusters (no SQL counterpart)
+# ---------------------------------------------------------------- word vectors and clusters
+
+
+def _trained_words(vectors: DataFrame, *keys: str) -> DataFrame:
+    array = vector_to_array("vector")
+    finite = F.forall(array, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return vectors.select(*keys, "word", F.size(array).alias("dimensions"), finite.alias("finite"))
 
 
-@query()
+# What SQL can know of trained vectors: whose they are, how long, and that they are numbers.
+@query(f"WITH {_vocabulary_sql(MIN_COUNT)} SELECT word, 100 AS dimensions, true AS finite FROM (SELECT DISTINCT word FROM kept)")
 def word_vectors_of_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = word_vectors.word_vectors(_ranked(spark, sf_dir), window_size=4)
-    return _by_dimension(vectors.withColumn("array", vector_to_array("vector")), "array", "word")
+    return _trained_words(word_vectors.word_vectors(_ranked(spark, sf_dir), window_size=4))
 
 
-@query()
+@query(f"""WITH {_vocabulary_sql(MIN_COUNT)}
+SELECT window_size::INTEGER AS window_size, word, 100 AS dimensions, true AS finite
+FROM (SELECT DISTINCT word FROM kept), (SELECT unnest([2, 3, 4, 5]) AS window_size)""")
 def word_vectors_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = word_vectors.word_vectors_by_window(_ranked(spark, sf_dir), vector_size=16)
-    return _by_dimension(vectors.withColumn("array", vector_to_array("vector")), "array", "window_size", "word")
+    return _trained_words(word_vectors.word_vectors_by_window(_ranked(spark, sf_dir)), "window_size")
 
 
-@query()
+def _apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings with one more, large dimension per label, so that the clusters are the labels."""
+    vectors = _embeddings(spark, sf_dir)
+    labels = [row.label for row in vectors.select("label").distinct().orderBy("label").collect()]
+    more = F.array(*[F.when(F.col("label") == label, 1000.0).otherwise(0.0) for label in labels])
+    return vectors.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("url"),
+                          array_to_vector(F.concat("embedding", more)).alias("vector"))
+
+
+def _halved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings with three more dimensions whose signs are the bits of the label, each ten times the next."""
+    bits = F.array(*[F.when(F.shiftright("label", bit).bitwiseAND(F.lit(1)) == 1, size).otherwise(-size)
+                     for bit, size in ((2, 1e5), (1, 1e4), (0, 1e3))])
+    return _embeddings(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("url"),
+                                             array_to_vector(F.concat("embedding", bits)).alias("vector"))
+
+
+def _by_first(clustered: DataFrame, *columns: str) -> DataFrame:
+    """Every cluster named by its smallest id."""
+    first = clustered.groupBy("cluster_id").agg(F.min("id").alias("first_of_cluster"))
+    return clustered.join(first, "cluster_id").select("id", *columns, "first_of_cluster")
+
+
+_BY_LABEL = "SELECT vec_id AS id, min(vec_id) OVER (PARTITION BY label) AS first_of_cluster FROM embeddings"
+_BY_BITS = "SELECT vec_id AS id, min(vec_id) OVER (PARTITION BY label % 8) AS first_of_cluster FROM embeddings"
+
+
+def _n_labels(spark: SparkSession, sf_dir: str) -> int:
+    return _table(spark, sf_dir, "embeddings").select("label").distinct().count()
+
+
+@query(_BY_LABEL)
 def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.cluster_urls(_vector_rows(spark, sf_dir), 10).select("id", "cluster_id")
+    return _by_first(clustering.cluster_urls(_apart(spark, sf_dir), _n_labels(spark, sf_dir)))
 
 
-@query()
+@query(_BY_LABEL)
 def kmeans_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.cluster_urls(_vector_rows(spark, sf_dir), 10, "cosine").select("id", "cluster_id")
+    return _by_first(clustering.cluster_urls(_apart(spark, sf_dir), _n_labels(spark, sf_dir), "cosine"))
 
 
-@query()
+@query(_BY_BITS)
 def bisecting_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clustered = clustering.cluster_urls(_vector_rows(spark, sf_dir), 10, algorithm="bisecting_kmeans")
-    return clustered.select("id", "cluster_id")
+    return _by_first(clustering.cluster_urls(_halved(spark, sf_dir), 8, algorithm="bisecting_kmeans"))
 
 
-@query()
+# Under cosine distance only the largest of the three dimensions gives a direction.
+@query("SELECT vec_id AS id, min(vec_id) OVER (PARTITION BY label % 8 >= 4) AS first_of_cluster FROM embeddings")
 def bisecting_kmeans_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clustered = clustering.cluster_urls(_vector_rows(spark, sf_dir), 10, "cosine", algorithm="bisecting_kmeans")
-    return clustered.select("id", "cluster_id")
+    return _by_first(clustering.cluster_urls(_halved(spark, sf_dir), 2, "cosine", algorithm="bisecting_kmeans"))
 
 
-def _stored_clusters(spark: SparkSession, sf_dir: str, algorithm: str) -> DataFrame:
+def _label_store(spark: SparkSession, sf_dir: str, windows: tuple[int, ...] = (4,)) -> UrlStore:
+    """A store in which every URL is one term, its label, and every label has a direction of its own, so that the clusters are the labels."""
     store = UrlStore(_scratch(spark))
-    store.write_ranked_urls(_ranked(spark, sf_dir))
-    jobs.train_word_vectors(spark, store, [4])
-    jobs.cluster_urls(spark, store, 10, "cosine", 3.0, 4, algorithm=algorithm)
-    return store.read_clustered_urls(spark, algorithm).select("id", "url", "cluster_id")
+    rows = _table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), F.concat(F.lit("http://example.com/"), "label", F.lit("/"), "vec_id").alias("url"),
+        F.array(F.col("label").cast("string")).alias("split_url"), F.array((F.col("label") + 1).cast("long")).alias("word_frequency_orders"),
+    )
+    store.write_ranked_urls(rows)
+    labels = [row.label for row in rows.select(F.col("split_url")[0].alias("label")).distinct().orderBy("label").collect()]
+    one_hot = F.array(*[F.when(F.col("word") == label, 1.0).otherwise(0.0) for label in labels])
+    words = rows.select(F.col("split_url")[0].alias("word")).distinct().select("word", array_to_vector(one_hot).alias("vector"))
+    for window in windows:
+        store.write_word_vectors(words, window)
+    return store
+
+
+_STORED_BY_LABEL = """SELECT vec_id AS id, 'http://example.com/' || label || '/' || vec_id AS url,
+  min(vec_id) OVER (PARTITION BY label) AS first_of_cluster FROM embeddings"""
+
+
+def _stored_clusters(spark: SparkSession, sf_dir: str, algorithm: str) -> DataFrame:
+    store = _label_store(spark, sf_dir)
+    jobs.cluster_urls(spark, store, _n_labels(spark, sf_dir), "euclidean", 3.0, 4, algorithm=algorithm)
+    return _by_first(store.read_clustered_urls(spark, algorithm), "url")
 
 
-@query()
+@query(_STORED_BY_LABEL)
 def cluster_urls_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored_clusters(spark, sf_dir, "kmeans")
 
 
-@query()
+@query(_STORED_BY_LABEL)
 def cluster_urls_bisecting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored_clusters(spark, sf_dir, "bisecting_kmeans")
 
@@ -621,23 +716,56 @@ def evaluate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _six_scores(scores.evaluate_clusters(_clusters(spark, sf_dir), _labels(spark, sf_dir)))
 
 
-def _search(spark: SparkSession, sf_dir: str, trials: list, algorithm: str) -> DataFrame:
-    ranked = _ranked(spark, sf_dir).persist()
-    try:
-        trained = {size: word_vectors.word_vectors(ranked, size, 16) for size in sorted({t.window_size for t in trials})}
-        return search_clusters(ranked, trained.__getitem__, trials, algorithm=algorithm).trials
-    finally:
-        ranked.unpersist()
+# Scored by their number of clusters, so that SQL knows every score and the best trial.
+_KS, _WINDOWS, _EXPONENTS = (2, 3, 4, 5, 6), (3, 4), (1.0, 2.0)
+_TRIALS = f"""trials AS (
+  SELECT row_number() OVER (ORDER BY window_size, s, k)::INTEGER AS trial, k::INTEGER AS k, window_size::INTEGER AS window_size, s::DOUBLE AS s,
+         least(k, (SELECT count(DISTINCT label) FROM embeddings))::DOUBLE AS score
+  FROM (SELECT unnest({list(_KS)}) AS k), (SELECT unnest({list(_WINDOWS)}) AS window_size), (SELECT unnest({list(_EXPONENTS)}) AS s))"""
+
+
+def _n_clusters(clustered: DataFrame) -> float:
+    return float(clustered.select("cluster_id").distinct().count())
+
+
+def _searched(spark: SparkSession, sf_dir: str, algorithm: str) -> DataFrame:
+    store = _label_store(spark, sf_dir, _WINDOWS)
+    trials = grid_trials(_KS, ["euclidean"], _WINDOWS, _EXPONENTS)
+    result = jobs.search_clusters_stored(spark, store, trials, algorithm=algorithm, score=_n_clusters)
+    stored = store.read_clustered_urls(spark, algorithm)
+    rows, clusters = stored.count(), stored.select("cluster_id").distinct().count()
+    best = F.col("trial") == trials.index(result.best) + 1
+    return result.trials.select("trial", "algorithm", "k", "distance_measure", "window_size", "s", "score", best.alias("is_best"),
+                                F.when(best, F.lit(rows)).alias("stored_rows"), F.when(best, F.lit(clusters)).alias("stored_clusters"))
+
 
+def _searched_sql(algorithm: str) -> str:
+    return f"""WITH {_TRIALS},
+best AS (SELECT min(trial) AS trial FROM trials WHERE score = (SELECT max(score) FROM trials))
+SELECT t.trial, '{algorithm}' AS algorithm, k, 'euclidean' AS distance_measure, window_size, s, score, t.trial = b.trial AS is_best,
+       CASE WHEN t.trial = b.trial THEN (SELECT count(*) FROM embeddings)::INTEGER END AS stored_rows,
+       CASE WHEN t.trial = b.trial THEN score::INTEGER END AS stored_clusters
+FROM trials t, best b"""
 
-@query()
+
+@query(_searched_sql("kmeans"))
 def search_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _search(spark, sf_dir, random_trials(3, seed=11), "kmeans")
+    return _searched(spark, sf_dir, "kmeans")
 
 
-@query()
+@query(_searched_sql("bisecting_kmeans"))
 def search_bisecting_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _search(spark, sf_dir, grid_trials([4, 6], ["euclidean"], [3], [1.0]), "bisecting_kmeans")
+    return _searched(spark, sf_dir, "bisecting_kmeans")
+
+
+@query("""SELECT unnest(range(1, 21))::INTEGER AS trial, true AS in_range""")
+def search_random_silhouettes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty random trials over trained vectors of the pages: every score is a silhouette or missing."""
+    ranked = _ranked(spark, sf_dir)
+    trials = random_trials(20, seed=11)
+    trained = {size: cut_lineage(word_vectors.word_vectors(ranked, size)) for size in sorted({t.window_size for t in trials})}
+    found = search_clusters(ranked, trained.__getitem__, trials).trials
+    return found.select("trial", F.coalesce(F.abs("score") <= 1, F.lit(True)).alias("in_range"))
 
 
 # ---------------------------------------------------------------- presentation and timing
@@ -649,17 +777,135 @@ def attach_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coordinates.attach_labels(_clusters(spark, sf_dir), _labels(spark, sf_dir))
 
 
-@query()
-def plane_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clustered = clustering.cluster_urls(_vector_rows(spark, sf_dir), 10)
-    labels = _embeddings(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("label"))
-    plane = coordinates.plane_coordinates(coordinates.attach_labels(clustered, labels))
+# Two dimensions, the sums of both halves of an embedding, so that SQL has the components in closed form.
+_PLANE = """halves AS (
+  SELECT vec_id, label, list_sum(embedding[1:len(embedding) // 2]::DOUBLE[]) AS a, list_sum(embedding[len(embedding) // 2 + 1:]::DOUBLE[]) AS b
+  FROM embeddings),
+angle AS (SELECT 0.5 * atan2(2 * covar_samp(a, b), var_samp(a) - var_samp(b)) AS t FROM halves),
+signs AS (
+  SELECT t, sign(CASE WHEN abs(cos(t)) >= abs(sin(t)) THEN cos(t) ELSE sin(t) END) AS first,
+         sign(CASE WHEN abs(sin(t)) >= abs(cos(t)) THEN -sin(t) ELSE cos(t) END) AS second FROM angle),
+plane AS (
+  SELECT vec_id, label, round((a * cos(t) + b * sin(t)) * first, 6) + 0.0 AS x, round((b * cos(t) - a * sin(t)) * second, 6) + 0.0 AS y
+  FROM halves, signs)"""
+
+
+def _half_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    half = F.floor(F.size("embedding") / 2).cast("int")
+    total = lambda array: F.aggregate(array, F.lit(0.0), lambda a, x: a + x)
+    halves = F.array(total(F.slice("embedding", F.lit(1), half)), total(F.slice("embedding", half + 1, F.size("embedding"))))
+    return _embeddings(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("url"),
+                                             F.col("label").cast("int").alias("cluster_id"), array_to_vector(halves).alias("vector"))
+
+
+def _vector_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _embeddings(spark, sf_dir).select(F.col("vec_id").alias("id"), F.concat(F.lit("label "), "label").alias("label"))
+
+
+def _plane_result(plane: DataFrame) -> DataFrame:
     return plane.select(_six("x").alias("x"), _six("y").alias("y"), "id", "url", "label", "cluster_id")
 
 
-@query()
+_PLANE_RESULT = f"""WITH {_PLANE}
+SELECT x, y, vec_id AS id, label::VARCHAR AS url, 'label ' || label AS label, label AS cluster_id FROM plane"""
+
+
+@query(_PLANE_RESULT)
+def plane_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = coordinates.attach_labels(_half_sums(spark, sf_dir), _vector_labels(spark, sf_dir))
+    return _plane_result(coordinates.plane_coordinates(labelled))
+
+
+_PROFILE = """SELECT 'kmeans' AS algorithm, (SELECT count(*) FROM embeddings) AS n_rows, unnest(range(1, 11))::INTEGER AS run, true AS timed"""
+
+
+@query(_PROFILE)
 def profile_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timing.profile_fit(_vector_rows(spark, sf_dir), 10, runs=2)
+    timings = timing.profile_fit(_vector_rows(spark, sf_dir), 10)
+    return timings.select("algorithm", "n_rows", "run", (F.col("millis") >= 0).alias("timed"))
+
+
+# ---------------------------------------------------------------- the jobs, over files and a store
+
+
+def _csv(table: DataFrame, spark: SparkSession) -> str:
+    path = _scratch(spark)
+    table.write.csv(path, header=True)
+    return path
+
+
+@query(_SPLIT_RESULT)
+def job_split_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = UrlStore(_scratch(spark))
+    jobs.split_urls(spark, store, _csv(_urls(spark, sf_dir), spark))
+    return _split_result(store.read_split_urls(spark))
+
+
+@query(f"""WITH {_vocabulary_sql(40)},
+ranked AS (
+  SELECT id, url, string_agg(word, '|' ORDER BY pos) AS terms, string_agg(word_frequency_order, '|' ORDER BY pos) AS orders
+  FROM kept GROUP BY id, url)
+SELECT id, url, terms, orders, (SELECT count(*) FROM pages) - (SELECT count(*) FROM ranked) AS dropped FROM ranked""")
+def job_rank_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = UrlStore(_scratch(spark))
+    jobs.split_urls(spark, store, _csv(_urls(spark, sf_dir), spark))
+    dropped = jobs.rank_terms(spark, store, min_count=40)
+    return _ranked_result(store.read_ranked_urls(spark)).withColumn("dropped", F.lit(dropped).cast("long"))
+
+
+def _stored_label_clusters(spark: SparkSession, sf_dir: str, clustered: DataFrame) -> UrlStore:
+    store = UrlStore(_scratch(spark))
+    store.write_clustered_urls(clustered, "kmeans")
+    return store
+
+
+# Labels stand behind other columns, and some are missing.
+@query(f"""WITH assigned AS (
+  SELECT CASE WHEN vec_id % 7 = 0 THEN NULL ELSE 'label ' || label END AS label, vec_id % 4 AS cluster_id FROM embeddings),
+{_v_measure_sql('assigned')}""".replace("JOIN by_label l USING (label)", "JOIN by_label l ON p.label IS NOT DISTINCT FROM l.label"))
+def job_evaluate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clustered = _half_sums(spark, sf_dir).withColumn("cluster_id", (F.col("id") % 4).cast("int"))
+    labels = _vector_labels(spark, sf_dir).select(
+        F.lit("test").alias("source"), "id", F.when(F.col("id") % 7 != 0, F.col("label")).alias("label"))
+    store = _stored_label_clusters(spark, sf_dir, clustered)
+    return _six_scores(jobs.evaluate_clusters(spark, store, _csv(labels, spark)))
+
+
+@query(_PLANE_RESULT)
+def job_plane_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _stored_label_clusters(spark, sf_dir, _half_sums(spark, sf_dir))
+    return _plane_result(jobs.plane_coordinates(spark, store, _csv(_vector_labels(spark, sf_dir), spark)))
+
+
+@query("""SELECT 'kmeans' AS algorithm, (SELECT count(*) FROM embeddings) AS n_rows, 10::BIGINT AS runs, true AS timed""")
+def job_profile_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    summary = jobs.profile_clusters(spark, _label_store(spark, sf_dir), 4, "euclidean", 1.5, 4)
+    return summary.select("algorithm", "n_rows", "runs", ((F.col("mean_millis") >= 0) & (F.col("std_millis") >= 0)).alias("timed"))
+
+
+@query("""WITH aligned AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE source END AS label FROM documents),
+codes AS (SELECT label, row_number() OVER (ORDER BY min(id)) AS label_id FROM aligned GROUP BY label)
+SELECT a.id, a.label, c.label_id FROM aligned a JOIN codes c ON a.label IS NOT DISTINCT FROM c.label""")
+def encode_null_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _labels(spark, sf_dir).withColumn("label", F.when(F.col("id") % 5 != 0, F.col("label")))
+    return scores.encode_labels(labels).select("id", "label", "label_id")
+
+
+@query("SELECT doc_id AS id, source AS label FROM documents")
+def csv_labels_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "documents").select("lang", F.col("source").alias("label"), F.col("doc_id").alias("id"))
+    return read_labels(spark, _csv(table, spark))
+
+
+@query("SELECT vec_id AS id, label::VARCHAR AS url, label AS cluster_id FROM embeddings")
+def emptied_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An empty table replaces its slice and leaves the other one."""
+    clustered = _half_sums(spark, sf_dir)
+    store = _stored_label_clusters(spark, sf_dir, clustered)
+    store.write_clustered_urls(clustered, "bisecting_kmeans")
+    store.write_clustered_urls(clustered.where("cluster_id < 0"), "kmeans")
+    both = [store.read_clustered_urls(spark, algorithm) for algorithm in ("kmeans", "bisecting_kmeans")]
+    return both[0].unionByName(both[1]).select("id", "url", "cluster_id")
 
 
 # The events' values stand for measured times, their type for the algorithm, the user for the number of rows.

@@ -14,6 +14,8 @@ BROADCAST_BYTES = 128 * 1024 * 1024
 ONE_TASK_ROWS = 100_000
 # At most this many keys are treated as hot. Any other key holds less than 1/HOT_KEYS of all rows.
 HOT_KEYS = 10_000
+# What is broadcast of the hot keys stays below this many bytes.
+HOT_BYTES = BROADCAST_BYTES
 # Hash table and row header cost per broadcast row, on top of key and payload.
 _ROW_OVERHEAD = 64
 # monotonically_increasing_id() keeps the partition in the upper bits and the row within it in the lower 33.
@@ -87,20 +89,25 @@ def most_frequent_keys(facts: DataFrame, key: str, n: int = HOT_KEYS) -> DataFra
 
 
 def join_skewed(facts: DataFrame, dimension: DataFrame, key: str, *, payload: Column | int = 16,
-                hot: DataFrame | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+                hot: DataFrame | None = None, hot_keys: int = HOT_KEYS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Inner equi-join of ``facts`` with a ``dimension`` of unique keys, safe for keys that hold most of the facts.
 
     A dimension that fits is broadcast, and the facts are not moved at all. Beyond that size only its share of the
-    ``hot`` keys (at most ``HOT_KEYS`` rows) is broadcast and meets the hot facts where they are; the remaining facts,
-    none of whose keys is large, are shuffled. Both parts together are the whole join.
+    ``hot`` keys is broadcast and meets the hot facts where they are; the remaining facts, none of whose keys is large,
+    are shuffled. Both parts together are the whole join, whichever keys count as hot.
 
     :param payload: bytes per row of ``dimension`` beside the key.
-    :param hot: one column ``key`` with at most ``HOT_KEYS`` rows; counted from ``facts`` if not given.
+    :param hot: one column ``key`` with at most ``hot_keys`` rows, counted from ``facts`` if not given. Fewer are used
+        while their part of the dimension is larger than ``HOT_BYTES``.
     """
     if fits_broadcast(dimension, key, payload, broadcast_bytes):
         return facts.join(F.broadcast(dimension), key)
-    hot = cut_lineage(most_frequent_keys(facts, key) if hot is None else hot.select(key))
-    hot_dimension = dimension.join(F.broadcast(hot), key, "left_semi")
+    hot = cut_lineage(most_frequent_keys(facts, key, hot_keys) if hot is None else hot.select(key))
+    hot_dimension = cut_lineage(dimension.join(F.broadcast(hot), key, "left_semi"))
+    while not fits_broadcast(hot_dimension, key, payload, HOT_BYTES):
+        hot_keys //= 2
+        hot_dimension = cut_lineage(hot_dimension.limit(hot_keys))
+        hot = hot_dimension.select(key)
     hot_rows = facts.join(F.broadcast(hot_dimension), key)
     other_rows = facts.join(F.broadcast(hot), key, "left_anti").join(dimension, key)
     return hot_rows.unionByName(other_rows)

@@ -6,9 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from pathloom.schemas import LABELS, URLS
+from pathloom.schemas import CLUSTERED_URLS, LABELS, RANKED_URLS, SPLIT_URLS, URLS, WORD_VECTORS
 
 
 def _read_csv(spark: SparkSession, path: str, schema: StructType, mode: str, corrupt_column: str | None) -> DataFrame:
@@ -28,8 +28,18 @@ def read_urls(spark: SparkSession, path: str, mode: str = "PERMISSIVE", corrupt_
 
 
 def read_labels(spark: SparkSession, path: str, mode: str = "PERMISSIVE", corrupt_column: str | None = None) -> DataFrame:
-    """``id, label`` from CSV with a header; further columns as in :func:`read_urls`."""
-    return _read_csv(spark, path, LABELS, mode, corrupt_column)
+    """``id, label`` from CSV whose header names them, in any order and beside any other columns.
+
+    ``mode`` and ``corrupt_column`` as in :func:`read_urls`. A file without one of the columns is an error.
+    """
+    header = spark.read.csv(path, header=True, inferSchema=False).columns
+    missing = [field.name for field in LABELS if field.name not in header]
+    if missing:
+        raise ValueError(f"{path} has no column {' and '.join(missing)}, only {', '.join(header)}")
+    kinds = {field.name: field.dataType for field in LABELS}
+    schema = StructType([StructField(name, kinds.get(name, StringType())) for name in header])
+    kept = [field.name for field in LABELS] + ([corrupt_column] if corrupt_column else [])
+    return _read_csv(spark, path, schema, mode, corrupt_column).select(*kept)
 
 
 def require_unique_ids(urls: DataFrame) -> DataFrame:
@@ -41,18 +51,14 @@ def require_unique_ids(urls: DataFrame) -> DataFrame:
 
 
 def _write_slice(table: DataFrame, path: str, column: str, value) -> None:
-    # Dynamic overwrite replaces this slice only.
-    (
-        table.withColumn(column, F.lit(value))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(column)
-        .parquet(path)
-    )
+    # Replaces the folder of this slice only, also by an empty table.
+    table.write.mode("overwrite").parquet(f"{path}/{column}={value}")
 
 
-def _read_slice(spark: SparkSession, path: str, column: str, value) -> DataFrame:
-    return spark.read.parquet(path).where(F.col(column) == value).drop(column)
+def _read_slice(spark: SparkSession, path: str, schema: StructType, column: str, value) -> DataFrame:
+    kind = LongType() if isinstance(value, int) else StringType()
+    with_slice = StructType([*schema.fields, StructField(column, kind)])
+    return spark.read.schema(with_slice).parquet(path).where(F.col(column) == value).drop(column)
 
 
 @dataclass(frozen=True)
@@ -66,22 +72,22 @@ class UrlStore:
         split.write.mode("overwrite").parquet(f"{self.root}/split_urls")
 
     def read_split_urls(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.root}/split_urls")
+        return spark.read.schema(SPLIT_URLS).parquet(f"{self.root}/split_urls")
 
     def write_ranked_urls(self, ranked: DataFrame) -> None:
         ranked.write.mode("overwrite").parquet(f"{self.root}/ranked_urls")
 
     def read_ranked_urls(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.root}/ranked_urls")
+        return spark.read.schema(RANKED_URLS).parquet(f"{self.root}/ranked_urls")
 
     def write_word_vectors(self, vectors: DataFrame, window_size: int) -> None:
         _write_slice(vectors, f"{self.root}/word_vectors", "window_size", window_size)
 
     def read_word_vectors(self, spark: SparkSession, window_size: int) -> DataFrame:
-        return _read_slice(spark, f"{self.root}/word_vectors", "window_size", window_size)
+        return _read_slice(spark, f"{self.root}/word_vectors", WORD_VECTORS, "window_size", window_size)
 
     def write_clustered_urls(self, clustered: DataFrame, algorithm: str) -> None:
         _write_slice(clustered, f"{self.root}/clustered_urls", "algorithm", algorithm)
 
     def read_clustered_urls(self, spark: SparkSession, algorithm: str) -> DataFrame:
-        return _read_slice(spark, f"{self.root}/clustered_urls", "algorithm", algorithm)
+        return _read_slice(spark, f"{self.root}/clustered_urls", CLUSTERED_URLS, "algorithm", algorithm)

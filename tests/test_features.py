@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pathloom import PythonWeight, url_features, weighted_coefficients, zipf_coefficient
 from pathloom.operators.features import (
-    join_word_vectors, mean_vectors, pair_terms, scale_word_vectors, standardize, url_means,
+    join_word_vectors, mean_vectors, pair_terms, scale_word_vectors, share_vectors, standardize, url_means,
 )
 from tests.plans import explained
 
@@ -113,3 +113,30 @@ def test_features_need_no_shuffle(spark):
 def test_no_word_vectors(spark):
     ranked, vectors, _, _ = random_tables(spark, 5)
     assert url_means(ranked, vectors.limit(0), 2.0).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["int", "long", "string"])
+@pytest.mark.parametrize("hot_keys", [0, 20, None])
+@pytest.mark.parametrize("weight", [None, lambda i: F.when(i % 2 == 0, i + 1)])
+def test_results_do_not_depend_on_size(spark, kind, hot_keys, weight):
+    """Any id type, null coefficients, repeated rows and unknown words: equal schema and rows in both forms."""
+    ranked, vectors, _, _ = random_tables(spark, 80)
+    ranked = ranked.withColumn("id", F.col("id").cast(kind))
+    ranked = ranked.union(ranked.limit(7)).cache()
+    small = url_means(ranked, vectors, 1.3, weight)
+    large = url_means(ranked, vectors, 1.3, weight, broadcast_bytes=0, hot_keys=hot_keys)
+    assert [f.simpleString() for f in small.schema] == [f.simpleString() for f in large.schema]
+    key = lambda r: (str(r.id), r.url)
+    a, b = sorted(small.collect(), key=key), sorted(large.collect(), key=key)
+    assert len(a) > 70
+    assert [(r.id, r.url, r.split_url, r.coefficients) for r in a] == [(r.id, r.url, r.split_url, r.coefficients) for r in b]
+    assert np.allclose([r.vector.toArray() for r in a], [r.vector.toArray() for r in b])
+
+
+def test_vectors_are_shared_until_destroyed(spark):
+    ranked, vectors, _, _ = random_tables(spark, 30)
+    shared = share_vectors(vectors)
+    first, second = (url_means(ranked, shared, s).count() for s in (1.0, 2.0))
+    assert first == second == url_means(ranked, vectors, 1.0).count()
+    shared.destroy()
+    assert share_vectors(vectors, 10) is None

@@ -4,7 +4,8 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from pathloom import Trial, UrlStore, grid_trials, random_trials, read_labels, read_urls
+from pathloom import Trial, UrlStore, cluster_urls, grid_trials, random_trials, read_labels, read_urls, word_vectors
+from pathloom.operators.features import share_vectors
 from pathloom.plans import jobs
 from pathloom.plans.search import run_trial
 from pathloom.sources.tables import require_unique_ids
@@ -58,10 +59,50 @@ def test_grid():
     assert len(trials) == len(set(trials)) == 4 and Trial(5, "cosine", 3, 1.0) in trials
 
 
+def test_labels_are_read_by_name(spark, tmp_path):
+    (tmp_path / "labels.csv").write_text("source,label,id\nx,home,1\ny,,2\nz,shop,no\n")
+    assert [tuple(r) for r in read_labels(spark, str(tmp_path / "labels.csv")).collect()] == [(1, "home"), (2, None), (None, "shop")]
+    marked = read_labels(spark, str(tmp_path / "labels.csv"), corrupt_column="bad")
+    assert [r.bad for r in marked.collect()] == [None, None, "z,shop,no"]
+    (tmp_path / "other.csv").write_text("id,name\n1,home\n")
+    with pytest.raises(ValueError, match="no column label"):
+        read_labels(spark, str(tmp_path / "other.csv"))
+
+
+def test_an_empty_table_replaces_a_slice(spark, tmp_path):
+    store = UrlStore(str(tmp_path))
+    table = spark.createDataFrame([("w", Vectors.dense(1.0))], ["word", "vector"])
+    for size in (2, 3):
+        store.write_word_vectors(table, size)
+    store.write_word_vectors(table.limit(0), 3)
+    assert store.read_word_vectors(spark, 3).count() == 0 and store.read_word_vectors(spark, 2).count() == 1
+
+
+def test_repeated_ids_stop_the_job(spark, tmp_path):
+    (tmp_path / "urls.csv").write_text("id,url\n1,http://a.b.c/d\n1,http://a.b.c/e\n")
+    with pytest.raises(ValueError, match="id 1 has 2 rows"):
+        jobs.split_urls(spark, UrlStore(str(tmp_path)), str(tmp_path / "urls.csv"))
+
+
+def test_zero_vectors_are_in_no_cosine_cluster(spark):
+    rows = [(i, f"u{i}", Vectors.dense(0, 0) if i < 2 else Vectors.dense(i % 2, 1 - i % 2)) for i in range(12)]
+    features = spark.createDataFrame(rows, ["id", "url", "vector"]).cache()
+    clustered = cluster_urls(features, 2, "cosine").collect()
+    assert sorted(r.id for r in clustered) == list(range(2, 12)) and len({r.cluster_id for r in clustered}) == 2
+    score, model = run_trial(features, Trial(2, "cosine", 2, 1.0), "kmeans")
+    assert score == pytest.approx(1) and model is not None
+
+
+def test_a_large_model_is_refused(spark):
+    split = spark.createDataFrame([(["a", "b", "c"],)], "split_url array<string>")
+    with pytest.raises(ValueError, match="min_count"):
+        word_vectors(split, 2, 10, model_values=29)
+
+
 def test_unscorable_trials(spark):
     rows = [(i, f"u{i}", Vectors.dense(0, 0) if i == 0 else Vectors.dense(1, 1)) for i in range(6)]
     features = spark.createDataFrame(rows, ["id", "url", "vector"]).cache()
-    assert run_trial(features, Trial(4, "cosine", 2, 1.0), "kmeans") == (None, None)
+    assert run_trial(features.where("id = 0"), Trial(4, "cosine", 2, 1.0), "kmeans") == (None, None)
     same = features.where("id > 0")
     assert run_trial(same, Trial(4, "euclidean", 2, 1.0), "bisecting_kmeans") == (None, None)
 
@@ -124,3 +165,19 @@ def test_search_uses_the_given_score(spark, store):
     )
     assert result.best.k == 4
     assert store.read_clustered_urls(spark, "bisecting_kmeans").select("cluster_id").distinct().count() == 4
+
+
+def test_low_scores_count_too(spark, store):
+    trials = grid_trials([4, 6], ["euclidean"], [2], [1.0, 2.0])
+    result = jobs.search_clusters_stored(spark, store, trials, score=lambda clustered: -5.0 - clustered.count())
+    assert result.best == trials[0] and result.best_score == -95 and result.clustered.count() == 90
+    unscored = jobs.search_clusters_stored(spark, store, trials, score=lambda clustered: float("nan"))
+    assert unscored.best is None
+
+
+def test_one_broadcast_per_window_size(spark, store, monkeypatch):
+    made = []
+    monkeypatch.setattr("pathloom.plans.search.share_vectors", lambda vectors: made.append(share_vectors(vectors)) or made[-1])
+    trials = grid_trials([4], ["euclidean"], [2, 3], [1.0, 1.5, 2.0])
+    jobs.search_clusters_stored(spark, store, trials)
+    assert len(made) == 2

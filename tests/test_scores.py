@@ -98,3 +98,10 @@ def test_silhouette_matches_pairwise_distances(spark, measure):
         other = min(distance[i, clusters == c].mean() for c in range(3) if c != clusters[i])
         values.append((other - own) / max(own, other))
     assert silhouette(df, measure) == pytest.approx(np.mean(values), abs=1e-9)
+
+
+def test_null_is_a_label_like_any_other(spark):
+    aligned = spark.createDataFrame([(3, None, 0), (1, "b", 1), (4, None, 1), (2, "a", 1)], "id long, label string, cluster_id int")
+    found = {r.id: r.label_id for r in encode_labels(aligned).collect()}
+    assert found == {1: 1, 2: 2, 3: 3, 4: 3}
+    assert {r.id: r.label_id for r in encode_labels(aligned, broadcast_bytes=0).collect()} == found

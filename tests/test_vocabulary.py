@@ -1,4 +1,3 @@
-import functools
 import random
 
 import pytest
@@ -6,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pathloom import explode_terms, rank_terms, split_urls, top_terms, vocabulary
 from pathloom.operators.vocabulary import dropped_urls, max_word_count, word_counts
-from pathloom.scale import number_rows
+from pathloom.scale import join_skewed, number_rows
 from tests.plans import explained
 
 SCHEMA = "id long, url string, split_url array<string>"
@@ -74,19 +73,16 @@ def test_unique_ids_give_the_same_rows_without_a_shuffle(spark, tmp_path):
     assert sorted(map(tuple, ranked.collect())) == sorted(map(tuple, shuffled.collect()))
 
 
-def test_few_hot_keys_and_many_others(spark, monkeypatch):
-    monkeypatch.setattr("pathloom.operators.vocabulary.HOT_KEYS", 2)
+def test_few_hot_keys_and_many_others(spark):
     split = skewed_split(spark).cache()
     expected = rank_terms(split, 3, 1.5)
-    shuffled = rank_terms(split, 3, 1.5, broadcast_bytes=0)
+    shuffled = rank_terms(split, 3, 1.5, hot_keys=2, broadcast_bytes=0)
     assert sorted(map(tuple, expected.collect())) == sorted(map(tuple, shuffled.collect()))
     split.unpersist()
 
 
 @pytest.mark.parametrize("one_task_rows", [0, 100_000])
-def test_ranking_matches_brute_force(spark, monkeypatch, one_task_rows):
-    numbered = functools.partial(number_rows, one_task_rows=one_task_rows)
-    monkeypatch.setattr("pathloom.operators.vocabulary.number_rows", numbered)
+def test_ranking_matches_brute_force(spark, one_task_rows):
     split = skewed_split(spark)
     counts = {}
     for row in split.collect():
@@ -94,7 +90,7 @@ def test_ranking_matches_brute_force(spark, monkeypatch, one_task_rows):
             counts[word] = counts.get(word, 0) + 1
     kept = sorted((-n, w) for w, n in counts.items() if 3 <= n < int(3000 * 1.5))
     expected = [(w, -n, rank) for rank, (n, w) in enumerate(kept, 1)]
-    assert sorted(map(tuple, vocabulary(split, 3, 1.5).collect()), key=lambda r: r[2]) == expected
+    assert sorted(map(tuple, vocabulary(split, 3, 1.5, one_task_rows=one_task_rows).collect()), key=lambda r: r[2]) == expected
     assert [tuple(r) for r in top_terms(split, 5, 3, 1.5).collect()] == [r[:2] for r in expected[:5]]
 
 
@@ -126,5 +122,31 @@ def test_ranks_are_attached_without_moving_the_terms(spark, tmp_path):
     assert "hashpartitioning(word" not in text
 
 
+def test_no_sort_and_one_shuffle_of_the_urls(spark, tmp_path):
+    skewed_split(spark, 50).write.parquet(str(tmp_path / "split"))
+    text = explained(rank_terms(spark.read.parquet(str(tmp_path / "split")), 2, 3.0))
+    assert "SortAggregate" not in text and "Sort [" not in text and text.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("kind", ["int", "long", "string"])
+@pytest.mark.parametrize("unique_ids", [False, True])
+def test_ids_of_any_type_in_both_forms(spark, kind, unique_ids):
+    split = split_table(spark, "ab", "abc", "", "bbd").withColumn("id", F.col("id").cast(kind))
+    split = split if unique_ids else split.union(split)
+    small = rank_terms(split, 2, 2.0, unique_ids=unique_ids)
+    large = rank_terms(split, 2, 2.0, unique_ids=unique_ids, broadcast_bytes=0, hot_keys=1, one_task_rows=0)
+    assert [f.simpleString() for f in small.schema] == [f.simpleString() for f in large.schema]
+    assert small.schema["id"].dataType == split.schema["id"].dataType
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect())) != []
+
+
+def test_hot_keys_are_broadcast_only_if_they_fit(spark, monkeypatch):
+    monkeypatch.setattr("pathloom.scale.HOT_BYTES", 2_000)
+    facts = spark.range(2000).select((F.col("id") % 97).cast("string").alias("word"), "id")
+    words = spark.range(90).select(F.col("id").cast("string").alias("word"), F.repeat(F.lit("x"), 300).alias("long"))
+    joined = join_skewed(facts, words, "word", payload=F.length("long"), broadcast_bytes=0)
+    assert joined.count() == facts.where("cast(word as int) < 90").count()
+
+
 def test_word_counts_combine_before_the_shuffle(spark):
     assert "partial_count" in explained(word_counts(explode_terms(split_table(spark, "ab"))))
