@@ -30,6 +30,8 @@ CLASSES = 64
 KNOWN_PARTS = 1_000_000
 _BYTES_AT_ONCE = 4 << 20
 _PART_BITS = 38
+# Latin letters whose normal form and lower case are one letter, so that no mark of theirs joins the punctuation behind.
+_LAST_LETTER = r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]$"
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
@@ -160,9 +162,9 @@ class WordTokenizer:
 
 
 def _parts(words: pa.StringArray) -> pa.StringArray:
-    """Every word as two texts in lower case: up to its last letter, and the punctuation behind. A word that ends otherwise is not cut."""
+    """Every word as two texts in lower case: up to its last Latin letter, and the punctuation behind. A word that ends otherwise is not cut."""
     heads = pc.utf8_rtrim(words, string.punctuation)
-    cut = pc.and_(pc.match_substring_regex(heads, r"\p{L}$"), pc.invert(pc.match_substring(words, "<|")))
+    cut = pc.and_(pc.match_substring_regex(heads, _LAST_LETTER), pc.invert(pc.match_substring(words, "<|")))
     offsets = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4)
     split = np.empty(2 * len(words) + 1, np.int32)
     split[0::2] = offsets
