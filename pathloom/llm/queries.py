@@ -113,9 +113,50 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score", "found.rejected")
 
 
-@query()
+def _level_sql(name: str, table: str, mean: str) -> str:
+    """The prior weight of a level and its shrunk rates; see ``reputation``."""
+    return f"""{name}_fit AS (
+  SELECT sum(n * (bad / n - {mean}) ** 2) AS square, sum({mean} * (1 - {mean})) AS within, sum(n * {mean} * (1 - {mean})) AS between_
+  FROM {table} WHERE n > 0),
+{name}_spread AS (SELECT CASE WHEN between_ > 0 THEN (square - within) / between_ ELSE 0 END AS spread FROM {name}_fit),
+{name}_prior AS (SELECT CASE WHEN spread > 1e-6 THEN least(1e6, greatest(1.0, 1 / spread - 1)) ELSE 1e6 END AS weight FROM {name}_spread),
+{name}_rates AS (SELECT t.*, weight, (bad + weight * {mean}) / (n + weight) AS {name}_rate FROM {table} t, {name}_prior)"""
+
+
+_RULE_CASES = {
+    kind: "CASE " + " ".join(
+        f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p if kind == 'rule' else verdict}'"
+        for verdict, h, p in sorted(URL_RULES, key=lambda rule: -len(rule[1] + rule[2]))) + " END"
+    for kind in ("rule", "verdict")
+}
+
+
+@query(rf"""WITH parts AS (
+  SELECT page_id,
+         coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages),
+ruled AS (SELECT *, {_RULE_CASES['rule']} AS rule, {_RULE_CASES['verdict']} AS by_rule FROM parts),
+counted AS (
+  SELECT host, count(by_rule)::DOUBLE AS n, count(CASE WHEN by_rule = 'block' THEN 1 END)::DOUBLE AS bad FROM ruled GROUP BY host),
+hosts AS (
+  SELECT *, string_split(host, '.')[-1] AS suffix,
+         CASE WHEN len(string_split(host, '.')) > 1 THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE host END AS domain
+  FROM counted),
+domains AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY suffix, domain),
+suffixes AS (
+  SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 0.5) / (sum(n) + 1) FROM domains) AS whole FROM domains GROUP BY suffix),
+{_level_sql('suffix', 'suffixes', 'whole')},
+domains_in AS (SELECT d.*, suffix_rate FROM domains d JOIN suffix_rates USING (suffix)),
+{_level_sql('domain', 'domains_in', 'suffix_rate')},
+hosts_in AS (SELECT h.*, domain_rate FROM hosts h JOIN domain_rates USING (domain)),
+{_level_sql('host', 'hosts_in', 'domain_rate')},
+bounds AS (
+  SELECT host, least(1.0, host_rate + {reputation.DEVIATIONS} * sqrt(host_rate * (1 - host_rate) / (n + weight + 1))) AS bound FROM host_rates)
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN bound > {reputation.BLOCK_ABOVE} THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled JOIN bounds USING (host)""")
 def op8_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reputation.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+    return reputation.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES).drop("posterior_bound")
 
 
 @query("""WITH usable AS (
