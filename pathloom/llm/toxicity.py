@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm.folds import sample_by
-from pathloom.llm.text import NO_LETTER, plain, row_groups, word_hashes
+from pathloom.llm.text import NO_LETTER, plain, release_memory, row_groups, word_hashes
 
 THRESHOLD = 0.3
-SAMPLE = 3000
+SAMPLE = 2000
 # Hashes with an embedding, the most frequent ones of the sample.
 WORDS = 60_000
 STARTS = (4, 6)
@@ -231,8 +231,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, seed: int =
     # Both sides are bounded by the sample: its labels are broadcast and its texts come back as hashes.
     texts = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")
     rows = texts.select("doc_id", "lang", "_toxic", hashed("text").alias("_words")).toArrow().sort_by("doc_id")
-    words = [np.frombuffer(value, np.uint64).reshape(-1, 1 + len(STARTS)) for value in rows["_words"].to_pylist()]
-    return _train(words, np.array(rows["_toxic"].to_pylist(), bool), rows["lang"].to_pylist(), seed)
+    words = [np.frombuffer(value.as_buffer(), np.uint64).reshape(-1, 1 + len(STARTS)) for value in rows["_words"]]
+    model = _train(words, np.array(rows["_toxic"].to_pylist(), bool), rows["lang"].to_pylist(), seed)
+    del rows, words
+    release_memory()
+    return model
 
 
 def score(model: ToxicityModel, text: Column) -> Column:
@@ -240,7 +243,9 @@ def score(model: ToxicityModel, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def work(column: pa.Array) -> pa.Array:
-        return pa.array(model.score(column), pa.float64())
+        found = pa.array(model.score(column), pa.float64())
+        release_memory()
+        return found
 
     return work(text)
 
