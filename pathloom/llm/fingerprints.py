@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm.joins import partitions_for
-from pathloom.llm.text import plain, shingle_sets
+from pathloom.llm.text import plain, releasing, shingle_sets
 
 K = 128
 BUCKETS_PER_PARTITION = 4
@@ -200,4 +200,4 @@ def fingerprint_edits(docs: DataFrame, k: int = K) -> DataFrame:
                     "near_next": pa.array([resemblance(a[4], b[4], k) for a, b in pairs], pa.float64()),
                 })
 
-    return _with_next(docs).mapInArrow(work, _EDITS)
+    return _with_next(docs).mapInArrow(releasing(work), _EDITS)

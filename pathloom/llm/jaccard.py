@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm.components import components
-from pathloom.llm.text import mix, plain, row_groups, shingle_sets
+from pathloom.llm.text import mix, plain, release_memory, releasing, row_groups, shingle_sets
 from pathloom.llm.joins import left_join, partitions_for, semi_join
 from pathloom.scale import cut_lineage
 
@@ -186,11 +186,11 @@ def _from_sets(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[np.ndar
 def _occurrence(rows: DataFrame, read: Callable, percent: int) -> DataFrame:
     """``_INFO`` of ``rows (doc_id, text or set)``."""
     partitions = partitions_for(rows, ROWS_PER_PARTITION)
-    packed = rows.mapInArrow(_pack(partitions * PARTS_PER_PARTITION, read), _PACKED)
+    packed = rows.mapInArrow(releasing(_pack(partitions * PARTS_PER_PARTITION, read)), _PACKED)
     # The rows with the ids of a chunk are spread like a part of their own each.
     place = F.when(F.col("part") == _ALL, F.xxhash64("chunk")).otherwise(F.col("part"))
-    counted = packed.withColumn("place", place).repartition(partitions, "place").sortWithinPartitions("part").drop("place").mapInArrow(_count_alone, _COUNTED)
-    return counted.repartition(partitions, "chunk").sortWithinPartitions("chunk").mapInArrow(_judge(percent), _INFO)
+    counted = packed.withColumn("place", place).repartition(partitions, "place").sortWithinPartitions("part").drop("place").mapInArrow(releasing(_count_alone), _COUNTED)
+    return counted.repartition(partitions, "chunk").sortWithinPartitions("chunk").mapInArrow(releasing(_judge(percent)), _INFO)
 
 
 # ---------------------------------------------------------------- the R-tree
@@ -383,7 +383,7 @@ def _link_in_blocks(sets: DataFrame, percent: int) -> DataFrame:
 
     rows = blocks.join(sets, "node").select("block", "node", "set")
     partitions = partitions_for(sets, ROWS_PER_PARTITION)
-    return rows.repartition(partitions, "block").sortWithinPartitions("block", "node").mapInArrow(_by_block(work), _PAIRS)
+    return rows.repartition(partitions, "block").sortWithinPartitions("block", "node").mapInArrow(releasing(_by_block(work)), _PAIRS)
 
 
 def _pairs_left(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
@@ -415,7 +415,7 @@ def _pairs_left(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
 
     rows = met.join(counts, "node").select("block", "node", "root", "side", "counts")
     partitions = partitions_for(sets, ROWS_PER_PARTITION)
-    pairs = rows.repartition(partitions, "block").sortWithinPartitions("block").mapInArrow(_by_block(work), _PAIRS)
+    pairs = rows.repartition(partitions, "block").sortWithinPartitions("block").mapInArrow(releasing(_by_block(work)), _PAIRS)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -453,7 +453,9 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     @F.arrow_udf("binary")
     def as_set(column: pa.Array) -> pa.Array:
-        return pa.array([s.tobytes() for s in shingle_sets(plain(column))], pa.binary())
+        found = pa.array([s.tobytes() for s in shingle_sets(plain(column))], pa.binary())
+        release_memory()
+        return found
 
     sets = cut_lineage(semi_join(known, wanted, "doc_id").select(F.col("doc_id").alias("node"), as_set("text").alias("set")).filter("octet_length(set) > 0"))
     # Now that copies are gone, fewer shingles occur elsewhere.

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm.folds import sample_by
-from pathloom.llm.text import plain
+from pathloom.llm.text import plain, release_memory, releasing
 
 FEATURES = 4096
 CENTROIDS = 4
@@ -155,7 +155,7 @@ def fit(docs: DataFrame, *, centroids: int = CENTROIDS, sample: int = SAMPLE, se
     """Learn from all rows of ``docs (doc_id, text, lang)`` with text and language. Without such rows the model knows no language
     and rejects every text."""
     known = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null and text != ''")
-    rows = known.select("text").mapInArrow(_frequencies, "feature int, texts long").groupBy("feature").agg(F.sum("texts")).collect()
+    rows = known.select("text").mapInArrow(releasing(_frequencies), "feature int, texts long").groupBy("feature").agg(F.sum("texts")).collect()
     found = np.zeros(FEATURES + 1)
     for feature, texts in rows:
         found[feature] = texts
@@ -174,6 +174,7 @@ def predict(model: LanguageModel, text: Column) -> Column:
     @F.arrow_udf("lang string, score double, rejected boolean")
     def work(column: pa.Array) -> pa.Array:
         names, scores, rejected = model.predict(plain(column).to_pylist())
+        release_memory()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())],
                                           names=["lang", "score", "rejected"])
 

@@ -21,13 +21,13 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from pathloom.llm.text import plain, row_groups
+from pathloom.llm.text import plain, releasing, row_groups
 
 CAPACITY = 4096
 # Classes of documents below 1/CLASSES of the capacity are one class.
 CLASSES = 64
 # Ids of this many different parts of words are kept by a worker.
-KNOWN_PARTS = 1_000_000
+KNOWN_PARTS = 400_000
 _BYTES_AT_ONCE = 4 << 20
 _PART_BITS = 38
 # Latin letters whose normal form and lower case are one letter, so that no mark of theirs joins the punctuation behind.
@@ -218,4 +218,4 @@ def pack(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, capacity: int
             yield table(found)
         yield table(list(rows(packer.finish())))
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(work, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(releasing(work), SCHEMA)
