@@ -1,8 +1,9 @@
 """Headline timings; prints one JSON line.
 
 ``BENCH_SF_DIR`` names the tables (default sf0.1) and ``BENCH_CPUS`` the local cores. Each number is the median of three
-runs after a warm-up (one run for ``compared``). ``queries`` holds the operators on the given tables and, under ``*_large``, on ``pages`` repeated
-to about a million URLs; ``compared`` holds the plainer forms of the large ones.
+runs after a warm-up (one run for ``compared`` and ``*_wide``). ``queries`` holds the operators on the given tables; under ``*_large``, on
+``pages`` repeated to about a million URLs; and under ``*_wide``, on these URLs with half as many different terms, so that the vocabulary and
+the word vectors are beyond what a task may hold. ``compared`` holds plainer forms of the same.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from pathloom import split_urls, v_measure, vocabulary
+from pathloom import cluster_urls, split_urls, v_measure, vocabulary
 from pathloom.operators.features import join_word_vectors, mean_vectors, url_means, vector_size_of, weighted_coefficients
 from pathloom.operators.terms import explode_terms
 from pathloom.operators.vocabulary import frequency_filter, rank_terms, word_counts
@@ -35,7 +36,7 @@ HEADLINE = [
     "split_url", "explode_terms", "word_counts", "vocabulary_rank", "top_terms", "ranked_terms", "weighted_coefficients",
     "mean_vectors_in_tasks", "standardize", "url_features", "word_vectors_of_urls", "kmeans", "bisecting_kmeans",
     "assign_to_centres", "silhouette_euclidean", "silhouette_cosine", "align_labels", "encode_labels", "v_measure",
-    "evaluate_clusters", "plane_coordinates", "timing_summary",
+    "evaluate_clusters", "plane_coordinates", "timing_summary", "ranked_terms_shuffled", "mean_vectors_beyond",
 ]
 
 
@@ -79,6 +80,11 @@ def repeated_urls(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def hashed_vectors(words: DataFrame) -> DataFrame:
+    vector = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda i: F.hash("word", i) / 2e9)
+    return words.select("word", array_to_vector(vector).alias("vector"))
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
@@ -101,10 +107,7 @@ def main() -> None:
     split = stored(split_urls(urls), f"{scratch}/split")
     ranked = stored(rank_terms(split), f"{scratch}/ranked")
     words = vocabulary(split)
-    vectors = stored(
-        words.select("word", array_to_vector(F.transform(F.sequence(F.lit(1), F.lit(100)), lambda i: F.hash("word", i) / 2e9)).alias("vector")),
-        f"{scratch}/vectors",
-    )
+    vectors = stored(hashed_vectors(words), f"{scratch}/vectors")
     documents = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("source", "lang")
     many = documents.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(max(LARGE_ROWS // documents.count(), 1)))))
     assigned = stored(many, f"{scratch}/assigned")
@@ -119,7 +122,24 @@ def main() -> None:
     queries["ranked_terms_in_tasks_large"] = median_seconds(lambda: run(rank_terms(split, unique_ids=True)))
     queries["mean_vectors_large"] = median_seconds(lambda: run(url_means(ranked, vectors, 3.0)))
     queries["v_measure_large"] = median_seconds(lambda: run(v_measure(assigned, "source", "lang")))
+
+    many_words = LARGE_ROWS // 2
+    rare = F.concat(F.lit("w"), F.pmod(F.xxhash64("id"), F.lit(many_words)).cast("string"))
+    wide = stored(split.select("id", "url", F.concat("split_url", F.array(rare)).alias("split_url")), f"{scratch}/wide")
+    wide_ranked = stored(rank_terms(wide, 1, 2.0, unique_ids=True), f"{scratch}/wide_ranked")
+    wide_vectors = stored(hashed_vectors(wide_ranked.select(F.explode("split_url").alias("word")).distinct()), f"{scratch}/wide_vectors")
+    queries["vocabulary_rank_wide"] = median_seconds(lambda: run(vocabulary(wide, 1, 2.0)), 1)
+    queries["ranked_terms_wide"] = median_seconds(lambda: run(rank_terms(wide, 1, 2.0, broadcast_bytes=0)), 1)
+    queries["mean_vectors_wide"] = median_seconds(lambda: run(url_means(wide_ranked, wide_vectors, 3.0)), 1)
+    embeddings = spark.read.parquet(f"{SF_DIR}/embeddings.parquet")
+    copies = F.explode(F.sequence(F.lit(1), F.lit(max(LARGE_ROWS // embeddings.count(), 1)))).alias("copy")
+    moved = F.transform("embedding", lambda x, i: x.cast("double") + F.hash("vec_id", "copy", i) / 1e11)
+    points = stored(embeddings.select("vec_id", "embedding", copies).select(
+        F.xxhash64("vec_id", "copy").alias("id"), F.lit("").alias("url"), array_to_vector(moved).alias("vector")), f"{scratch}/points").persist()
+    queries["kmeans_wide"] = median_seconds(lambda: run(cluster_urls(points, 10)), 1)
+    wide_joined = lambda: join_word_vectors(weighted_coefficients(wide_ranked, 3.0), wide_vectors)
     plainer = {
+        "mean_vectors_wide_sum_per_dimension": lambda: run(mean_vectors(wide_joined(), 100)),
         "split_url_large_python_udf": lambda: run(urls.select("id", "url", split_in_python("url"))),
         "vocabulary_rank_large_one_task_window": lambda: run(
             frequency_filter(counts, split).withColumn("word_frequency_order", one_task)),
@@ -130,7 +150,7 @@ def main() -> None:
     print(json.dumps({
         "metric": "total of the headline queries", "value": round(sum(queries.values()), 3), "unit": "sec",
         "queries": queries, "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"),
-        "compared": compared, "large_rows": urls.count(), "cpus": int(CPUS), "spark": spark.version,
+        "compared": compared, "large_rows": urls.count(), "wide_words": wide_vectors.count(), "cpus": int(CPUS), "spark": spark.version,
     }))
     spark.stop()
 
