@@ -26,9 +26,9 @@ from pathloom.llm.text import plain, releasing, row_groups
 CAPACITY = 4096
 # Classes of documents below 1/CLASSES of the capacity are one class.
 CLASSES = 64
-# Ids of this many different parts of words are kept by a worker.
-KNOWN_PARTS = 400_000
-_BYTES_AT_ONCE = 4 << 20
+# A worker keeps the ids of at most twice this many different parts of words.
+KNOWN_PARTS = 80_000
+_BYTES_AT_ONCE = 1 << 20
 _PART_BITS = 38
 # Latin letters whose normal form and lower case are one letter, so that no mark of theirs joins the punctuation behind.
 _LAST_LETTER = r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]$"
@@ -124,6 +124,7 @@ class WordTokenizer:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), known
         self.parts: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
         self.end = np.array([end_id], "<u4").tobytes()
 
     def encode(self, texts: pa.Array) -> list[bytes]:
@@ -134,10 +135,12 @@ class WordTokenizer:
         names = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
         codes = list(map(self.parts.get, names))
         if None in codes:
-            new = [name for name, code in zip(names, codes) if code is None]
-            if len(self.parts) + len(new) > self.known:
-                self.parts, new = {"": b""}, names
-            self._learn(new)
+            new = {name: self.older.get(name) for name, code in zip(names, codes) if code is None}
+            if len(self.parts) + len(new) > self.known:  # parts that are still in use come back from the older ones
+                self.older, self.parts = self.parts, {"": b""}
+                new |= {name: code for name, code in zip(names, codes) if code is not None}
+            self.parts.update((name, code) for name, code in new.items() if code is not None)
+            self._learn([name for name, code in new.items() if code is None])
             codes = list(map(self.parts.__getitem__, names))
         # The ids of all parts stand in a row; those of a text are gathered by the places of its words, two parts each.
         sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
