@@ -78,7 +78,10 @@ class ToxicityModel:
             z = parts[0][padded[:total]]
             for j in range(1, len(taps)):
                 z += parts[j][padded[j:total + j]]
-            maps.append(np.maximum(z + bias, 0))
+            z = np.maximum(z + bias, 0)
+            for j in range(1, len(taps)):  # windows that would reach into the next text
+                z[starts + sizes + last - j] = 0
+            maps.append(z)
         pooled = np.concatenate([np.maximum.reduceat(z, starts, axis=0) for z in maps], axis=1) if len(sizes) else np.zeros((0, len(self.weights)))
         return pooled, maps, padded, starts
 
