@@ -5,7 +5,8 @@ a part. The hashes seen in training have embeddings, which add up to that of the
 two and three words are max-pooled over the whole text and a logistic layer weighs them. A threshold for each language, guessed from
 the words themselves, is calibrated on labelled texts kept out of training; scores are shifted so that it lies at ``THRESHOLD``.
 
-The labelled sample is bounded: ``sample`` texts of either label.
+The labelled sample is bounded: ``sample`` texts of either label. In calibration each text stands for as many as there are labelled
+ones of its label for one in the sample, so that thresholds do not depend on how much of either label the sample holds.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.folds import sample_by
+from pathloom.llm.folds import count_by, sample_by
 from pathloom.llm.text import NO_LETTER, plain, release_memory, row_groups, word_hashes
 
 THRESHOLD = 0.3
@@ -111,7 +112,8 @@ class ToxicityModel:
         return np.concatenate(scores or [np.empty(0)])
 
 
-def _train(texts: list[np.ndarray], toxic: np.ndarray, langs: list[str | None], seed: int) -> ToxicityModel:
+def _train(texts: list[np.ndarray], toxic: np.ndarray, langs: list[str | None], seed: int, stands_for: tuple[float, float]) -> ToxicityModel:
+    """``stands_for``: how many labelled texts a clean and a toxic text of the sample stand for."""
     random = np.random.default_rng(seed)
     order = random.permutation(len(texts))
     held = order[:max(1, len(order) // 5)]
@@ -182,19 +184,21 @@ def _train(texts: list[np.ndarray], toxic: np.ndarray, langs: list[str | None],
             bias_square += error.sum() ** 2
             model.bias -= RATE * error.sum() / np.sqrt(bias_square)
 
-    model.shifts = _calibrated(model, [texts[i] for i in held], toxic[held], len(names))
+    model.shifts = _calibrated(model, [texts[i] for i in held], toxic[held], len(names), stands_for)
     return model
 
 
-def _calibrated(model: ToxicityModel, texts: list[np.ndarray], toxic: np.ndarray, languages: int) -> np.ndarray:
-    """Per language the shift that puts its best threshold (fewest errors, in the middle of the gap) at ``THRESHOLD``."""
+def _calibrated(model: ToxicityModel, texts: list[np.ndarray], toxic: np.ndarray, languages: int, stands_for: tuple[float, float] = (1.0, 1.0)) -> np.ndarray:
+    """Per language the shift that puts its best threshold (fewest errors among all that the texts stand for, in the middle of the gap) at
+    ``THRESHOLD``."""
     logits, language = model.logits(np.concatenate([np.empty((0, 1 + len(STARTS)), np.uint64), *texts]), np.append(0, np.cumsum([len(t) for t in texts])).astype(int))
 
     def best(x: np.ndarray, y: np.ndarray) -> float:
         order = np.argsort(x)
         x, y = x[order], y[order]
-        wrong = np.append(0, np.cumsum(y)) + np.append(np.cumsum(~y[::-1])[::-1], 0)
-        # Of equally good places the middle one.
+        wrong = stands_for[1] * np.append(0, np.cumsum(y)) + stands_for[0] * np.append(np.cumsum(~y[::-1])[::-1], 0)
+        # No threshold parts equal scores. Of equally good places the middle one.
+        wrong = np.where(np.concatenate([[True], x[1:] > x[:-1], [True]]), wrong, np.inf)
         places = np.flatnonzero(wrong == wrong.min())
         i = places[len(places) // 2]
         return float(x[0] - 1 if i == 0 else x[-1] + 1 if i == len(x) else (x[i - 1] + x[i]) / 2)
@@ -220,7 +224,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, seed: int =
     Without labels the model scores every text alike.
     """
     known = labels.select("doc_id", "toxic").filter("toxic is not null and doc_id is not null")
-    chosen = sample_by(known, "toxic", "doc_id", sample).groupBy("doc_id").agg((F.max("toxic") > 0).alias("_toxic"))
+    counts = count_by(known, "toxic")
+    chosen = sample_by(known, "toxic", "doc_id", sample, counts).groupBy("doc_id").agg((F.max("toxic") > 0).alias("_toxic"))
 
     @F.arrow_udf("binary")
     def hashed(column: pa.Array) -> pa.Array:
@@ -235,7 +240,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, seed: int =
     texts = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")
     rows = texts.select("doc_id", "lang", "_toxic", hashed("text").alias("_words")).toArrow().sort_by("doc_id")
     words = [np.frombuffer(value.as_buffer(), np.uint64).reshape(-1, 1 + len(STARTS)) for value in rows["_words"]]
-    model = _train(words, np.array(rows["_toxic"].to_pylist(), bool), rows["lang"].to_pylist(), seed)
+    stands_for = tuple(
+        sum(own) / max(1, sum(min(sample, n) for n in own)) for own in ([n for value, n in counts.items() if (value > 0) == toxic] for toxic in (False, True)))
+    model = _train(words, np.array(rows["_toxic"].to_pylist(), bool), rows["lang"].to_pylist(), seed, stands_for)
     del rows, words
     release_memory()
     return model

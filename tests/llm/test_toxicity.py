@@ -74,3 +74,17 @@ def test_no_rows(spark, no_docs):
     assert toxicity.keep_clean(no_docs, nothing).collect() == []
     docs = spark.createDataFrame([(1, "a b", None, None, None)], DOC_SCHEMA)
     assert 0 <= docs.select(toxicity.score(nothing, F.col("text"))).first()[0] <= 1
+
+
+def test_thresholds_do_not_depend_on_the_share_of_a_label_in_the_sample(spark):
+    # One text in ten is toxic; a word stands in most toxic texts and in a fifth of the clean ones, which are more.
+    rows, labels = [], []
+    for i in range(4000):
+        pick = random.Random(i)
+        toxic = i % 10 == 0
+        rows.append((i, words(30, i) + (" vile" if pick.random() < (0.6 if toxic else 0.2) else ""), "en", None, None))
+        labels.append((i, int(toxic)))
+    docs, labels = spark.createDataFrame(rows, DOC_SCHEMA).repartition(4).cache(), spark.createDataFrame(labels, LABELS)
+    clean = docs.join(labels.filter("toxic = 0"), "doc_id").select(docs["*"]).filter("text like '%vile'")
+    for sample in (4000, 400):
+        assert toxicity.keep_clean(clean, toxicity.fit(docs, labels, sample=sample)).count() > 0.9 * clean.count()
