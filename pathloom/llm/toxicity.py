@@ -22,7 +22,7 @@ from pathloom.llm.folds import count_by, sample_by
 from pathloom.llm.text import NO_LETTER, plain, release_memory, row_groups, word_hashes
 
 THRESHOLD = 0.3
-SAMPLE = 2000
+SAMPLE = 3000
 # Hashes with an embedding, the most frequent ones of the sample.
 WORDS = 60_000
 STARTS = (4, 6)

@@ -88,3 +88,7 @@ def test_thresholds_do_not_depend_on_the_share_of_a_label_in_the_sample(spark):
     clean = docs.join(labels.filter("toxic = 0"), "doc_id").select(docs["*"]).filter("text like '%vile'")
     for sample in (4000, 400):
         assert toxicity.keep_clean(clean, toxicity.fit(docs, labels, sample=sample)).count() > 0.9 * clean.count()
+
+
+def test_the_sample_is_not_cut():
+    assert toxicity.SAMPLE >= 3000
