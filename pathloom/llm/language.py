@@ -5,7 +5,7 @@ found by spherical k-means over its labelled texts. A text has the language of t
 is rejected if that cosine is far below what texts of its length reach.
 
 Document frequencies cover all labelled texts. The centroids are fitted to a bounded sample, ``sample`` texts per
-language.
+language, and the usual cosines come from all texts of that sample and a piece of each at every length.
 """
 
 from __future__ import annotations
@@ -128,18 +128,18 @@ def _fit_language(idf: np.ndarray, k: int, seed: int):
             nearest = (x @ centres.T).argmax(axis=1)
             sums = np.array([x[nearest == i].sum(axis=0) if (nearest == i).any() else centres[i] for i in range(len(centres))])
             centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
-        # Pieces of the texts show which cosines are usual at each length.
-        pieces = list(texts)
-        for size in (8, 16, 32, 64, 128, 256, 512, 1024, 4096):
-            for text in texts[:300]:
-                start = int(random.integers(0, max(1, len(text) - size)))
-                pieces.append(text[start:start + size])
+        # Pieces of all texts show which cosines are usual at each length.
         seen: list[list[float]] = [[] for _ in range(_LENGTHS)]
-        for counts, letters in count_ngrams(pieces):
-            top = (model.vectors(counts) @ centres.T).max(axis=1)
-            for length, cosine, any_letter in zip(_length(counts), top, letters):
-                if any_letter:
-                    seen[length].append(float(cosine))
+        for size in (None, 8, 16, 32, 64, 128, 256, 512, 1024, 4096):
+            pieces = texts
+            if size:
+                starts = [int(random.integers(0, max(1, len(text) - size))) for text in texts]
+                pieces = [text[start:start + size] for text, start in zip(texts, starts)]
+            for counts, letters in count_ngrams(pieces):
+                top = (model.vectors(counts) @ centres.T).max(axis=1)
+                for length, cosine, any_letter in zip(_length(counts), top, letters):
+                    if any_letter:
+                        seen[length].append(float(cosine))
         usual = np.array([np.quantile(s, 0.002) if len(s) >= 30 else np.nan for s in seen])
         known = np.flatnonzero(~np.isnan(usual))
         # Lengths that were not seen take the value of the next shorter one; the shortest texts are never too far off.

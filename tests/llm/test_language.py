@@ -64,3 +64,20 @@ def test_no_rows(no_docs, odd_docs):
     rows = odd_docs.select(language.predict(nothing, F.col("text")).alias("p")).collect()
     assert all(r.p.lang == "und" and r.p.rejected for r in rows)
     assert language.keep_known(no_docs, nothing).collect() == []
+
+
+def test_usual_cosines_come_from_all_texts():
+    # The later half of the ids is of another kind; its short pieces must count too.
+    import pandas as pd
+
+    texts = [text("aa", i) for i in range(320)] + [text("aa", i) + " 日本語の文" * 200 for i in range(320)]
+    seen = []
+    work = language._fit_language(pd.Series(1.0, range(language.FEATURES)).to_numpy("f4"), 1, 1)
+    counted = language.count_ngrams
+    try:
+        language.count_ngrams = lambda pieces: seen.extend(pieces) or counted(pieces)
+        work(("aa",), pd.DataFrame({"doc_id": range(640), "text": texts}))
+    finally:
+        language.count_ngrams = counted
+    assert sum(len(piece) == 64 for piece in seen) == 640
+    assert sum("日" in piece for piece in seen if len(piece) == 64) > 200
