@@ -137,7 +137,7 @@ def top_k_inner_products(vectors: DataFrame, k: int = 10, *, every: int = 100, s
 
     Rows whose vector is null or holds null, NaN or infinite components, and rows without id, take no part. Vectors of unequal length are
     compared as if the shorter one went on with zeros; an empty vector scores 0. Of rows that repeat an id and a vector one
-    counts. Components beyond 2**24 after scaling are an error, since scores would not be exact. Returns ``query_id, rank, vec_id, score``.
+    counts. A vector whose product with itself is beyond 64 bits after scaling is an error, since the score is a long. Returns ``query_id, rank, vec_id, score``.
     """
     x = F.col("embedding").cast("array<double>")
     usable = x.isNotNull() & F.col("vec_id").isNotNull() & ~F.exists(
@@ -145,9 +145,10 @@ def top_k_inner_products(vectors: DataFrame, k: int = 10, *, every: int = 100, s
     whole = F.transform(x, lambda v: F.floor(v * F.lit(float(scale))).cast("long"))
     points = vectors.filter(usable).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("point"))
     points = cut_lineage(points)
-    rows, width, largest = points.agg(
-        F.count(F.lit(1)), F.max(F.size("point")), F.max(F.array_max(F.transform("point", lambda v: F.abs(v))))).first()
-    if (largest or 0) > 2**24:
+    squared = F.aggregate("point", F.lit(0.0), lambda total, v: total + v.cast("double") * v.cast("double"))
+    rows, width, largest = points.agg(F.count(F.lit(1)), F.max(F.size("point")), F.max(squared)).first()
+    # No product of two vectors, nor a part of its sum, is beyond the largest square; a little is left for rounding.
+    if (largest or 0.0) > 2**63 * (1 - 1e-9):
         raise ValueError("a component is too large for exact scores")
     width = max(width or 0, 1)
     padded = F.slice(F.concat("point", F.array_repeat(F.lit(0).cast("long"), width)), 1, width)

@@ -71,3 +71,10 @@ def test_few_rows_and_none(spark):
 def test_large_components_are_an_error(spark):
     with pytest.raises(ValueError, match="too large"):
         mtree.top_k_inner_products(spark.createDataFrame([(100, [1e9], 0)], SCHEMA))
+
+
+def test_large_components_that_fit_64_bits(spark):
+    random = np.random.default_rng(5)
+    rows = [(i, random.integers(-500_000, 500_000, 4).astype(float).tolist()) for i in range(300)] + [(400, [1_000_000.0, 0.0, -2.0, 1.0])]
+    found = mtree.top_k_inner_products(spark.createDataFrame([(*r, 0) for r in rows], SCHEMA), 10)
+    assert sorted(map(tuple, found.collect())) == expected(rows, 10)
