@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import extraction, fingerprints, jaccard, language, mixing, mtree, packing, reputation, toxicity, warc
+from pathloom.llm import collocations, extraction, fingerprints, jaccard, language, mixing, mtree, packing, reputation, toxicity, warc
 from pathloom.llm.folds import held_out
 from pathloom.scale import shared_dir
 
@@ -176,3 +176,35 @@ def op9_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.main_texts(_table(spark, sf_dir, "pages"))
+
+
+def _cuts_sql() -> str:
+    """The candidates' cuts with the counts of their parts."""
+    return """SELECT c.lang, c.phrase, c.f AS a, k, p.f AS l, q.f AS r,
+    (c.f::HUGEINT * c.f * 1000000 // (p.f::HUGEINT * q.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, len(ws))) AS k FROM kept) c
+  JOIN counts p ON p.lang = c.lang AND p.phrase = array_to_string(c.ws[1:k], ' ')
+  JOIN counts q ON q.lang = c.lang AND q.phrase = array_to_string(c.ws[k + 1:], ' ')"""
+
+
+@query(rf"""WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+phrases AS (
+  SELECT lang, unnest(list_transform(range(1, len(w) - size + 2), lambda i: w[i:i + size - 1])) AS ws
+  FROM words, (SELECT unnest([1, 2, 3]) AS size) WHERE len(w) >= size),
+counts AS MATERIALIZED (SELECT lang, ws, array_to_string(ws, ' ') AS phrase, count(*) AS f FROM phrases GROUP BY lang, ws HAVING count(*) >= {collocations.LEAST_COUNT}),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+inner_ AS (
+  SELECT lang, unnest([ws[1:2], ws[2:3]]) AS ws, f FROM counts WHERE len(ws) = 3),
+longest AS (SELECT lang, ws, max(f) AS f FROM inner_ GROUP BY lang, ws),
+kept AS (
+  SELECT c.* FROM counts c LEFT JOIN longest x ON x.lang = c.lang AND x.ws = c.ws
+  WHERE len(c.ws) > 1 AND (x.f IS NULL OR 100 * x.f < {collocations.COVERED} * c.f)),
+cuts AS ({_cuts_sql()}),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM cuts),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest WHERE place = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= {collocations.TOP}""")
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
