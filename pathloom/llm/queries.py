@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import collocations, extraction, fingerprints, jaccard, language, mixing, mtree, packing, reputation, toxicity, warc
+from pathloom.llm import collocations, extraction, fingerprints, jaccard, language, mixing, mtree, packing, pivots, reputation, toxicity, warc
 from pathloom.llm.folds import held_out
 from pathloom.scale import shared_dir
 
@@ -208,3 +208,33 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= {collocations.TOP}""")
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def _rounds_sql(rounds: int) -> str:
+    """``a0, c1, a1, ...``: assignments and centroids of all rounds."""
+    parts = []
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+  SELECT rid, vec_id, v, min({{'d': list_sum(list_transform(v, lambda x, i: (x - cv[i]) * (x - cv[i])))::BIGINT, 'c': c}}) AS near
+  FROM kept, (SELECT c, v AS cv FROM c{i}) GROUP BY rid, vec_id, v)""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT c{i}.c, coalesce(m.v, c{i}.v) AS v FROM c{i} LEFT JOIN (
+    SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM (
+      SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT near.c AS c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{i}) GROUP BY c, i)
+    GROUP BY c) m ON m.c = c{i}.c)""")
+    return ",\n".join(parts)
+
+
+@query(f"""WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding::DOUBLE[], lambda x: floor({pivots.SCALE} * x)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {pivots.WIDTH} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY sha256('{pivots.SALT}:' || coalesce(vec_id::VARCHAR, '')), v) - 1)::INTEGER AS c, v FROM kept
+  QUALIFY c < {pivots.CLUSTERS}),
+{_rounds_sql(pivots.ROUNDS)}
+SELECT vec_id, near.c AS cluster, near.d AS distance, (sum(near.d) OVER (PARTITION BY near.c))::BIGINT AS cluster_inertia,
+       (sum(near.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c{pivots.ROUNDS}.v, ',')) AS centroid_sha256
+FROM a{pivots.ROUNDS} JOIN c{pivots.ROUNDS} ON c = near.c""")
+def op13_pivot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.cluster_vectors(_table(spark, sf_dir, "embeddings"))
