@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import collocations, extraction, fingerprints, jaccard, language, mixing, mtree, packing, pivots, reputation, toxicity, warc
+from pathloom.llm import collocations, extraction, fingerprints, jaccard, language, mixing, mtree, packing, pivots, reputation, secrets, toxicity, warc
 from pathloom.llm.folds import held_out
 from pathloom.scale import shared_dir
 
@@ -238,3 +238,8 @@ SELECT vec_id, near.c AS cluster, near.d AS distance, (sum(near.d) OVER (PARTITI
 FROM a{pivots.ROUNDS} JOIN c{pivots.ROUNDS} ON c = near.c""")
 def op13_pivot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
