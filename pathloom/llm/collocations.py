@@ -332,20 +332,8 @@ def _key(phrase: Column) -> Column:
     return F.concat(F.length("lang").cast("string"), F.lit(":"), "lang", phrase)
 
 
-def collocations(docs: DataFrame, *, least_count: int = LEAST_COUNT, words: int = WORDS, top: int | None = TOP,
-                 shard_words: int = SHARD_WORDS) -> DataFrame:
-    """The best phrases of 2 to ``words`` words of each language of ``docs (lang, text)``; other columns are ignored.
-
-    A-Z are lowered. Texts break into pieces at ``. , ; : ! ?`` and line ends, pieces into words at blanks and tabs; every other character
-    belongs to a word. A null text is empty, a null language is ``und``. Rows that repeat count each. A phrase needs ``least_count``
-    occurrences. Of all its cuts into two parts the one with the lowest ``floor(SCALE * a * a / (l * r))`` counts, the first of equal ones;
-    a, l and r are the occurrences of the phrase and of the parts. A phrase inside a longer one that has at least ``COVERED`` percent of its
-    occurrences is left out. Returns ``lang, rank, phrase, a, l, r, n, score``, by score, then occurrences, then phrase, the first ``top``
-    of a language (None: all). No documents, or none with a frequent phrase, give no rows.
-
-    Products are decimals of 38 digits, which are exact for up to 10**15 occurrences.
-    """
-    counts, totals = phrase_counts(docs, least_count, words, shard_words=shard_words)
+def ranked_phrases(counts: DataFrame, totals: DataFrame, words: int, top: int | None) -> DataFrame:
+    """Scores and ranks from the tables of :func:`phrase_counts`; see :func:`collocations`."""
     known = counts.select(_key(F.col("phrase")).alias("_part"), F.col("f").alias("_f"))
     longer = counts.filter("words > 1").withColumn("_words", F.split("phrase", " "))
 
@@ -369,3 +357,19 @@ def collocations(docs: DataFrame, *, least_count: int = LEAST_COUNT, words: int
     ranked = scored.withColumn("rank", F.row_number().over(order).cast("long"))
     ranked = ranked if top is None else ranked.filter(F.col("rank") <= top)
     return left_join(ranked, totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def collocations(docs: DataFrame, *, least_count: int = LEAST_COUNT, words: int = WORDS, top: int | None = TOP,
+                 shard_words: int = SHARD_WORDS) -> DataFrame:
+    """The best phrases of 2 to ``words`` words of each language of ``docs (lang, text)``; other columns are ignored.
+
+    A-Z are lowered. Texts break into pieces at ``. , ; : ! ?`` and line ends, pieces into words at blanks and tabs; every other character
+    belongs to a word. A null text is empty, a null language is ``und``. Rows that repeat count each. A phrase needs ``least_count``
+    occurrences. Of all its cuts into two parts the one with the lowest ``floor(SCALE * a * a / (l * r))`` counts, the first of equal ones;
+    a, l and r are the occurrences of the phrase and of the parts. A phrase inside a longer one that has at least ``COVERED`` percent of its
+    occurrences is left out. Returns ``lang, rank, phrase, a, l, r, n, score``, by score, then occurrences, then phrase, the first ``top``
+    of a language (None: all). No documents, or none with a frequent phrase, give no rows.
+
+    Products are decimals of 38 digits, which are exact for up to 10**15 occurrences.
+    """
+    return ranked_phrases(*phrase_counts(docs, least_count, words, shard_words=shard_words), words, top)
