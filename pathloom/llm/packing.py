@@ -14,6 +14,7 @@ import string
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +22,15 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from pathloom.llm.text import plain, releasing, row_groups
+from pathloom.llm.text import bound_batches, plain, releasing, row_groups
 
 CAPACITY = 4096
 # Classes of documents below 1/CLASSES of the capacity are one class.
 CLASSES = 64
-# A worker keeps the ids of at most twice this many different parts of words.
-KNOWN_PARTS = 80_000
-_BYTES_AT_ONCE = 1 << 20
+# A worker keeps the ids of all different parts of words it has met, and starts anew beyond so many bytes (some five million parts).
+KNOWN_BYTES = 64 << 20
+_BYTES_AT_ONCE = 2 << 20
+_LEARNED_AT_ONCE = 1 << 13
 _PART_BITS = 38
 # Latin letters whose normal form and lower case are one letter, so that no mark of theirs joins the punctuation behind.
 _LAST_LETTER = r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]$"
@@ -118,50 +120,78 @@ class WordTokenizer:
     ends with a letter and the ASCII punctuation behind it, and each different part is tokenized once and looked up from then on.
     """
 
-    def __init__(self, path: str, end_id: int, known: int = KNOWN_PARTS):
+    def __init__(self, path: str, end_id: int, known_bytes: int = KNOWN_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), known
-        self.parts: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
+        self.tokenizer, self.known_bytes = Tokenizer.from_file(path), known_bytes
+        self.kind = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
         self.end = np.array([end_id], "<u4").tobytes()
+        self._forget()
+
+    def _forget(self) -> None:
+        """The known parts are one array of texts; the ids of part ``i`` are those from ``starts[i]`` to ``starts[i + 1]``. Parts are found by
+        their hashes, which are sorted beside their places."""
+        self.parts, self.ids, self.starts = pa.array([""]), np.empty(0, self.kind), np.zeros(2, np.int64)
+        self.hashes, self.place_of = np.array([hash("")]), np.zeros(1, np.int32)
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Of texts without nulls, each with the end id."""
         lists = pc.ascii_split_whitespace(texts)
         encoded = lists.flatten().dictionary_encode()
         parts = _parts(encoded.dictionary).dictionary_encode()
-        names = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
-        codes = list(map(self.parts.get, names))
-        if None in codes:
-            new = {name: self.older.get(name) for name, code in zip(names, codes) if code is None}
-            if len(self.parts) + len(new) > self.known:  # parts that are still in use come back from the older ones
-                self.older, self.parts = self.parts, {"": b""}
-                new |= {name: code for name, code in zip(names, codes) if code is not None}
-            self.parts.update((name, code) for name, code in new.items() if code is not None)
-            self._learn([name for name, code in new.items() if code is None])
-            codes = list(map(self.parts.__getitem__, names))
-        # The ids of all parts stand in a row; those of a text are gathered by the places of its words, two parts each.
-        sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        place = self._places(parts.dictionary)
+        # The ids of a text are gathered by the places of its words, two parts each.
+        sizes, starts = np.diff(self.starts)[place], self.starts[place]
         at = parts.indices.to_numpy().reshape(-1, 2)[encoded.indices.to_numpy()].ravel()
         each = sizes[at]
         ends = np.append(0, np.cumsum(each))
-        first = (np.cumsum(sizes) - sizes)[at] - ends[:-1]
-        ids = np.frombuffer(b"".join(codes), "<u4")[np.repeat(first, each) + np.arange(ends[-1])]
+        ids = self.ids[np.repeat(starts[at] - ends[:-1], each) + np.arange(ends[-1])].astype("<u4")
         bounds = ends[2 * np.append(0, np.cumsum(lists.value_lengths().to_numpy()))]
         return [ids[i:j].tobytes() + self.end for i, j in zip(bounds, bounds[1:])]
 
-    def _learn(self, names: list[str]) -> None:
-        letters = [name for name in names if name.isalpha()]
+    def _places(self, names: pa.Array) -> np.ndarray:
+        """Where the different ``names`` stand among the known parts; new ones are learned."""
+        texts = names.to_numpy(zero_copy_only=False).tolist()
+        hashes = np.fromiter(map(hash, texts), np.int64, len(texts))
+        found = self.place_of[np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)].astype(np.int64)
+        # A part that shares its hash with another one counts as new, so that no hash decides.
+        new = pc.not_equal(self.parts.take(pa.array(found)), names).to_numpy(zero_copy_only=False)
+        if new.any():
+            known = self.parts.nbytes + self.ids.nbytes + self.starts.nbytes + self.hashes.nbytes + self.place_of.nbytes
+            if len(self.parts) > 1 and known > self.known_bytes:
+                self._forget()
+                return self._places(names)
+            found[new] = self._learn([texts[n] for n in np.flatnonzero(new)], hashes[new])
+        return found
+
+    def _learn(self, names: list[str], hashes: np.ndarray) -> np.ndarray:
+        """The places of new parts, which are learned few at a time, as the tokenizer's own result is large."""
+        return np.concatenate([self._learned(names[i:i + _LEARNED_AT_ONCE], hashes[i:i + _LEARNED_AT_ONCE])
+                               for i in range(0, len(names), _LEARNED_AT_ONCE)])
+
+    def _learned(self, names: list[str], hashes: np.ndarray) -> np.ndarray:
+        alone = np.fromiter(map(str.isalpha, names), bool, len(names))
+        letters = [name for name, one in zip(names, alone) if one]
         code = self.tokenizer.encode(" ".join(letters), add_special_tokens=False)
         owner = np.array(code.word_ids, np.int64)
         if len(letters) == (owner[-1] + 1 if len(owner) else 0):
-            raw, ends = np.array(code.ids, "<u4").tobytes(), (4 * np.searchsorted(owner, np.arange(len(letters) + 1))).tolist()
-            self.parts.update(zip(letters, [raw[i:j] for i, j in zip(ends, ends[1:])]))
-        rest = [name for name in names if name not in self.parts]
-        ids = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
-        self.parts.update(zip(rest, [np.array(code.ids, "<u4").tobytes() for code in ids]))
+            ids, ends = np.array(code.ids, self.kind), np.searchsorted(owner, np.arange(1, len(letters) + 1))
+        else:  # a normal form of a letter is more than one word
+            alone[:] = False
+            letters, ids, ends = [], np.empty(0, self.kind), np.empty(0, np.int64)
+        rest = [name for name, one in zip(names, alone) if not one]
+        codes = [code.ids for code in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        each = np.concatenate([np.diff(ends, prepend=0), np.fromiter(map(len, codes), np.int64, len(codes))])
+        place = np.empty(len(names), np.int64)
+        place[np.concatenate([np.flatnonzero(alone), np.flatnonzero(~alone)])] = len(self.parts) + np.arange(len(names))
+        self.parts = pa.concat_arrays([self.parts, pa.array(letters + rest, pa.string())])
+        self.ids = np.concatenate([self.ids, ids, np.fromiter(chain.from_iterable(codes), self.kind)])
+        self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(each))
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes, self.place_of = np.insert(self.hashes, at, hashes[order]), np.insert(self.place_of, at, place[order])
+        return place
 
 
 def _parts(words: pa.StringArray) -> pa.StringArray:
@@ -221,4 +251,5 @@ def pack(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, capacity: int
             yield table(found)
         yield table(list(rows(packer.finish())))
 
+    bound_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(releasing(work), SCHEMA)

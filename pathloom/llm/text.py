@@ -11,11 +11,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 SHINGLE_WORDS = 5
 # Bytes worked on at once; the arrays of a step take about ten times as much.
 SEGMENT = 1 << 20
 GROUP = 1 << 20
+BATCH_BYTES = 4 << 20
+_BATCH_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -42,6 +45,15 @@ def release_memory() -> None:
         pass
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of at most ``BATCH_BYTES``, unless the session names a bound of its own.
+
+    Batches are held by the executor's JVM and by the worker, and 10,000 long texts, the usual batch, take several times their size on both sides.
+    """
+    if spark.conf.get(_BATCH_BOUND, None) is None:
+        spark.conf.set(_BATCH_BOUND, BATCH_BYTES)
+
+
 def releasing(work: Callable) -> Callable:
     """``work`` over Arrow batches that gives its memory back at the end of the task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

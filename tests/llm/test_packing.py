@@ -31,7 +31,7 @@ def test_ids_are_those_of_the_tokenizer(tokenizer):
 
 @pytest.fixture(scope="module")
 def forgetful():
-    return WordTokenizer(PATH, 2, known=3)
+    return WordTokenizer(PATH, 2, known_bytes=50)
 
 
 @settings(deadline=None, max_examples=300)
