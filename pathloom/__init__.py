@@ -1,22 +1,28 @@
 """Clustering of web addresses as Spark DataFrame operations."""
 
-from pathloom.functions.url import python_sorter, split_url
-from pathloom.functions.weights import PythonWeight, zipf_coefficient
-from pathloom.operators.clustering import assign_clusters, cluster_urls, fit_clusters
-from pathloom.operators.coordinates import attach_labels, plane_coordinates
-from pathloom.operators.features import url_features, weighted_coefficients
-from pathloom.operators.scores import evaluate_clusters, silhouette, v_measure
-from pathloom.operators.terms import explode_terms, split_urls
-from pathloom.operators.timing import profile_fit, timing_summary
-from pathloom.operators.vocabulary import rank_terms, top_terms, vocabulary
-from pathloom.operators.word_vectors import word_vectors, word_vectors_by_window
-from pathloom.plans.search import Trial, grid_trials, random_trials, search_clusters
-from pathloom.sources.tables import UrlStore, read_labels, read_urls
+from importlib import import_module
 
-__all__ = [
-    "PythonWeight", "Trial", "UrlStore", "assign_clusters", "attach_labels", "cluster_urls", "evaluate_clusters",
-    "explode_terms", "fit_clusters", "grid_trials", "plane_coordinates", "profile_fit", "python_sorter",
-    "random_trials", "rank_terms", "read_labels", "read_urls", "search_clusters", "silhouette", "split_url",
-    "split_urls", "timing_summary", "top_terms", "url_features", "v_measure", "vocabulary", "weighted_coefficients",
-    "word_vectors", "word_vectors_by_window", "zipf_coefficient",
-]
+_MODULE_OF = {
+    "functions.url": ("python_sorter", "split_url"),
+    "functions.weights": ("PythonWeight", "zipf_coefficient"),
+    "operators.clustering": ("assign_clusters", "cluster_urls", "fit_clusters"),
+    "operators.coordinates": ("attach_labels", "plane_coordinates"),
+    "operators.features": ("url_features", "weighted_coefficients"),
+    "operators.scores": ("evaluate_clusters", "silhouette", "v_measure"),
+    "operators.terms": ("explode_terms", "split_urls"),
+    "operators.timing": ("profile_fit", "timing_summary"),
+    "operators.vocabulary": ("rank_terms", "top_terms", "vocabulary"),
+    "operators.word_vectors": ("word_vectors", "word_vectors_by_window"),
+    "plans.search": ("Trial", "grid_trials", "random_trials", "search_clusters"),
+    "sources.tables": ("UrlStore", "read_labels", "read_urls"),
+}
+_WHERE = {name: module for module, names in _MODULE_OF.items() for name in names}
+
+__all__ = sorted(_WHERE)
+
+
+def __getattr__(name: str):
+    """Modules are imported at first use: Python workers, which import this package for a function of one module, need few of them."""
+    if name not in _WHERE:
+        raise AttributeError(f"module {__name__!r} has no attribute {name!r}")
+    return getattr(import_module(f"{__name__}.{_WHERE[name]}"), name)
