@@ -15,18 +15,19 @@ ClusterModel = KMeansModel | BisectingKMeansModel
 
 
 def fit_clusters(features: DataFrame, k: int, distance_measure: str = "euclidean", *, algorithm: str = "kmeans",
-                 max_iter: int = MAX_ITER, seed: int = 1) -> ClusterModel:
+                 max_iter: int = MAX_ITER, seed: int = 1, weight: str | None = None) -> ClusterModel:
     """Fit ``algorithm`` (``kmeans`` or ``bisecting_kmeans``) on ``vector``; predictions go to ``cluster_id``.
 
-    With ``cosine`` no vector may be all zeros; Spark refuses such rows (:func:`without_zero_vectors` leaves them out).
+    With ``cosine`` no vector may be all zeros; Spark refuses such rows (:func:`without_zero_vectors` leaves them out). The
+    column ``weight`` tells for how many equal rows each row stands.
     """
     estimator = ESTIMATORS[algorithm](k=k, distanceMeasure=distance_measure, maxIter=max_iter, seed=seed,
-                                      featuresCol="vector", predictionCol="cluster_id")
+                                      featuresCol="vector", predictionCol="cluster_id", **({"weightCol": weight} if weight else {}))
     return estimator.fit(features)
 
 
 def assign_clusters(model: ClusterModel, features: DataFrame) -> DataFrame:
-    """Add ``cluster_id``. Stateless: works on streaming DataFrames too."""
+    """Add ``cluster_id``. Stateless: works on streaming DataFrames too. Models of :mod:`pathloom.operators.many_fits` do as well."""
     return model.transform(features)
 
 

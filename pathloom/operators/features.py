@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.ml.feature import StandardScaler
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, StructField, StructType
@@ -229,11 +230,31 @@ def url_means(ranked: DataFrame, vectors: DataFrame | SharedVectors, s: float, w
     return with_vector.withColumn("vector", array_to_vector("vector"))
 
 
-def standardize(urls_and_vectors: DataFrame) -> DataFrame:
+def _deviations(vectors: DataFrame, weight: str) -> np.ndarray:
+    """Sample standard deviations of ``vector`` if each row stands for ``weight`` equal rows."""
+    rows = F.col(weight).cast("double")
+    found = vectors.agg(Summarizer.metrics("variance").summary(F.col("vector"), rows).alias("_spread"), F.sum(rows).alias("_n"),
+                        F.sum(rows * rows).alias("_squares")).first()
+    if not found["_n"]:
+        return np.zeros(0)
+    # Spark's weighted variance divides by n - sum(w * w) / n, as for weights that are no counts.
+    n = found["_n"]
+    return np.sqrt(found["_spread"]["variance"].toArray() * (n - found["_squares"] / n) / max(n - 1, 1.0))
+
+
+def standardize(urls_and_vectors: DataFrame, weight: str | None = None) -> DataFrame:
     """Divide each dimension of ``vector`` by its sample standard deviation, without centring; a constant dimension
-    becomes 0. Other columns stay."""
-    scaler = StandardScaler(inputCol="vector", outputCol="_scaled", withMean=False, withStd=True)
-    scaled = scaler.fit(urls_and_vectors.select("vector")).transform(urls_and_vectors)
+    becomes 0. Other columns stay.
+
+    :param weight: column that tells for how many equal rows each row stands.
+    """
+    if weight is None:
+        scaler = StandardScaler(inputCol="vector", outputCol="_scaled", withMean=False, withStd=True)
+        scaled = scaler.fit(urls_and_vectors.select("vector")).transform(urls_and_vectors)
+    else:
+        deviations = _deviations(urls_and_vectors, weight)
+        factors = np.divide(1.0, deviations, out=np.zeros_like(deviations), where=deviations > 0)
+        scaled = ElementwiseProduct(scalingVec=Vectors.dense(factors), inputCol="vector", outputCol="_scaled").transform(urls_and_vectors)
     return scaled.select(*[F.col("_scaled").alias(c) if c == "vector" else c for c in urls_and_vectors.columns])
 
 
@@ -243,7 +264,7 @@ def url_features(ranked: DataFrame, vectors: DataFrame | SharedVectors, s: float
     """``id, url, split_url, coefficients, vector``: standardized mean vectors of the URLs.
 
     A URL has no row if none of its terms has a vector or its coefficients sum to zero. The means are computed once, for
-    the deviations, and kept for whoever reads the result.
+    the deviations, and stored in the checkpoint folder for whoever reads the result.
     """
     means = url_means(ranked, vectors, s, weight, hot_keys=hot_keys, broadcast_bytes=broadcast_bytes)
-    return standardize(means.persist(StorageLevel.MEMORY_AND_DISK))
+    return standardize(cut_lineage(means))

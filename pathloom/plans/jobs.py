@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pathloom.functions.url import TermSorter
 from pathloom.functions.weights import PositionWeight, PythonWeight
-from pathloom.operators import clustering, coordinates, scores, terms, timing, vocabulary, word_vectors
+from pathloom.operators import coordinates, scores, terms, timing, vocabulary, word_vectors
 from pathloom.operators.features import url_features
+from pathloom.operators.patterns import cluster_urls_by_pattern
 from pathloom.plans.search import Score, SearchResult, Trial, random_trials, search_clusters
 from pathloom.sources.tables import UrlStore, read_labels, read_urls, require_unique_ids
 
@@ -23,8 +24,11 @@ def split_urls(spark: SparkSession, store: UrlStore, urls_csv: str, term_sorter:
 
 
 def rank_terms(spark: SparkSession, store: UrlStore, min_count: int = vocabulary.MIN_COUNT,
-               max_ratio: float = vocabulary.MAX_RATIO, *, unique_ids: bool = False) -> int:
-    """Count, prune and rank the stored terms. Returns how many URLs kept no word and are therefore left out."""
+               max_ratio: float = vocabulary.MAX_RATIO, *, unique_ids: bool = True) -> int:
+    """Count, prune and rank the stored terms. Returns how many URLs kept no word and are therefore left out.
+
+    :param unique_ids: that no id repeats, as :func:`split_urls` has checked; otherwise copies are removed.
+    """
     split = store.read_split_urls(spark)
     store.write_ranked_urls(vocabulary.rank_terms(split, min_count, max_ratio, unique_ids=unique_ids))
     return vocabulary.dropped_urls(split, store.read_ranked_urls(spark)).count()
@@ -48,13 +52,11 @@ def stored_features(spark: SparkSession, store: UrlStore, window_size: int, s: f
 
 def cluster_urls(spark: SparkSession, store: UrlStore, k: int, distance_measure: str, s: float, window_size: int,
                  weight: Weight = None, *, algorithm: str = "kmeans", **fitting) -> None:
-    """Cluster the stored URLs with given parameters and store the result under the algorithm's name."""
-    features = stored_features(spark, store, window_size, s, weight).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        clustered = clustering.cluster_urls(features, k, distance_measure, algorithm=algorithm, **fitting)
-        store.write_clustered_urls(clustered, algorithm)
-    finally:
-        features.unpersist()
+    """Cluster the stored URLs with given parameters and store the result under the algorithm's name. The fit sees each pattern of terms once,
+    as heavy as its URLs are many."""
+    clustered = cluster_urls_by_pattern(store.read_ranked_urls(spark), store.read_word_vectors(spark, window_size), s, k, distance_measure, weight,
+                                        algorithm=algorithm, **fitting)
+    store.write_clustered_urls(clustered, algorithm)
 
 
 def search_clusters_stored(spark: SparkSession, store: UrlStore, trials: Sequence[Trial] | int, weight: Weight = None, *,

@@ -3,17 +3,26 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
+from hashlib import sha256
 from itertools import groupby, product
 from multiprocessing.pool import ThreadPool
+from threading import Lock
 
+import numpy as np
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pathloom.functions.weights import PositionWeight, PythonWeight
 from pathloom.operators.clustering import MAX_ITER, ClusterModel, assign_clusters, fit_clusters, without_zero_vectors
-from pathloom.operators.features import SharedVectors, share_vectors, standardize, url_features, url_means
+from pathloom.operators.features import SharedVectors, share_vectors, standardize
+from pathloom.operators.many_fits import CentreModel, Fit, fit_many, silhouette_of, silhouettes
+from pathloom.operators.patterns import pattern_features, pattern_means, term_patterns, to_urls
 from pathloom.operators.scores import silhouette
 from pathloom.scale import cut_lineage
 
@@ -24,6 +33,7 @@ WINDOW_RANGE = (2, 5)
 S_RANGE = (0.5, 5.0)
 
 Score = Callable[[DataFrame], float]
+Model = ClusterModel | CentreModel
 
 
 @dataclass(frozen=True)
@@ -42,7 +52,7 @@ class SearchResult:
     trials: DataFrame
     best: Trial | None
     best_score: float | None
-    model: ClusterModel | None
+    model: Model | None
     clustered: DataFrame | None
 
 
@@ -69,79 +79,166 @@ def _clusterable(features: DataFrame, trial: Trial) -> DataFrame:
     return without_zero_vectors(features) if trial.distance_measure == "cosine" else features
 
 
-def run_trial(features: DataFrame, trial: Trial, algorithm: str, score: Score | None = None, *,
-              max_iter: int = MAX_ITER, seed: int = 1) -> tuple[float | None, ClusterModel | None]:
+def run_trial(features: DataFrame, trial: Trial, algorithm: str, score: Score | None = None, *, max_iter: int = MAX_ITER, seed: int = 1,
+              weight: str | None = None) -> tuple[float | None, ClusterModel | None]:
     """Fit and score one trial on its (cached) features. Under cosine distance rows with a zero vector are in no cluster. No
-    score if no row is left or, without a score function, only one cluster came out."""
+    score if no row is left or, without a score function, only one cluster came out.
+
+    :param weight: column that tells for how many equal rows each row of ``features`` stands.
+    """
     features = _clusterable(features, trial)
     if not features.limit(1).count():
         return None, None
-    model = fit_clusters(features, trial.k, trial.distance_measure, algorithm=algorithm, max_iter=max_iter, seed=seed)
+    model = fit_clusters(features, trial.k, trial.distance_measure, algorithm=algorithm, max_iter=max_iter, seed=seed, weight=weight)
     clustered = assign_clusters(model, features)
     if score is not None:
         return score(clustered), model
+    if weight is not None:
+        value = silhouette_of(clustered, trial.distance_measure, weight)
+        return value, None if value is None else model
     if not _has_two_clusters(clustered):
         return None, None
     return silhouette(clustered, trial.distance_measure), model
 
 
+@dataclass(frozen=True)
+class Outcome:
+    score: float | None
+    model: Model | None
+
+
+class Ledger:
+    """Finished trials of a search in a Parquet folder: one row each, appended when a feature set is done, so that a search which was stopped
+    scores only what is left. Rows are found again by the parameters of the trial and by ``run``, which names inputs, algorithm and seed."""
+
+    SCHEMA = ("run string, k int, distance_measure string, window_size int, s double, score double, "
+              "centres array<array<double>>")
+
+    def __init__(self, spark: SparkSession, path: str, run: str):
+        self.spark, self.path, self.run = spark, path, run
+
+    def finished(self) -> dict[Trial, Outcome]:
+        try:
+            rows = self.spark.read.schema(self.SCHEMA).parquet(self.path).where(F.col("run") == self.run).collect()
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return {}
+        return {
+            Trial(row["k"], row["distance_measure"], row["window_size"], row["s"]):
+                Outcome(row["score"], CentreModel(np.array(row["centres"]), row["distance_measure"]) if row["centres"] else None)
+            for row in rows
+        }
+
+    def append(self, outcomes: dict[Trial, Outcome]) -> None:
+        rows = [
+            (self.run, trial.k, trial.distance_measure, trial.window_size, trial.s, outcome.score,
+             [list(map(float, c)) for c in outcome.model.centres] if isinstance(outcome.model, CentreModel) else None)
+            for trial, outcome in outcomes.items()
+        ]
+        self.spark.createDataFrame(rows, self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+
+
+def _fingerprint(df: DataFrame, *columns: Column | str) -> str:
+    """Of the rows of a table, in any order; equal rows count."""
+    hashed = F.xxhash64(*columns).cast("decimal(20,0)")
+    return str(tuple(df.agg(F.count(F.lit(1)), F.sum(hashed), F.sum(F.pmod(hashed * hashed, F.lit(1_000_000_007)))).first()))
+
+
+def _run_name(patterns: DataFrame, vectors_of: Callable[[int], DataFrame], trials: Sequence[Trial], *settings) -> str:
+    sizes = sorted({trial.window_size for trial in trials})
+    parts = [_fingerprint(patterns, "pattern", "urls"), *settings]
+    return sha256(repr(parts).encode()).hexdigest() + "".join(
+        f" {size}:{sha256(_fingerprint(vectors_of(size), 'word', vector_to_array('vector')).encode()).hexdigest()[:16]}" for size in sizes)
+
+
 def search_clusters(ranked: DataFrame, vectors_of: Callable[[int], DataFrame], trials: Sequence[Trial], *,
                     algorithm: str = "kmeans", score: Score | None = None,
                     weight: PositionWeight | PythonWeight | None = None, max_iter: int = MAX_ITER, seed: int = 1,
-                    parallelism: int = 1) -> SearchResult:
+                    parallelism: int = 1, ledger: str | None = None) -> SearchResult:
     """Run all trials and keep the best.
 
     :param vectors_of: the word vectors of a window size, e.g. a table read from a store.
     :param score: score of a clustered DataFrame, higher is better; by default the silhouette under the distance
         measure of the trial, so scores of different measures are compared as they are.
-    :param parallelism: feature sets worked on at a time. The means of each are cached while its trials run, scaling, fitting and
-        scoring included, and trials with equal ``window_size`` and ``s`` share them. The word vectors of a window size are
-        shared by all of its feature sets.
+    :param parallelism: feature sets worked on at a time. The URLs are reduced to weighted patterns of terms once; the means of each
+        feature set are cached while its trials run, and trials with equal ``window_size`` and ``s`` share them. All its
+        K-means trials advance together. The word vectors of one window size at a time are shared by its feature sets.
+    :param ledger: folder in which finished trials are kept. A search over the same tables with the same algorithm, seed and iterations
+        takes their scores from there. Functions cannot be compared: use one folder for each ``score`` and ``weight``.
     """
-
-    def run_group(shared: SharedVectors | DataFrame, group: list[int]) -> list[tuple[int, float | None, ClusterModel | None]]:
-        means = url_means(ranked, shared, trials[group[0]].s, weight).persist(StorageLevel.MEMORY_AND_DISK)
+    spark = ranked.sparkSession
+    patterns = cut_lineage(term_patterns(ranked))
+    book = None if ledger is None else Ledger(spark, ledger, _run_name(patterns, vectors_of, trials, algorithm, seed, max_iter))
+    done = {} if book is None else book.finished()
+    lock = Lock()
+    # The clusters of the best trial that has been run, by pattern.
+    kept: dict[Trial, DataFrame] = {}
+    places = {t: at for at, t in reversed(list(enumerate(trials)))}
+
+    def first_best(candidates: Iterable[Trial]) -> Trial | None:
+        """The first trial with the highest score."""
+        scored = [t for t in sorted(set(candidates), key=places.__getitem__) if done[t].score is not None and done[t].score == done[t].score]
+        return max(scored, key=lambda t: done[t].score, default=None)
+
+    def of_urls(clustered: DataFrame) -> float:
+        return score(to_urls(ranked, clustered, ["split_url", "coefficients", "vector", "cluster_id"]))
+
+    def run_group(shared: SharedVectors | DataFrame, group: list[Trial]) -> None:
+        means = pattern_means(patterns, shared, group[0].s, weight).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            features = standardize(means)
-            return [(at, *run_trial(features, trials[at], algorithm, score, max_iter=max_iter, seed=seed)) for at in group]
+            features = standardize(means, weight="urls")
+            if algorithm == "kmeans":
+                models = fit_many(features, [Fit(t.k, t.distance_measure, seed) for t in group], weight="urls", max_iter=max_iter)
+                values = silhouettes(features, models, weight="urls") if score is None else [
+                    of_urls(assign_clusters(m, _clusterable(features, t))) if m else None for t, m in zip(group, models)]
+                found = {t: Outcome(value, model) for t, value, model in zip(group, values, models)}
+            else:
+                found = {t: Outcome(*run_trial(features, t, algorithm, score and of_urls, max_iter=max_iter, seed=seed, weight="urls")) for t in group}
+            with lock:
+                done.update(found)
+                if book is not None:
+                    book.append(found)
+                best = first_best([*found, *kept])
+                if best is not None and best not in kept:
+                    clustered = cut_lineage(assign_clusters(found[best].model, _clusterable(features, best)).select("pattern", "cluster_id", "vector"))
+                    kept.clear()
+                    kept[best] = clustered
         finally:
             means.unpersist()
 
-    spark = ranked.sparkSession
-    shares: dict[int, SharedVectors | DataFrame] = {}
-    for size in sorted({trial.window_size for trial in trials}):
-        shares[size] = share_vectors(vectors_of(size)) or vectors_of(size)
-    try:
-        keys = [(trial.window_size, trial.s) for trial in trials]
-        groups = [list(group) for _, group in groupby(sorted(range(len(trials)), key=keys.__getitem__), key=keys.__getitem__)]
-        work = [(shares[trials[group[0]].window_size], group) for group in groups]
-        if parallelism > 1:
-            with ThreadPool(parallelism) as pool:
-                outcomes = pool.starmap(inheritable_thread_target(spark)(run_group), work)
-        else:
-            outcomes = [run_group(*each) for each in work]
-        return _result(spark, ranked, shares, trials, [outcome for group in outcomes for outcome in group], algorithm, weight)
-    finally:
-        for shared in shares.values():
-            if isinstance(shared, SharedVectors):
-                shared.destroy()
-
-
-def _result(spark: SparkSession, ranked: DataFrame, shares: dict, trials: Sequence[Trial], outcomes: list, algorithm: str,
-            weight: PositionWeight | PythonWeight | None) -> SearchResult:
-    best, best_score, best_model = None, None, None
-    rows = []
-    for at, value, model in sorted(outcomes, key=lambda outcome: outcome[0]):
-        trial = trials[at]
-        rows.append((at + 1, algorithm, trial.k, trial.distance_measure, trial.window_size, trial.s, value))
-        if value is not None and value == value and (best_score is None or value > best_score):
-            best, best_score, best_model = trial, value, model
+    left = sorted({t for t in trials if t not in done}, key=lambda t: (t.window_size, t.s, t.k, t.distance_measure))
+    for window_size, of_window in groupby(left, key=lambda t: t.window_size):
+        groups = [list(group) for _, group in groupby(list(of_window), key=lambda t: t.s)]
+        with _shared(vectors_of(window_size)) as shared:
+            if parallelism > 1:
+                with ThreadPool(parallelism) as pool:
+                    pool.starmap(inheritable_thread_target(spark)(run_group), [(shared, group) for group in groups])
+            else:
+                for group in groups:
+                    run_group(shared, group)
+    rows = [(at, algorithm, t.k, t.distance_measure, t.window_size, t.s, done[t].score) for at, t in enumerate(trials, 1)]
     table = spark.createDataFrame(
         rows, "trial int, algorithm string, k int, distance_measure string, window_size int, s double, score double"
     )
+    best = first_best(trials)
     if best is None:
         return SearchResult(table, None, None, None, None)
-    features = _clusterable(url_features(ranked, shares[best.window_size], best.s, weight), best)
-    # Computed now, as the shared vectors end with the search.
-    clustered = cut_lineage(assign_clusters(best_model, features).select("id", "url", "cluster_id", "vector"))
-    return SearchResult(table, best, best_score, best_model, clustered)
+    model = done[best].model
+    if best not in kept:  # finished by an earlier search, which has left its centres at most
+        with _shared(vectors_of(best.window_size)) as shared:
+            features = cut_lineage(_clusterable(pattern_features(patterns, shared, best.s, weight), best))
+        model = model or fit_clusters(features, best.k, best.distance_measure, algorithm=algorithm, max_iter=max_iter, seed=seed, weight="urls")
+        kept[best] = assign_clusters(model, features)
+    clustered = cut_lineage(to_urls(ranked, kept[best], ["cluster_id", "vector"]))
+    return SearchResult(table, best, done[best].score, model, clustered)
+
+
+@contextmanager
+def _shared(vectors: DataFrame) -> Iterator[SharedVectors | DataFrame]:
+    shared = share_vectors(vectors)
+    try:
+        yield shared or vectors
+    finally:
+        if shared is not None:
+            shared.destroy()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pathloom import Trial, UrlStore, cluster_urls, grid_trials, random_trials, read_labels, read_urls, word_vectors
 from pathloom.operators.features import share_vectors
 from pathloom.plans import jobs
+from pathloom.plans import search as search_module
 from pathloom.plans.search import run_trial
 from pathloom.sources.tables import require_unique_ids
 
@@ -181,3 +182,41 @@ def test_one_broadcast_per_window_size(spark, store, monkeypatch):
     trials = grid_trials([4], ["euclidean"], [2, 3], [1.0, 1.5, 2.0])
     jobs.search_clusters_stored(spark, store, trials)
     assert len(made) == 2
+
+
+@pytest.mark.parametrize("algorithm", ["kmeans", "bisecting_kmeans"])
+def test_a_stopped_search_goes_on(spark, store, monkeypatch, tmp_path, algorithm):
+    """Only trials of feature sets that were not finished are run again, and the result is the same as without the stop."""
+    trials = grid_trials([3, 4], ["euclidean", "cosine"], [2, 3], [1.0, 2.0])
+    ledger = str(tmp_path / "ledger")
+    search = lambda **more: jobs.search_clusters_stored(spark, store, trials, algorithm=algorithm, ledger=ledger, **more)
+    means = search_module.pattern_means
+    calls = []
+
+    def counted(*args, **more):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("the driver is lost")
+        return means(*args, **more)
+
+    monkeypatch.setattr(search_module, "pattern_means", counted)
+    with pytest.raises(RuntimeError, match="lost"):
+        search()
+    calls[:] = [1] * 10
+    resumed = search()
+    assert len(calls) == 12
+    calls[:] = [1] * 10
+    again = search()
+    assert len(calls) == 10
+    monkeypatch.undo()
+    whole = jobs.search_clusters_stored(spark, store, trials, algorithm=algorithm)
+    rows = lambda result: [(r.trial, r.k, r.s, None if r.score is None else round(r.score, 9)) for r in result.trials.orderBy("trial").collect()]
+    assert rows(resumed) == rows(whole) == rows(again)
+    assert resumed.best == whole.best == again.best
+    clusters = lambda result: sorted((r.id, r.cluster_id) for r in result.clustered.collect())
+    assert clusters(resumed) == clusters(whole) == clusters(again)
+    # Other seeds, tables or iterations are other trials.
+    calls[:] = [1] * 10
+    monkeypatch.setattr(search_module, "pattern_means", counted)
+    search(seed=2)
+    assert len(calls) == 14
