@@ -14,13 +14,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm.folds import sample_by
-from pathloom.llm.text import plain, release_memory, releasing
+from pathloom.llm.text import bound_batches, plain, release_memory, releasing
 
 FEATURES = 4096
 CENTROIDS = 4
@@ -118,7 +117,9 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fit_language(idf: np.ndarray, k: int, seed: int):
-    def work(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
+    def work(key, table):
+        import pandas as pd  # workers that only predict do without it
+
         texts = table.sort_values("doc_id")["text"].tolist()
         model = LanguageModel(idf)
         x = np.concatenate([model.vectors(counts) for counts, _ in count_ngrams(texts)])
@@ -154,6 +155,7 @@ def _fit_language(idf: np.ndarray, k: int, seed: int):
 def fit(docs: DataFrame, *, centroids: int = CENTROIDS, sample: int = SAMPLE, seed: int = 1) -> LanguageModel:
     """Learn from all rows of ``docs (doc_id, text, lang)`` with text and language. Without such rows the model knows no language
     and rejects every text."""
+    bound_batches(docs.sparkSession)
     known = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null and text != ''")
     rows = known.select("text").mapInArrow(releasing(_frequencies), "feature int, texts long").groupBy("feature").agg(F.sum("texts")).collect()
     found = np.zeros(FEATURES + 1)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm.folds import count_by, sample_by
-from pathloom.llm.text import NO_LETTER, plain, release_memory, row_groups, word_hashes
+from pathloom.llm.text import NO_LETTER, bound_batches, plain, release_memory, row_groups, word_hashes
 
 THRESHOLD = 0.3
 SAMPLE = 3000
@@ -33,6 +33,8 @@ EPOCHS = 4
 LEAST_STEPS = 200
 BATCH = 64
 RATE = 0.08
+# Bytes of text.
+_SCORED_AT_ONCE = 1 << 18
 
 
 _EDGE = np.ones((1, 1 + len(STARTS)), np.int32)
@@ -106,7 +108,7 @@ class ToxicityModel:
 
     def score(self, column: pa.Array) -> np.ndarray:
         column, scores = plain(column), []
-        for start, stop in row_groups(column, 1 << 20):
+        for start, stop in row_groups(column, _SCORED_AT_ONCE):
             logits, language = self.logits(*word_hashes(column.slice(start, stop - start), NO_LETTER, STARTS))
             scores.append(_sigmoid(logits + self.shifts[language]))
         return np.concatenate(scores or [np.empty(0)])
@@ -223,6 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, seed: int =
     :param labels: ``doc_id, toxic`` (0 or 1; null rows are left out; of several labels of one document the highest counts).
     Without labels the model scores every text alike.
     """
+    bound_batches(docs.sparkSession)
     known = labels.select("doc_id", "toxic").filter("toxic is not null and doc_id is not null")
     counts = count_by(known, "toxic")
     chosen = sample_by(known, "toxic", "doc_id", sample, counts).groupBy("doc_id").agg((F.max("toxic") > 0).alias("_toxic"))
