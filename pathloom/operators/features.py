@@ -16,11 +16,13 @@ from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, Stru
 
 from pathloom.functions.lookup import KnownTerms, known_terms
 from pathloom.functions.weights import PositionWeight, PythonWeight, coefficients
-from pathloom.scale import BROADCAST_BYTES, HOT_BYTES, HOT_KEYS, cut_lineage, fits_broadcast, join_skewed
+from pathloom.scale import BROADCAST_BYTES, HOT_BYTES, HOT_KEYS, broadcast_size, cut_lineage, fits_broadcast, join_skewed
 
 _DOUBLE_BYTES = 8
 # Terms whose vectors a task holds at a time: few enough for the processor cache.
 _TERMS_AT_ONCE = 1 << 12
+# Word vectors are summed in at most so many passes; of more, the rare words are joined.
+MAX_PIECES = 8
 
 
 def weighted_coefficients(ranked: DataFrame, s: float, weight: PositionWeight | PythonWeight | None = None) -> DataFrame:
@@ -164,6 +166,67 @@ def _means_in_tasks(weighted: DataFrame, shared: SharedVectors) -> DataFrame:
     return weighted.mapInArrow(means, _with_fields(weighted, ("vector", ArrayType(DoubleType()))))
 
 
+def _means_by_pieces(weighted: DataFrame, vectors: DataFrame, pieces: int) -> DataFrame:
+    """:func:`mean_vectors` per row for word vectors that fit every task in ``pieces`` pieces, one after the other.
+
+    Each piece is a pass over the URLs that adds to the running sums of their rows; the last one divides. No term is shuffled, and sums are
+    stored between passes, so that only one piece is held at a time.
+    """
+    arrays = vectors.select("word", vector_to_array("vector").alias("vector"))
+    size = vector_size_of(vectors)
+    doubles = ArrayType(DoubleType())
+    running = _with_fields(weighted, ("_found", ArrayType(BooleanType())), ("_total", DoubleType()), ("_sums", doubles))
+    rows = weighted
+    for piece in range(pieces):
+        shared = SharedVectors(arrays.where(F.pmod(F.xxhash64("word"), F.lit(pieces)) == piece))
+        last = piece == pieces - 1
+
+        def add(batches: Iterator[pa.RecordBatch], shared=shared, first=piece == 0, last=last) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                known, _, more, more_sums = _summed(batch, *shared.value)
+                lists = batch["split_url"]
+                edges = np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy()))
+                found = known.found.to_numpy(zero_copy_only=False)
+                if first:
+                    total, sums = np.zeros(len(batch)), np.zeros((len(batch), size))
+                else:
+                    found = found | batch["_found"].flatten().to_numpy(zero_copy_only=False)
+                    total, sums = batch["_total"].to_numpy().copy(), batch["_sums"].flatten().to_numpy().reshape(len(batch), size).copy()
+                if len(known.rows):
+                    total[known.rows] += more
+                    sums[known.rows] += more_sums
+                if last:
+                    yield _divided(batch, found, edges, total, sums)
+                else:
+                    yield pa.RecordBatch.from_arrays(
+                        [*[batch[name] for name in ("id", "url", "split_url", "coefficients")], pa.ListArray.from_arrays(edges.astype(np.int32), pa.array(found)),
+                         pa.array(total), _lists(sums)], names=running.names)
+
+        rows = rows.mapInArrow(add, _with_fields(weighted, ("vector", doubles)) if last else running)
+        if not last:
+            rows = cut_lineage(rows)
+            shared.destroy()
+    return rows
+
+
+def _divided(batch: pa.RecordBatch, found: np.ndarray, edges: np.ndarray, total: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    """The rows with a known term: their known terms and coefficients, and ``sums / total``, null where the total is 0."""
+    each = np.add.reduceat(np.append(found, False), edges[:-1]) * (np.diff(edges) > 0) if len(batch) else np.zeros(0, np.int64)
+    rows = np.flatnonzero(each)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        means = sums[rows] / total[rows, None]
+    at, keep, starts = pa.array(rows), pa.array(found), np.append(0, np.cumsum(each[rows])).astype(np.int32)
+    terms, weights = (pa.ListArray.from_arrays(starts, batch[name].flatten().filter(keep)) for name in ("split_url", "coefficients"))
+    return pa.RecordBatch.from_arrays([batch["id"].take(at), batch["url"].take(at), terms, weights, _lists(means, total[rows] == 0)],
+                                      names=["id", "url", "split_url", "coefficients", "vector"])
+
+
+def pieces_for(vectors: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> int:
+    """In how many pieces of at most about ``broadcast_bytes`` the vectors come."""
+    arrays = vectors.select("word", vector_to_array("vector").alias("vector"))
+    return -(-broadcast_size(arrays, "word", _DOUBLE_BYTES * F.size("vector")) // broadcast_bytes) if broadcast_bytes else MAX_PIECES + 1
+
+
 def _means_beyond(ranked: DataFrame, weighted: DataFrame, vectors: DataFrame, hot_keys: int | None) -> DataFrame:
     """:func:`mean_vectors` per row for word vectors of any size.
 
@@ -216,16 +279,23 @@ def _means_beyond(ranked: DataFrame, weighted: DataFrame, vectors: DataFrame, ho
 
 
 def url_means(ranked: DataFrame, vectors: DataFrame | SharedVectors, s: float, weight: PositionWeight | PythonWeight | None = None, *,
-              hot_keys: int | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+              hot_keys: int | None = None, broadcast_bytes: int = BROADCAST_BYTES, pieces: int | None = None) -> DataFrame:
     """Weighted mean vector per row of a ranked table, before standardization.
 
     Every row gives its own row, also if an ``id, url`` repeats; ``id`` may be of any type and keeps it. A term with a null
     coefficient stays in the arrays but adds nothing. Word vectors within ``broadcast_bytes``, and those that are shared
-    already, are applied inside the tasks that read the URLs; of larger ones only the ``hot_keys`` most frequent are.
+    already, are applied inside the tasks that read the URLs; larger ones come in pieces of that size, one after the other, up to
+    ``MAX_PIECES``. Of still larger ones only the ``hot_keys`` most frequent are summed in tasks, and the others are joined.
+
+    :param pieces: number of pieces, if it is not to follow from the size.
     """
     weighted = weighted_coefficients(ranked, s, weight)
-    shared = vectors if isinstance(vectors, SharedVectors) else share_vectors(vectors, broadcast_bytes)
-    means = _means_in_tasks(weighted, shared) if shared else _means_beyond(ranked, weighted, vectors, hot_keys)
+    shared = vectors if isinstance(vectors, SharedVectors) else share_vectors(vectors, broadcast_bytes) if pieces is None else None
+    if shared is not None:
+        means = _means_in_tasks(weighted, shared)
+    else:
+        pieces = pieces_for(vectors, broadcast_bytes) if pieces is None else pieces
+        means = _means_by_pieces(weighted, vectors, pieces) if pieces <= MAX_PIECES else _means_beyond(ranked, weighted, vectors, hot_keys)
     with_vector = means.where(F.col("vector").isNotNull())
     return with_vector.withColumn("vector", array_to_vector("vector"))
 

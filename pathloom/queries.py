@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pathloom.functions.url import host_terms, path_terms, python_sorter, query_terms
 from pathloom.functions.vectors import nearest_centre
 from pathloom.functions.weights import PythonWeight, zipf_coefficient
-from pathloom.operators import clustering, coordinates, features, scores, terms, timing, vocabulary, word_vectors
+from pathloom.operators import clustering, coordinates, features, many_fits, patterns, scores, terms, timing, vocabulary, word_vectors
 from pathloom.plans import jobs
 from pathloom.plans.search import grid_trials, random_trials, search_clusters
 from pathloom.scale import cut_lineage, shared_dir
@@ -454,6 +454,13 @@ def mean_vectors_in_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_dimension(means.withColumn("array", vector_to_array("vector")), "array", "id", "url")
 
 
+@query(_MEANS)
+def mean_vectors_by_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As for word vectors that fit a task in three pieces only."""
+    means = features.url_means(_ranked(spark, sf_dir), _borrowed_vectors(spark, sf_dir), S, pieces=3)
+    return _by_dimension(means.withColumn("array", vector_to_array("vector")), "array", "id", "url")
+
+
 @query(_MEANS)
 def mean_vectors_beyond(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As for word vectors that fit no task: five words are summed in tasks, all others are joined."""
@@ -491,6 +498,40 @@ def url_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_dimension(table.withColumn("array", vector_to_array("vector")), "array", "id")
 
 
+@query(f"""WITH {_WEIGHTED},
+per_url AS (SELECT id, string_agg(word, '|' ORDER BY pos) AS terms FROM weighted GROUP BY id)
+SELECT terms, count(*) AS urls FROM per_url GROUP BY terms""")
+def term_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns.term_patterns(_ranked(spark, sf_dir)).select(_joined("pattern.split_url").alias("terms"), "urls")
+
+
+def _with_copies(ranked: DataFrame) -> DataFrame:
+    """Every URL four more times, under other ids, so that patterns have many URLs."""
+    copies = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("copy")
+    return ranked.select("*", copies).withColumn("id", F.col("id") * 5 + F.col("copy")).drop("copy")
+
+
+_COPIED_FEATURES = f"""WITH {_VECTORS},
+copied AS (SELECT id * 5 + copy AS id, d, value FROM means, (SELECT unnest(range(5)) AS copy))
+SELECT id, d, round(coalesce(value / nullif(stddev_samp(value) OVER (PARTITION BY d), 0), 0), 6) + 0.0 AS value FROM copied"""
+
+
+@query(_COPIED_FEATURES)
+def features_by_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Computed once per pattern of terms, for URLs of which at least five share each."""
+    table = patterns.features_by_pattern(_with_copies(_ranked(spark, sf_dir)), _borrowed_vectors(spark, sf_dir), S)
+    return _by_dimension(table.withColumn("array", vector_to_array("vector")), "array", "id")
+
+
+@query(_COPIED_FEATURES)
+def features_by_pattern_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As for word vectors and patterns that fit no task."""
+    ranked = _with_copies(_ranked(spark, sf_dir))
+    table = patterns.pattern_features(patterns.term_patterns(ranked), _borrowed_vectors(spark, sf_dir), S, hot_keys=5, broadcast_bytes=0)
+    found = patterns.to_urls(ranked, table, ["vector"], hot_keys=5, broadcast_bytes=0)
+    return _by_dimension(found.withColumn("array", vector_to_array("vector")), "array", "id")
+
+
 @query(_FEATURES)
 def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = UrlStore(_scratch(spark))
@@ -549,6 +590,9 @@ _BY_LABEL = "SELECT vec_id AS id, min(vec_id) OVER (PARTITION BY label) AS first
 _BY_BITS = "SELECT vec_id AS id, min(vec_id) OVER (PARTITION BY label % 8) AS first_of_cluster FROM embeddings"
 
 
+_BY_LABEL_MEASURES = "measures AS (SELECT unnest(['euclidean', 'cosine']) AS distance_measure)"
+
+
 def _n_labels(spark: SparkSession, sf_dir: str) -> int:
     return _table(spark, sf_dir, "embeddings").select("label").distinct().count()
 
@@ -728,10 +772,10 @@ def _n_clusters(clustered: DataFrame) -> float:
     return float(clustered.select("cluster_id").distinct().count())
 
 
-def _searched(spark: SparkSession, sf_dir: str, algorithm: str) -> DataFrame:
+def _searched(spark: SparkSession, sf_dir: str, algorithm: str, **search) -> DataFrame:
     store = _label_store(spark, sf_dir, _WINDOWS)
     trials = grid_trials(_KS, ["euclidean"], _WINDOWS, _EXPONENTS)
-    result = jobs.search_clusters_stored(spark, store, trials, algorithm=algorithm, score=_n_clusters)
+    result = jobs.search_clusters_stored(spark, store, trials, algorithm=algorithm, score=_n_clusters, **search)
     stored = store.read_clustered_urls(spark, algorithm)
     rows, clusters = stored.count(), stored.select("cluster_id").distinct().count()
     best = F.col("trial") == trials.index(result.best) + 1
@@ -765,7 +809,40 @@ def search_random_silhouettes(spark: SparkSession, sf_dir: str) -> DataFrame:
     trials = random_trials(20, seed=11)
     trained = {size: cut_lineage(word_vectors.word_vectors(ranked, size)) for size in sorted({t.window_size for t in trials})}
     found = search_clusters(ranked, trained.__getitem__, trials).trials
-    return found.select("trial", F.coalesce(F.abs("score") <= 1, F.lit(True)).alias("in_range"))
+    scored = found.filter("score is not null").count()
+    return found.select("trial", F.coalesce(F.abs("score") <= 1, F.lit(scored >= 10)).alias("in_range"))
+
+
+@query(_searched_sql("kmeans"))
+def search_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search that finds half of its trials finished in a ledger."""
+    ledger = f"{_scratch(spark)}/ledger"
+    store = _label_store(spark, sf_dir, _WINDOWS)
+    trials = grid_trials(_KS, ["euclidean"], _WINDOWS, _EXPONENTS)
+    jobs.search_clusters_stored(spark, store, trials[::2], score=_n_clusters, ledger=ledger)
+    return _searched(spark, sf_dir, "kmeans", ledger=ledger)
+
+
+@query(f"""WITH {_BY_LABEL_MEASURES}
+SELECT distance_measure, vec_id AS id, min(vec_id) OVER (PARTITION BY distance_measure, label) AS first_of_cluster FROM embeddings, measures""")
+def kmeans_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fits of both distance measures in one pass each, beside fits with fewer clusters."""
+    table, n = _apart(spark, sf_dir), _n_labels(spark, sf_dir)
+    models = many_fits.fit_many(table, [many_fits.Fit(k, measure) for measure in ("euclidean", "cosine") for k in (n, 2, 3)])
+    found = [_by_first(clustering.assign_clusters(models[at], table)).withColumn("distance_measure", F.lit(models[at].distance_measure)) for at in (0, 3)]
+    return found[0].unionByName(found[1])
+
+
+def _many_silhouettes_sql() -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS distance_measure, * FROM ({_silhouette_sql(distance)})" for name, distance in (
+        ("euclidean", "list_distance(a.e, b.e) ** 2"), ("cosine", "1 - list_cosine_similarity(a.e, b.e)")))
+
+
+@query(_many_silhouettes_sql())
+def silhouettes_of_weighted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silhouettes of labelled vectors, each standing for one row."""
+    rows = [(measure, many_fits.silhouette_of(_labelled_vectors(spark, sf_dir).withColumn("urls", F.lit(1)), measure, "urls")) for measure in ("euclidean", "cosine")]
+    return spark.createDataFrame(rows, "distance_measure string, silhouette double").select("distance_measure", _six("silhouette").alias("silhouette"))
 
 
 # ---------------------------------------------------------------- presentation and timing

@@ -73,14 +73,19 @@ def number_rows(df: DataFrame, order: list[Column], name: str, one_task_rows: in
     )
 
 
-def fits_broadcast(df: DataFrame, key: str, payload: Column | int = 16, limit: int = BROADCAST_BYTES) -> bool:
-    """Measure ``df`` (one aggregate) and tell whether it may be broadcast.
+def broadcast_size(df: DataFrame, key: str, payload: Column | int = 16) -> int:
+    """Bytes that ``df`` takes as a broadcast, measured by one aggregate.
 
     :param payload: bytes per row beside the key.
     """
     key_bytes = F.coalesce(F.octet_length(F.col(key).cast("string")), F.lit(0))
     row_bytes = key_bytes + (F.lit(payload) if isinstance(payload, int) else payload) + _ROW_OVERHEAD
-    return df.agg(F.coalesce(F.sum(row_bytes), F.lit(0)) <= limit).first()[0]
+    return df.agg(F.coalesce(F.sum(row_bytes), F.lit(0)).cast("long")).first()[0]
+
+
+def fits_broadcast(df: DataFrame, key: str, payload: Column | int = 16, limit: int = BROADCAST_BYTES) -> bool:
+    """Measure ``df`` (see :func:`broadcast_size`) and tell whether it may be broadcast."""
+    return broadcast_size(df, key, payload) <= limit
 
 
 def most_frequent_keys(facts: DataFrame, key: str, n: int = HOT_KEYS) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pathloom import PythonWeight, url_features, weighted_coefficients, zipf_coefficient
 from pathloom.operators.features import (
-    join_word_vectors, mean_vectors, pair_terms, scale_word_vectors, share_vectors, standardize, url_means,
+    join_word_vectors, mean_vectors, pair_terms, pieces_for, scale_word_vectors, share_vectors, standardize, url_means,
 )
 from tests.plans import explained
 
@@ -140,3 +140,32 @@ def test_vectors_are_shared_until_destroyed(spark):
     assert first == second == url_means(ranked, vectors, 1.0).count()
     shared.destroy()
     assert share_vectors(vectors, 10) is None
+
+
+@pytest.mark.parametrize("pieces", [1, 3, 8])
+@pytest.mark.parametrize("weight", [None, lambda i: 1 - i])
+def test_pieces_give_the_same_rows(spark, pieces, weight):
+    ranked, vectors, _, _ = random_tables(spark)
+    plain = {r.id: r for r in url_means(ranked, vectors, 1.3, weight).collect()}
+    found = {r.id: r for r in url_means(ranked, vectors, 1.3, weight, pieces=pieces).collect()}
+    assert found.keys() == plain.keys()
+    for i, row in found.items():
+        assert (row.url, row.split_url) == (plain[i].url, plain[i].split_url)
+        assert np.allclose(row.coefficients, plain[i].coefficients) and np.allclose(row.vector.toArray(), plain[i].vector.toArray())
+
+
+def test_pieces_of_odd_rows(spark):
+    """Null lists and coefficients, terms without a vector, more pieces than words, no rows."""
+    ranked = spark.createDataFrame([(1, "a", ["x", None, "z"], [1, 2, 3]), (2, "b", None, None), (3, "c", [], []), (4, "d", ["z"], [1]), (5, "e", ["x", "y"], [None, 2])], RANKED)
+    vectors = vector_table(spark, x=[1.0, 2.0], y=[3.0, 4.0])
+    rows = lambda **more: sorted((r.id, r.split_url, r.coefficients, r.vector.toArray().tolist()) for r in url_means(ranked, vectors, 1.0, **more).collect())
+    assert rows(pieces=7) == rows() == rows(pieces=1) and [r[0] for r in rows()] == [1, 5]
+    assert url_means(ranked.where("false"), vectors, 1.0, pieces=2).collect() == []
+
+
+def test_number_of_pieces(spark):
+    ranked, vectors, _, _ = random_tables(spark)
+    size = 60 * (64 + 7 * 8) + sum(len(f"w{t}") for t in range(60))
+    assert [pieces_for(vectors, b) for b in (size, size - 1, size // 3)] == [1, 2, 4]
+    plan = explained(url_means(ranked, vectors, 1.3, broadcast_bytes=size // 3))
+    assert "Exchange" not in plan
