@@ -10,13 +10,14 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.functions.url import host_terms, path_terms, python_sorter, query_terms
 from pathloom.functions.vectors import nearest_centre
 from pathloom.functions.weights import PythonWeight, zipf_coefficient
-from pathloom.operators import clustering, coordinates, features, many_fits, patterns, scores, terms, timing, vocabulary, word_vectors
+from pathloom.operators import clustering, coordinates, features, many_fits, patterns, scores, terms, timing, vocabulary, word_blocks, word_vectors
 from pathloom.plans import jobs
 from pathloom.plans.search import grid_trials, random_trials, search_clusters
 from pathloom.scale import cut_lineage, shared_dir
@@ -563,6 +564,22 @@ def word_vectors_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trained_words(word_vectors.word_vectors_by_window(_ranked(spark, sf_dir)), "window_size")
 
 
+def _language_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as six terms of its language, drawn by hashes from twelve."""
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.concat("lang", F.lit(" "), F.pmod(F.xxhash64("doc_id", i), F.lit(12)).cast("string")))
+    return _table(spark, sf_dir, "documents").where("lang is not null").select(drawn.alias("split_url"))
+
+
+@query("""SELECT lang || ' ' || i AS word, true AS near_its_own FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL), (SELECT unnest(range(12)) AS i)""")
+def word_vectors_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors trained in four blocks of words: words of one language, which stand together, are nearest to the mean of its words."""
+    trained = cut_lineage(word_blocks.word_vectors_in_blocks(_language_terms(spark, sf_dir), 3, 16, blocks=4))
+    vectors = trained.select("word", F.split("word", " ")[0].alias("lang"), "vector")
+    means = vectors.groupBy(F.col("lang").alias("cluster_id")).agg(vector_to_array(Summarizer.mean(F.col("vector"))).alias("centre"))
+    centres = means.agg(F.collect_list(F.struct("cluster_id", "centre"))).scalar()
+    return vectors.select("word", (nearest_centre(vector_to_array("vector"), centres, "cosine") == F.col("lang")).alias("near_its_own"))
+
+
 def _apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings with one more, large dimension per label, so that the clusters are the labels."""
     vectors = _embeddings(spark, sf_dir)
