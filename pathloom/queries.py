@@ -576,7 +576,8 @@ def word_vectors_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     trained = cut_lineage(word_blocks.word_vectors_in_blocks(_language_terms(spark, sf_dir), 3, 16, blocks=4))
     vectors = trained.select("word", F.split("word", " ")[0].alias("lang"), "vector")
     means = vectors.groupBy(F.col("lang").alias("cluster_id")).agg(vector_to_array(Summarizer.mean(F.col("vector"))).alias("centre"))
-    centres = means.agg(F.collect_list(F.struct("cluster_id", "centre"))).scalar()
+    # One row for each language.
+    centres = F.array(*[F.struct(F.lit(r.cluster_id).alias("cluster_id"), F.array(*map(F.lit, r.centre)).alias("centre")) for r in means.collect()])
     return vectors.select("word", (nearest_centre(vector_to_array("vector"), centres, "cosine") == F.col("lang")).alias("near_its_own"))
 
 
