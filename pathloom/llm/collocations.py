@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.llm.joins import left_join
-from pathloom.llm.text import mix, plain, release_memory, row_groups, word_hashes
-from pathloom.scale import cut_lineage
+from pathloom.llm.text import bound_batches, mix, plain, release_memory, row_groups, word_hashes
+from pathloom.scale import cut_lineage, number_rows
 
 LEAST_COUNT = 10
 WORDS = 3
@@ -32,11 +32,12 @@ TOP = 2000
 COVERED = 50
 SCALE = 1_000_000
 UNKNOWN = "und"
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 # Bits of the filter: 16 MB, whatever the size of the corpus.
 FILTER_BITS = 27
 # Bytes of packed hashes that one task sums.
 BUCKET_BYTES = 16 << 20
+_RANK_GROUPS = 32
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -302,6 +303,7 @@ def phrase_counts(docs: DataFrame, least_count: int = LEAST_COUNT, depth: int =
     """Two tables of ``docs (lang, text)``: ``lang, phrase, words, f`` of all phrases of up to ``depth`` words with ``least_count``
     occurrences or more, and ``lang, n`` of all words. Counts are exact."""
     spark = docs.sparkSession
+    bound_batches(spark)
     bitmap, shift = _screen(docs, least_count, depth, shard_words)
     shared = spark.sparkContext.broadcast(bitmap)
 
@@ -332,6 +334,13 @@ def _key(phrase: Column) -> Column:
     return F.concat(F.length("lang").cast("string"), F.lit(":"), "lang", phrase)
 
 
+def _numbered(scored: DataFrame, order: list[Column]) -> DataFrame:
+    """``rank`` within each language, for any number of phrases: numbered over all languages, less the phrases of those before."""
+    numbered = cut_lineage(number_rows(scored, [F.asc("lang"), *order], "_at"))
+    before = numbered.groupBy("lang").agg((F.min("_at") - 1).alias("_before"))
+    return left_join(numbered, before, "lang").withColumn("rank", F.col("_at") - F.col("_before")).drop("_at", "_before")
+
+
 def ranked_phrases(counts: DataFrame, totals: DataFrame, words: int, top: int | None) -> DataFrame:
     """Scores and ranks from the tables of :func:`phrase_counts`; see :func:`collocations`."""
     known = counts.select(_key(F.col("phrase")).alias("_part"), F.col("f").alias("_f"))
@@ -353,9 +362,14 @@ def ranked_phrases(counts: DataFrame, totals: DataFrame, words: int, top: int |
     score = F.expr(f"cast((cast(f as decimal(19,0)) * cast(f as decimal(19,0)) * {SCALE}) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0))) as long)")
     lowest = cuts.groupBy("lang", "phrase").agg(F.min(F.struct(score.alias("score"), "_k", F.col("f").alias("a"), "l", "r")).alias("_cut"))
     scored = lowest.select("lang", "phrase", "_cut.*")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = scored.withColumn("rank", F.row_number().over(order).cast("long"))
-    ranked = ranked if top is None else ranked.filter(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    if top is None:
+        return left_join(_numbered(scored, order), totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    # The first of a language are among the first of its groups, so that no task sees more than so many of each.
+    group = F.pmod(F.xxhash64("phrase"), F.lit(_RANK_GROUPS))
+    in_group = F.row_number().over(Window.partitionBy("lang", "_group").orderBy(*order))
+    first = scored.withColumn("_group", group).withColumn("_place", in_group).filter(F.col("_place") <= top).drop("_group", "_place")
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
     return left_join(ranked, totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 

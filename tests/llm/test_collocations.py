@@ -109,6 +109,11 @@ def test_other_lengths(spark, texts, longest):
     assert rows_of(found, *COLUMNS) == slow_collocations(texts, 5, longest, 7)
 
 
+def test_all_of_them(spark, texts):
+    df = spark.createDataFrame(texts, "lang string, text string")
+    assert rows_of(collocations.collocations(df, least_count=2, top=None), *COLUMNS) == slow_collocations(texts, 2, top=10**6)
+
+
 def test_full_filter_changes_nothing(spark, texts, monkeypatch):
     monkeypatch.setattr(collocations, "_screen", lambda *args: (np.full(1 << 24, 255, np.uint8), np.uint64(59)))
     df = spark.createDataFrame(texts, "lang string, text string")
