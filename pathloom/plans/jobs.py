@@ -13,13 +13,23 @@ from pathloom.operators import coordinates, scores, terms, timing, vocabulary, w
 from pathloom.operators.features import url_features
 from pathloom.operators.patterns import cluster_urls_by_pattern
 from pathloom.plans.search import Score, SearchResult, Trial, random_trials, search_clusters
-from pathloom.sources.tables import UrlStore, read_labels, read_urls, require_unique_ids
+from pathloom.schemas import REJECTS
+from pathloom.sources.tables import UrlStore, VersionedTable, quarantine, read_labels, read_urls, require_unique_ids
 
 Weight = PositionWeight | PythonWeight | None
 
 
-def split_urls(spark: SparkSession, store: UrlStore, urls_csv: str, term_sorter: TermSorter | None = None) -> None:
-    """Read the URL file, check that no id repeats, and store its terms."""
+def split_urls(spark: SparkSession, store: UrlStore, urls_csv: str, term_sorter: TermSorter | None = None, *, rejects: str | None = None) -> None:
+    """Read the URL file, check that no id repeats, and store its terms.
+
+    :param rejects: folder for rows that cannot be used, ``file, line, reason`` (see :func:`pathloom.sources.tables.quarantine`). The others are
+        stored then, and rows that repeat an id are no error.
+    """
+    if rejects is not None:
+        found = quarantine(spark, urls_csv)
+        VersionedTable(spark, rejects, REJECTS).write(found.rejects)
+        store.write_split_urls(terms.split_urls(found.rows, term_sorter))
+        return
     store.write_split_urls(terms.split_urls(require_unique_ids(read_urls(spark, urls_csv)), term_sorter))
 
 

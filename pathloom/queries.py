@@ -21,7 +21,7 @@ from pathloom.operators import clustering, coordinates, features, many_fits, pat
 from pathloom.plans import jobs
 from pathloom.plans.search import grid_trials, random_trials, search_clusters
 from pathloom.scale import cut_lineage, shared_dir
-from pathloom.sources.tables import UrlStore, read_labels, read_urls
+from pathloom.sources.tables import Quarantined, UrlStore, quarantine, read_labels, read_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -1003,6 +1003,51 @@ def emptied_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both[0].unionByName(both[1]).select("id", "url", "cluster_id")
 
 
+_FAULTS = """WITH given AS (
+  SELECT CASE WHEN page_id % 25 = 3 THEN page_id - 1 WHEN page_id % 25 NOT IN (0, 1) THEN page_id END AS id, page_id % 25 AS n, url FROM pages),
+judged AS (
+  SELECT id, url, CASE WHEN n = 0 THEN 'malformed' WHEN n = 1 THEN 'no id' WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'id repeats' END AS reason
+  FROM given)"""
+
+
+def _quarantined(spark: SparkSession, sf_dir: str) -> Quarantined:
+    n = F.col("page_id") % 25
+    text = F.when(n == 0, F.concat(F.lit("page "), "page_id")).when(n == 1, F.lit(None)).when(n == 3, (F.col("page_id") - 1).cast("string"))
+    return quarantine(spark, _csv(_table(spark, sf_dir, "pages").select(text.otherwise(F.col("page_id").cast("string")).alias("id"), "url"), spark))
+
+
+@query(f"{_FAULTS} SELECT id, url FROM judged WHERE reason IS NULL")
+def quarantine_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every 25 pages the first has no number as its id, the second none, and the fourth that of the third."""
+    return _quarantined(spark, sf_dir).rows
+
+
+@query(f"{_FAULTS} SELECT reason, count(*) AS lines FROM judged WHERE reason IS NOT NULL GROUP BY reason")
+def quarantine_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quarantined(spark, sf_dir).rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query("SELECT doc_id AS id, source AS label FROM documents")
+def csv_labels_of_two_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label files of one folder whose columns stand in different orders."""
+    path, labels = _scratch(spark), _labels(spark, sf_dir)
+    labels.where("id % 2 = 0").write.csv(path, header=True)
+    labels.where("id % 2 = 1").select(F.lit("x").alias("more"), "label", "id").write.mode("append").csv(path, header=True)
+    return read_labels(spark, path)
+
+
+@query(_SPLIT_RESULT)
+def rewritten_split_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that is read while it replaces itself, after a replacement that failed."""
+    store, split = UrlStore(_scratch(spark)), _split(spark, sf_dir)
+    store.write_split_urls(split.withColumn("url", F.concat("url", F.lit("!"))))
+    try:
+        store.write_split_urls(split.withColumn("url", F.raise_error(F.lit("the write fails")).cast("string")))
+    except Exception:  # the version before stays
+        store.write_split_urls(store.read_split_urls(spark).withColumn("url", F.expr("left(url, length(url) - 1)")))
+    return _split_result(store.read_split_urls(spark))
+
+
 # The events' values stand for measured times, their type for the algorithm, the user for the number of rows.
 @query("""SELECT event_type AS algorithm, user_id AS n_rows, count(*) AS runs,
        round(avg(value), 6) + 0.0 AS mean_millis, round(stddev_samp(value), 6) + 0.0 AS std_millis

@@ -9,3 +9,4 @@ SPLIT_URLS = StructType([*URLS.fields, StructField("split_url", ArrayType(String
 RANKED_URLS = StructType([*SPLIT_URLS.fields, StructField("word_frequency_orders", ArrayType(LongType()))])
 WORD_VECTORS = StructType([StructField("word", StringType()), StructField("vector", VectorUDT())])
 CLUSTERED_URLS = StructType([*URLS.fields, StructField("cluster_id", IntegerType()), StructField("vector", VectorUDT())])
+REJECTS = StructType([StructField("file", StringType()), StructField("line", StringType()), StructField("reason", StringType())])

@@ -9,7 +9,8 @@ from pathloom.operators.features import share_vectors
 from pathloom.plans import jobs
 from pathloom.plans import search as search_module
 from pathloom.plans.search import run_trial
-from pathloom.sources.tables import require_unique_ids
+from pathloom.schemas import REJECTS
+from pathloom.sources.tables import VersionedTable, quarantine, require_unique_ids
 
 
 def test_csv_sources(spark, tmp_path):
@@ -220,3 +221,52 @@ def test_a_stopped_search_goes_on(spark, store, monkeypatch, tmp_path, algorithm
     monkeypatch.setattr(search_module, "pattern_means", counted)
     search(seed=2)
     assert len(calls) == 14
+
+
+def test_a_failed_write_leaves_the_rows_before(spark, tmp_path):
+    store = UrlStore(str(tmp_path))
+    table = spark.createDataFrame([(1, "u", 0), (2, "v", 1)], "id long, url string, cluster_id int")
+    with pytest.raises(FileNotFoundError):
+        store.read_clustered_urls(spark, "kmeans")
+    store.write_clustered_urls(table, "kmeans")
+    broken = table.union(table).withColumn("cluster_id", F.when(F.col("id") == 2, F.raise_error(F.lit("lost")).cast("int")).otherwise(F.col("cluster_id")))
+    with pytest.raises(Exception, match="lost"):
+        store.write_clustered_urls(broken, "kmeans")
+    rows = lambda: sorted((r.id, r.cluster_id) for r in store.read_clustered_urls(spark, "kmeans").collect())
+    assert rows() == [(1, 0), (2, 1)]
+    store.write_clustered_urls(table.where("id = 2"), "kmeans")
+    assert rows() == [(2, 1)]
+    assert store.table(spark, "clustered_urls/algorithm=kmeans").empty_old_versions() == 1 and rows() == [(2, 1)]
+
+
+def test_a_table_can_replace_itself(spark, tmp_path):
+    store = UrlStore(str(tmp_path))
+    store.write_split_urls(spark.createDataFrame([(1, "u", ["a"])], "id long, url string, split_url array<string>"))
+    store.write_split_urls(store.read_split_urls(spark).withColumn("id", F.col("id") + 1))
+    assert [r.id for r in store.read_split_urls(spark).collect()] == [2]
+
+
+def test_quarantine_parts_all_lines(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text('id,url\n1,http://a\n2,"http://b,c"\nx,http://z\n3,\n,http://n\n4,http://d\n')
+    (tmp_path / "in" / "b.csv").write_text("id,url\n4,http://e\n5,http://f\n6,u,more\n")
+    found = quarantine(spark, str(tmp_path / "in"))
+    assert sorted(tuple(r) for r in found.rows.collect()) == [(1, "http://a"), (2, "http://b,c"), (5, "http://f")]
+    rejects = sorted((r.file.rpartition("/")[2], r.line, r.reason) for r in found.rejects.collect())
+    assert rejects == [("a.csv", ",http://n", "no id"), ("a.csv", "3,", "no url"), ("a.csv", "4,http://d", "id repeats"), ("a.csv", "x,http://z", "malformed"),
+                       ("b.csv", "4,http://e", "id repeats"), ("b.csv", "6,u,more", "malformed")]
+    store = UrlStore(str(tmp_path / "tables"))
+    jobs.split_urls(spark, store, str(tmp_path / "in"), rejects=str(tmp_path / "rejects"))
+    assert store.read_split_urls(spark).count() == 3
+    assert VersionedTable(spark, str(tmp_path / "rejects"), REJECTS).read().count() == 6
+
+
+def test_label_files_may_differ_in_their_columns(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("id,label\n1,x\n2,y\n")
+    (tmp_path / "in" / "b.csv").write_text("more,label,id\nq,z,3\n")
+    (tmp_path / "in" / "c d.csv").write_text("id,label\n")
+    assert sorted(tuple(r) for r in read_labels(spark, str(tmp_path / "in")).collect()) == [(1, "x"), (2, "y"), (3, "z")]
+    (tmp_path / "in" / "e.csv").write_text("id,other\n1,x\n")
+    with pytest.raises(ValueError, match="e.csv has no column label, only id, other"):
+        read_labels(spark, str(tmp_path / "in"))
