@@ -911,6 +911,43 @@ def plane_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plane_result(coordinates.plane_coordinates(labelled))
 
 
+def _largest_sql(name: str, matrix: str) -> str:
+    """``{name}_pair (v, value)``: the first eigenvector of a one-row table ``matrix (m)`` of rows, by squaring it fifteen times, and its eigenvalue."""
+    square = "list_transform(m, lambda a: list_transform(m, lambda b: list_dot_product(a, b)))"
+    trace = "list_sum(list_transform(q, lambda r, i: r[i]))"
+    return f"""{name}_squares(n, m) AS (
+  SELECT 0, m FROM {matrix}
+  UNION ALL SELECT n + 1, list_transform(q, lambda r: list_transform(r, lambda x: x / {trace})) FROM (SELECT n, {square} AS q FROM {name}_squares WHERE n < 15)),
+{name}_row AS (
+  SELECT r FROM (SELECT unnest(m) AS r FROM {name}_squares WHERE n = 15) ORDER BY list_dot_product(r, r) DESC LIMIT 1),
+{name}_vector AS (SELECT list_transform(r, lambda x: x / sqrt(list_dot_product(r, r))) AS v FROM {name}_row),
+{name}_pair AS (SELECT v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS value FROM {name}_vector, {matrix})"""
+
+
+@query(f"""WITH RECURSIVE parts AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+centred AS (SELECT vec_id, i, x - avg(x) OVER (PARTITION BY i) AS x FROM parts),
+covariances AS (SELECT a.i, b.i AS j, sum(a.x * b.x) / (count(*) - 1) AS c FROM centred a JOIN centred b USING (vec_id) GROUP BY a.i, b.i),
+whole AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM covariances GROUP BY i)),
+{_largest_sql('first', 'whole')},
+rest AS (SELECT list_transform(m, lambda r, i: list_transform(r, lambda x, j: x - value * v[i] * v[j])) AS m FROM whole, first_pair),
+{_largest_sql('second', 'rest')}
+SELECT (SELECT count(*) FROM embeddings) AS n, round(f.value, 4) AS x_variance, round(s.value, 4) AS y_variance, true AS uncorrelated, true AS signs
+FROM first_pair f, second_pair s""")
+def plane_coordinates_full_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Principal components of all dimensions of the embeddings: their variances are the two largest eigenvalues of the covariances, they are not correlated,
+    and the dimension that each of them goes with most closely goes the same way."""
+    vectors = _embeddings(spark, sf_dir)
+    size = vectors.select(F.size("embedding")).first()[0]
+    labelled = coordinates.attach_labels(_vector_rows(spark, sf_dir).withColumn("cluster_id", F.lit(0)), _vector_labels(spark, sf_dir))
+    plane = coordinates.plane_coordinates(labelled).join(vectors.select(F.col("vec_id").alias("id"), "embedding"), "id")
+    along = {axis: F.array(*[F.covar_samp(axis, F.col("embedding")[i]) for i in range(size)]) for axis in ("x", "y")}
+    found = plane.agg(F.count(F.lit(1)).alias("n"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"), F.covar_samp("x", "y").alias("xy"),
+                      along["x"].alias("ax"), along["y"].alias("ay"))
+    same_way = [F.array_max(axis) >= -F.array_min(axis) for axis in ("ax", "ay")]
+    return found.select("n", F.round("vx", 4).alias("x_variance"), F.round("vy", 4).alias("y_variance"), (F.abs("xy") < 1e-9 * F.col("vx")).alias("uncorrelated"),
+                        (same_way[0] & same_way[1]).alias("signs"))
+
+
 _PROFILE = """SELECT 'kmeans' AS algorithm, (SELECT count(*) FROM embeddings) AS n_rows, unnest(range(1, 11))::INTEGER AS run, true AS timed"""
 
 
