@@ -9,19 +9,16 @@ from pyspark.sql import functions as F
 from pathloom import explode_terms, python_sorter, split_url, split_urls
 from tests.plans import explained
 
-LONG = "https://asdf.example.com/c1/c2-3/c4/5/6-adsf-fasd"
-LONG_TERMS = "asdf c1 c2 3 c4 5 6 adsf fasd".split()
-
 GOLDEN = [
-    ("https://www.example.com", ["www"]),
-    ("https://www.asdf.asdf-32.f.example.com", ["www", "asdf", "asdf-32", "f"]),
-    ("https://www.asdf.asdf-32.f.example.com/", ["www", "asdf", "asdf-32", "f"]),
-    ("https://example.com/", []),
-    ("https://asdf.example.com/?q=v", ["asdf", "?", "q", "v"]),
-    (LONG + "?q=v&pg=1&cns", LONG_TERMS + ["?", "q", "v", "pg", "1", "cns"]),
-    (LONG, LONG_TERMS),
-    (LONG + "?asd", LONG_TERMS + ["?", "asd"]),
-    (LONG + "?q=v&w&pg=1&cns", LONG_TERMS + ["?", "q", "v", "w", "pg", "1", "cns"]),
+    ("https://shop.kite.org", ["shop"]),
+    ("http://de.shop-2.kite.org", ["de", "shop-2"]),
+    ("http://de.shop-2.kite.org/", ["de", "shop-2"]),
+    ("http://kite.org/", []),
+    ("https://shop.kite.org/?lang=fr", ["shop", "?", "lang", "fr"]),
+    ("https://shop.kite.org/red/big-kites/7", ["shop", "red", "big", "kites", "7"]),
+    ("https://shop.kite.org/red/big-kites/7?sort", ["shop", "red", "big", "kites", "7", "?", "sort"]),
+    ("https://shop.kite.org/red/big-kites/7?sort=price&page=3&all", ["shop", "red", "big", "kites", "7", "?", "sort", "price", "page", "3", "all"]),
+    ("https://shop.kite.org/red?sort=price&all&page=3", ["shop", "red", "?", "sort", "price", "all", "page", "3"]),
 ]
 
 EDGES = [
