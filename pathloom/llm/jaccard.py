@@ -487,11 +487,14 @@ def _set_size(text: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row of each component of ``docs``, the one with the smallest id, with all columns. Rows without id stay."""
+    """One row of each component of ``docs``, the one with the smallest id, with all columns. Rows without id stay. Of several rows with one id,
+    the one with the smallest text stays (a null one first), then that with the smallest hash of all columns."""
     found = cut_lineage(similar_documents(docs, percent).filter("doc_id is not null"))
     kept = semi_join(docs, found.filter("doc_id != component_id"), "doc_id", "left_anti")
     repeated = cut_lineage(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     if not repeated.limit(1).count():
         return kept.select(*docs.columns)
     single = semi_join(kept, repeated, "doc_id", "left_anti").select(*docs.columns)
-    return single.unionByName(semi_join(kept, repeated, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns))
+    row = F.struct(*docs.columns)
+    first = semi_join(kept, repeated, "doc_id").groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.xxhash64(*docs.columns))).alias("_row"))
+    return single.unionByName(first.select("_row.*"))

@@ -81,3 +81,33 @@ def test_usual_cosines_come_from_all_texts():
         language.count_ngrams = counted
     assert sum(len(piece) == 64 for piece in seen) == 640
     assert sum("日" in piece for piece in seen if len(piece) == 64) > 200
+
+
+def test_cosines_against_slow_loops():
+    """Weights, cosines and the rejection of every text by itself."""
+    import math
+
+    import numpy as np
+
+    from pathloom.llm import language
+
+    draw = np.random.default_rng(4)
+    idf = draw.random(language.FEATURES).astype(np.float32)
+    centroids = draw.random((6, language.FEATURES)).astype(np.float32)
+    centroids /= np.linalg.norm(centroids, axis=1, keepdims=True)
+    usual = draw.random((6, language._LENGTHS)) * 1.2
+    model = language.LanguageModel(idf, ["a", "a", "b", "b", "c", "c"], centroids, usual)
+    texts = ["the cat sat on the mat", "Été à la plage", "x", "", "12 !", "日本語", "the " * 300]
+    names, scores, rejected = model.predict(texts)
+    for text, name, score, far in zip(texts, names, scores, rejected):
+        (counts, letters), = language.count_ngrams([text])
+        weights = [math.sqrt(n) * float(w) for n, w in zip(counts[0], idf)]
+        length = math.sqrt(sum(w * w for w in weights))
+        cosines = [sum(w * float(c) for w, c in zip(weights, centre)) / max(length, 1e-9) for centre in centroids]
+        best = max(range(6), key=cosines.__getitem__)
+        if not any(ch.isalpha() for ch in text):
+            assert (name, score, far) == ("und", 0.0, True)
+            continue
+        assert name == model.languages[best] and score == pytest.approx(min(max(cosines[best], 0), 1), rel=1e-4)
+        at = min(int(math.log2(counts.sum() + 1)), language._LENGTHS - 1)
+        assert far == (score < language.NEAR * usual[best][at])

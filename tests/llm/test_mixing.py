@@ -68,3 +68,48 @@ def test_repeated_rows_and_columns(spark, odd_docs):
 def test_empty(no_docs):
     assert mixing.mix(no_docs).collect() == []
     assert mixing.repeat_mixed(no_docs).collect() == []
+
+
+def test_rates_solve_the_dual(spark):
+    """The tilt of each source against bisection over its documents, one by one."""
+    import math
+    import random
+
+    pick = random.Random(9)
+    sizes = {n: [pick.randint(1, 400) for _ in range(50 + 40 * n)] for n in range(5)}
+    part = {0: 0.3, 1: 0.9, 2: 1.0, 3: 1.6, 4: 2.0}
+    cells = spark.createDataFrame([(n, s, 1) for n, own in sizes.items() for s in own], "source_no long, size long, n long").groupBy("source_no", "size").agg(
+        F.sum("n").alias("n"))
+    targets = spark.createDataFrame([(n, sum(own), part[n] * sum(own)) for n, own in sizes.items()], "source_no long, source_size long, target double")
+    found = {r.source_no: r for r in mixing.balance(cells, targets).collect()}
+    for n, own in sizes.items():
+        mean = sum(own) / len(own)
+        assert found[n].mean_size == pytest.approx(mean)
+        words_at = lambda theta: sum(s * min(2.0, math.exp(min(theta * s / mean, math.log(2)))) for s in own)  # noqa: B023
+        assert words_at(found[n].theta) == pytest.approx(part[n] * sum(own), rel=1e-6)
+        if part[n] < 2:
+            low, high = -1e4, 1e4
+            for _ in range(200):
+                middle = (low + high) / 2
+                low, high = (middle, high) if words_at(middle) < part[n] * sum(own) else (low, middle)
+            assert found[n].theta == pytest.approx(low, rel=1e-3, abs=1e-4)
+
+
+def test_rounding_makes_up_for_longer_documents():
+    """Copies by size against the same rule with fractions, one size after the other."""
+    import random
+    from fractions import Fraction
+
+    import pandas as pd
+
+    pick = random.Random(2)
+    rows = [(1, s, pick.randint(1, 9), pick.randint(0, 2 * 10**9)) for s in pick.sample(range(1, 500), 60)]
+    table = pd.DataFrame(rows, columns=["source_no", "size", "n", "rate"])
+    copies = dict(
+        mixing._whole_copies(2.0)(table)[["size", "copies"]].itertuples(index=False, name=None))
+    owed = Fraction(0)
+    for _, size, n, rate in sorted(rows, key=lambda r: -r[1]):
+        owed += Fraction(rate, 10**9) * n * size
+        k = min(max((owed / size + Fraction(1, 2)).__floor__(), 0), 2 * n)
+        owed -= k * size
+        assert copies[size] == k

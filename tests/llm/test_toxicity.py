@@ -92,3 +92,34 @@ def test_thresholds_do_not_depend_on_the_share_of_a_label_in_the_sample(spark):
 
 def test_the_sample_is_not_cut():
     assert toxicity.SAMPLE >= 3000
+
+
+def test_scores_against_slow_loops(model):
+    """Every window of every text by itself: sums of embeddings, filters, the largest response, the logistic layer."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    from pathloom.llm.text import NO_LETTER, word_hashes
+
+    rows, _ = corpus(25)
+    texts = [text for _, text, *_ in rows] + ["", "one", "vile rotten", "%% 12"]
+    found = model.score(pa.array(texts))
+    for text, score in zip(texts, found):
+        hashes, _ = word_hashes(pa.array([text]), NO_LETTER, toxicity.STARTS)
+        known = [model.rows(h) for h in hashes]
+        edge = model.embeddings[1] * (1 + len(toxicity.STARTS))
+        # Two edges behind the text stand for the words that a window lacks there.
+        vectors = [sum(model.embeddings[r] for r in own) for own in known]
+        last = max(toxicity.WIDTHS) - 1
+        padded = vectors + [edge] * last
+        pooled = []
+        for taps, bias in zip(model.filters, model.biases):
+            width = len(taps)
+            windows = [sum(padded[at + j] @ taps[j] for j in range(width)) + bias for at in range(len(padded) - width + 1)]
+            pooled += [max(0.0, *(w[f] for w in windows)) if windows else 0.0 for f in range(toxicity.FILTERS)]
+        logit = float(np.dot(pooled, model.weights)) + model.bias
+        likely = [sum(model.languages[n][own[0]] for own in known) for n in range(len(model.languages))]
+        shift = model.shifts[int(np.argmax(likely))]
+        assert score == pytest.approx(1 / (1 + math.exp(-(logit + shift))), rel=1e-3, abs=1e-5)
