@@ -3,7 +3,7 @@
 ``BENCH_SF_DIR`` names the tables (default sf0.1) and ``BENCH_CPUS`` the local cores. Each number is the median of three
 runs after a warm-up (one run for ``compared`` and ``*_wide``). ``queries`` holds the operators on the given tables; under ``*_large``, on
 ``pages`` repeated to about a million URLs; and under ``*_wide``, on these URLs with half as many different terms, so that the vocabulary and
-the word vectors are beyond what a task may hold. ``compared`` holds plainer forms of the same.
+the word vectors are beyond what a task may hold at a time. ``compared`` holds plainer forms of the same.
 """
 
 from __future__ import annotations
@@ -22,9 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from pathloom import cluster_urls, split_urls, v_measure, vocabulary
-from pathloom.operators.features import join_word_vectors, mean_vectors, url_means, vector_size_of, weighted_coefficients
+from pathloom.operators.features import (
+    join_word_vectors, mean_vectors, standardize, url_features, url_means, vector_size_of, weighted_coefficients,
+)
+from pathloom.operators.patterns import cluster_urls_by_pattern, features_by_pattern, pattern_means, term_patterns
 from pathloom.operators.terms import explode_terms
 from pathloom.operators.vocabulary import frequency_filter, rank_terms, word_counts
+from pathloom.plans.search import grid_trials, run_trial, search_clusters
 from pathloom.queries import QUERIES
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -36,7 +40,8 @@ HEADLINE = [
     "split_url", "explode_terms", "word_counts", "vocabulary_rank", "top_terms", "ranked_terms", "weighted_coefficients",
     "mean_vectors_in_tasks", "standardize", "url_features", "word_vectors_of_urls", "kmeans", "bisecting_kmeans",
     "assign_to_centres", "silhouette_euclidean", "silhouette_cosine", "align_labels", "encode_labels", "v_measure",
-    "evaluate_clusters", "plane_coordinates", "timing_summary", "ranked_terms_shuffled", "mean_vectors_beyond",
+    "evaluate_clusters", "plane_coordinates", "plane_coordinates_full_width", "timing_summary", "ranked_terms_shuffled", "mean_vectors_by_pieces",
+    "mean_vectors_beyond", "features_by_pattern", "kmeans_many",
 ]
 
 
@@ -123,6 +128,21 @@ def main() -> None:
     queries["mean_vectors_large"] = median_seconds(lambda: run(url_means(ranked, vectors, 3.0)))
     queries["v_measure_large"] = median_seconds(lambda: run(v_measure(assigned, "source", "lang")))
 
+    queries["features_large"] = median_seconds(lambda: run(url_features(ranked, vectors, 3.0)), 1)
+    queries["features_by_pattern_large"] = median_seconds(lambda: run(features_by_pattern(ranked, vectors, 3.0)), 1)
+    queries["kmeans_by_pattern_large"] = median_seconds(lambda: run(cluster_urls_by_pattern(ranked, vectors, 3.0, 10)), 1)
+    trials = grid_trials([4, 6, 8, 10, 12], ["euclidean"], [5], [1.0, 1.5, 2.0, 2.5])
+    queries["search_20_trials_large"] = median_seconds(lambda: search_clusters(ranked, lambda _: vectors, trials), 1)
+
+    def one_by_one() -> None:
+        counted = term_patterns(ranked).persist()
+        for s in (1.0, 1.5, 2.0, 2.5):
+            means = pattern_means(counted, vectors, s).persist()
+            for trial in trials[:5]:
+                run_trial(standardize(means, weight="urls"), trial, "kmeans", weight="urls")
+            means.unpersist()
+        counted.unpersist()
+
     many_words = LARGE_ROWS // 2
     rare = F.concat(F.lit("w"), F.pmod(F.xxhash64("id"), F.lit(many_words)).cast("string"))
     wide = stored(split.select("id", "url", F.concat("split_url", F.array(rare)).alias("split_url")), f"{scratch}/wide")
@@ -144,6 +164,8 @@ def main() -> None:
         "vocabulary_rank_large_one_task_window": lambda: run(
             frequency_filter(counts, split).withColumn("word_frequency_order", one_task)),
         "mean_vectors_large_sum_per_dimension": lambda: run(mean_vectors(joined(), vector_size_of(vectors))),
+        "kmeans_large_per_url": lambda: run(cluster_urls(url_features(ranked, vectors, 3.0).persist(), 10)),
+        "search_20_trials_large_one_by_one": one_by_one,
         "v_measure_large_collected": lambda: assigned.select("source", "lang").toPandas().value_counts(),
     }
     compared = {name: median_seconds(job, runs=1) for name, job in plainer.items()}
