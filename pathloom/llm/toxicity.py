@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +45,12 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of every word, whole and of its first bytes, and for each text the number of words before it."""
+    hashes, first = word_hashes(column, NO_LETTER, STARTS)
+    return (hashes >> np.uint64(32)).astype(np.uint32), first
+
+
 @dataclass
 class ToxicityModel:
     words: np.ndarray  # sorted hashes with an embedding; row 0 of the embeddings is any other word, row 1 the edge of a text
@@ -109,7 +116,7 @@ class ToxicityModel:
     def score(self, column: pa.Array) -> np.ndarray:
         column, scores = plain(column), []
         for start, stop in row_groups(column, _SCORED_AT_ONCE):
-            logits, language = self.logits(*word_hashes(column.slice(start, stop - start), NO_LETTER, STARTS))
+            logits, language = self.logits(*hashed_words(column.slice(start, stop - start)))
             scores.append(_sigmoid(logits + self.shifts[language]))
         return np.concatenate(scores or [np.empty(0)])
 
@@ -121,11 +128,11 @@ def _train(texts: list[np.ndarray], toxic: np.ndarray, langs: list[str | None],
     held = order[:max(1, len(order) // 5)]
     fitted = order[len(held):]
     uniques = [np.unique(texts[i]) for i in fitted]
-    words, seen = np.unique(np.concatenate(uniques or [np.empty(0, np.uint64)]), return_counts=True)
+    words, seen = np.unique(np.concatenate(uniques or [np.empty(0, np.uint32)]), return_counts=True)
     often = np.sort(np.argsort(-seen, kind="stable")[:WORDS])
     often = often[seen[often] >= 3]
     words, seen = words[often], seen[often]
-    own = np.concatenate([np.empty(0, np.uint64), *(u for u, i in zip(uniques, fitted) if toxic[i])])
+    own = np.concatenate([np.empty(0, np.uint32), *(u for u, i in zip(uniques, fitted) if toxic[i])])
     own = own[np.isin(own, words)]
     in_toxic = np.bincount(np.searchsorted(words, own), minlength=len(words))
 
@@ -193,7 +200,7 @@ def _train(texts: list[np.ndarray], toxic: np.ndarray, langs: list[str | None],
 def _calibrated(model: ToxicityModel, texts: list[np.ndarray], toxic: np.ndarray, languages: int, stands_for: tuple[float, float] = (1.0, 1.0)) -> np.ndarray:
     """Per language the shift that puts its best threshold (fewest errors among all that the texts stand for, in the middle of the gap) at
     ``THRESHOLD``."""
-    logits, language = model.logits(np.concatenate([np.empty((0, 1 + len(STARTS)), np.uint64), *texts]), np.append(0, np.cumsum([len(t) for t in texts])).astype(int))
+    logits, language = model.logits(np.concatenate([np.empty((0, 1 + len(STARTS)), np.uint32), *texts]), np.append(0, np.cumsum([len(t) for t in texts])).astype(int))
 
     def best(x: np.ndarray, y: np.ndarray) -> float:
         order = np.argsort(x)
@@ -235,17 +242,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, seed: int =
         column = plain(column)
         out = []
         for start, stop in row_groups(column):
-            hashes, first = word_hashes(column.slice(start, stop - start), NO_LETTER, STARTS)
+            hashes, first = hashed_words(column.slice(start, stop - start))
             out += [hashes[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
         return pa.array(out, pa.binary())
 
     # Both sides are bounded by the sample: its labels are broadcast and its texts come back as hashes.
     texts = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")
-    rows = texts.select("doc_id", "lang", "_toxic", hashed("text").alias("_words")).toArrow().sort_by("doc_id")
-    words = [np.frombuffer(value.as_buffer(), np.uint64).reshape(-1, 1 + len(STARTS)) for value in rows["_words"]]
+    rows = texts.select("doc_id", "lang", "_toxic", hashed("text").alias("_words")).toArrow()
+    order = pc.sort_indices(rows["doc_id"]).to_pylist()
+    # The texts stay where they came; only their order is made.
+    words = [np.frombuffer(rows["_words"][i].as_buffer(), np.uint32).reshape(-1, 1 + len(STARTS)) for i in order]
+    toxic, langs = np.array(rows["_toxic"].to_pylist(), bool)[order], np.array(rows["lang"].to_pylist(), object)[order].tolist()
     stands_for = tuple(
         sum(own) / max(1, sum(min(sample, n) for n in own)) for own in ([n for value, n in counts.items() if (value > 0) == toxic] for toxic in (False, True)))
-    model = _train(words, np.array(rows["_toxic"].to_pylist(), bool), rows["lang"].to_pylist(), seed, stands_for)
+    model = _train(words, toxic, langs, seed, stands_for)
     del rows, words
     release_memory()
     return model

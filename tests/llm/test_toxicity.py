@@ -101,13 +101,11 @@ def test_scores_against_slow_loops(model):
     import numpy as np
     import pyarrow as pa
 
-    from pathloom.llm.text import NO_LETTER, word_hashes
-
     rows, _ = corpus(25)
     texts = [text for _, text, *_ in rows] + ["", "one", "vile rotten", "%% 12"]
     found = model.score(pa.array(texts))
     for text, score in zip(texts, found):
-        hashes, _ = word_hashes(pa.array([text]), NO_LETTER, toxicity.STARTS)
+        hashes, _ = toxicity.hashed_words(pa.array([text]))
         known = [model.rows(h) for h in hashes]
         edge = model.embeddings[1] * (1 + len(toxicity.STARTS))
         # Two edges behind the text stand for the words that a window lacks there.
