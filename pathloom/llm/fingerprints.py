@@ -13,15 +13,15 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.llm.joins import partitions_for
+from pathloom.llm.joins import bytes_of, left_join, partitions_for
 from pathloom.llm.text import plain, releasing, shingle_sets
+from pathloom.scale import cut_lineage
 
 K = 128
 BUCKETS_PER_PARTITION = 4
-ROWS_PER_PARTITION = 8192
 
 
 def sketch(shingles: np.ndarray, k: int = K) -> np.ndarray:
@@ -132,11 +132,11 @@ def _with_next(docs: DataFrame) -> DataFrame:
     Buckets are ranges of ids. Each also gets the first document of the bucket behind it (``lead``), the last one that of the first bucket. Text
     is moved once, and only one document per bucket twice.
     """
-    spark = docs.sparkSession
-    partitions = partitions_for(docs, ROWS_PER_PARTITION)
-    buckets = BUCKETS_PER_PARTITION * partitions
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    partitions = partitions_for(docs.sparkSession, bytes_of(rows, "text"))
+    buckets = BUCKETS_PER_PARTITION * partitions
     place = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))  # a null id comes last
+    # As many numbers as the shuffle has partitions times four, which is bounded in bytes.
     cuts = rows.filter("doc_id is not null").select(place.alias("place")).approxQuantile(
         "place", [i / buckets for i in range(1, buckets)], 0.25 / buckets)
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
@@ -145,13 +145,14 @@ def _with_next(docs: DataFrame) -> DataFrame:
     else:
         dealt = rows.withColumns({"place": place, "bucket": F.lit(0.0)})
     dealt = dealt.withColumn("bucket", F.col("bucket").cast("long"))
-    # One row per bucket.
-    firsts = dealt.groupBy("bucket").agg(F.max("place").alias("place")).orderBy(F.desc("bucket")).collect()
-    after = [(firsts[i].bucket, firsts[(i + 1) % len(firsts)].place) for i in range(len(firsts))]
-    leads = spark.createDataFrame([(p, b) for b, p in after], "place double, before long")
+    # One row per bucket, which stays with the executors.
+    firsts = cut_lineage(dealt.groupBy("bucket").agg(F.max("place").alias("place")))
+    last = firsts.agg(F.min("bucket")).scalar()
+    before = F.lag("bucket").over(Window.orderBy(F.desc("bucket")))
+    leads = firsts.select("place", F.coalesce(before, last).alias("before"))
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("lead"))
     lead = F.struct(F.col("before").alias("bucket"), F.lit(True).alias("lead"))
-    joined = dealt.join(F.broadcast(leads), "place", "left")
+    joined = left_join(dealt, leads, "place")
     spread = joined.select("doc_id", "text", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, lead))).alias("to"))
     return (
         spread.select("to.bucket", "to.lead", "doc_id", "text")

@@ -8,8 +8,8 @@ Two documents link if the Jaccard similarity of their sets is at least ``PERCENT
 3. The rest meets in blocks of documents with the same least shingle under two hash functions. In a block an R-tree over
    count vectors (how many shingles fall into each of ``GROUPS`` groups) bounds overlaps by the sum of coordinate minima; pairs
    that survive are verified, unless other links already connect them.
-4. To miss nothing, documents are then compared by every shingle of their prefixes: of two linked documents the 20 % smallest
-   shingles have one in common. Only shingles whose documents are not all connected yet are left, and only pairs from
+4. To miss nothing, documents are then compared by every shingle of their prefixes: of two linked documents the 20 % rarest
+   shingles have one in common. How rare a shingle is, is counted over all sets by ranges of hashes; ties go by hash. Only shingles whose documents are not all connected yet are left, and only pairs from
    different components are verified.
 
 Only connections are needed, so a group of m near copies costs about m verifications, not m * m.
@@ -21,13 +21,13 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm.components import components
 from pathloom.llm.text import mix, plain, release_memory, releasing, row_groups, shingle_sets
-from pathloom.llm.joins import left_join, partitions_for, semi_join
+from pathloom.llm.joins import bytes_of, left_join, partitions_for, semi_join
 from pathloom.scale import cut_lineage
 
 PERCENT = 80
@@ -36,7 +36,10 @@ LEAF = 32
 # A block or half of a pair of blocks holds at most about this many documents.
 BLOCK = 512
 PARTS_PER_PARTITION = 4
-ROWS_PER_PARTITION = 8192
+PART_BYTES = 4 << 20
+# Shingles are counted by this many upper bits of their hash.
+SLOT_BITS = 20
+_SLOTS_PER_ROW = 1 << 10
 _CHUNK_BYTES = 2 << 20
 _ALL = -1
 
@@ -45,6 +48,7 @@ _ALL = -1
 
 _PACKED = "part long, chunk long, doc_ids binary, sizes binary, first_hash binary, second_hash binary, keys binary, owners binary"
 _COUNTED = "chunk long, doc_ids binary, sizes binary, first_hash binary, second_hash binary, owners binary, counts binary"
+_SLOTS = "place long, counts binary"
 _INFO = "doc_id long, n_shingles long, first_hash long, second_hash long, may_link boolean"
 
 
@@ -185,8 +189,11 @@ def _from_sets(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[np.ndar
 
 def _occurrence(rows: DataFrame, read: Callable, percent: int) -> DataFrame:
     """``_INFO`` of ``rows (doc_id, text or set)``."""
-    partitions = partitions_for(rows, ROWS_PER_PARTITION)
-    packed = rows.mapInArrow(releasing(_pack(partitions * PARTS_PER_PARTITION, read)), _PACKED)
+    size = bytes_of(rows, rows.columns[1])
+    partitions = partitions_for(rows.sparkSession, size)
+    # A task holds one part at a time, so parts stay small where partitions grow.
+    parts = max(PARTS_PER_PARTITION * partitions, -(-size // PART_BYTES))
+    packed = rows.mapInArrow(releasing(_pack(parts, read)), _PACKED)
     # The rows with the ids of a chunk are spread like a part of their own each.
     place = F.when(F.col("part") == _ALL, F.xxhash64("chunk")).otherwise(F.col("part"))
     counted = packed.withColumn("place", place).repartition(partitions, "place").sortWithinPartitions("part").drop("place").mapInArrow(releasing(_count_alone), _COUNTED)
@@ -348,11 +355,61 @@ def _least_shingles(column: Column) -> Column:
     return work(column)
 
 
-def _prefix(column: Column, percent: int) -> Column:
-    """The smallest shingles of a set, as many as it can lose and still link, and one more."""
+def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of a task's sets fall into each slot, as rows of neighbouring slots."""
+    counts = np.zeros(1 << SLOT_BITS, np.int64)
+    for batch in batches:
+        for sets in _slices(batch.column(0)):
+            counts += np.bincount(_slots_of(np.concatenate(sets)), minlength=len(counts))
+    rows = [(place, row.tobytes()) for place, row in enumerate(counts.reshape(-1, _SLOTS_PER_ROW)) if row.any()]
+    yield _rows(_SLOTS, rows)
+
+
+def _add_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up the rows of the same slots, which come one after another."""
+    place, total = None, None
+    for batch in batches:
+        for row in _dicts(batch):
+            counts = np.frombuffer(row["counts"], np.int64)
+            if row["place"] == place:
+                total += counts
+                continue
+            if place is not None:
+                yield _rows(_SLOTS, [(place, total.tobytes())])
+            place, total = row["place"], counts.copy()
+    if place is not None:
+        yield _rows(_SLOTS, [(place, total.tobytes())])
+
+
+def frequency_classes(sets: DataFrame) -> np.ndarray:
+    """The class of each slot: the number of binary digits of the count of all its shingles in all ``sets``.
+
+    A slot is a range of hashes. There are always ``2 ** SLOT_BITS`` of them, so a task, a row of the shuffle and the result (1 MB) do not grow with the data. A
+    shingle of many documents makes its slot's class high; rare shingles that share the slot are taken for frequent, too.
+    """
+    counted = sets.select("set").mapInArrow(releasing(_count_slots), _SLOTS)
+    added = counted.repartition("place").sortWithinPartitions("place").mapInArrow(_add_slots, _SLOTS).toArrow()
+    counts = np.zeros(1 << SLOT_BITS, np.int64).reshape(-1, _SLOTS_PER_ROW)
+    for place, row in zip(added["place"].to_pylist(), added["counts"].to_pylist()):
+        counts[place] = np.frombuffer(row, np.int64)
+    return np.ceil(np.log2(counts.ravel() + 1.0)).astype(np.uint8)
+
+
+def _slots_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def prefix(ordered: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest shingles of a set, as many as it can lose and still link, and one more. One order of all shingles, by class and then by hash,
+    serves all sets, so two sets that link have a shingle of their prefixes in common, whatever the classes are."""
+    rarest = np.argsort(classes[_slots_of(ordered)], kind="stable")
+    return ordered[rarest[:len(ordered) - -(-percent * len(ordered) // 100) + 1]]
+
+
+def _prefix(column: Column, classes: Broadcast, percent: int) -> Column:
     @F.arrow_udf("array<long>")
     def work(column: pa.Array) -> pa.Array:
-        return pa.array([s[:len(s) - -(-percent * len(s) // 100) + 1].view(np.int64) for sets in _slices(column) for s in sets], pa.list_(pa.int64()))
+        return pa.array([prefix(s, classes.value, percent).view(np.int64) for sets in _slices(column) for s in sets], pa.list_(pa.int64()))
 
     return work(column)
 
@@ -382,14 +439,15 @@ def _link_in_blocks(sets: DataFrame, percent: int) -> DataFrame:
         return link_block(table["node"].to_numpy(), _sets_of(table["set"]), percent)
 
     rows = blocks.join(sets, "node").select("block", "node", "set")
-    partitions = partitions_for(sets, ROWS_PER_PARTITION)
+    partitions = partitions_for(sets.sparkSession, 2 * bytes_of(sets, "set"))
     return rows.repartition(partitions, "block").sortWithinPartitions("block", "node").mapInArrow(releasing(_by_block(work)), _PAIRS)
 
 
 def _pairs_left(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share a prefix shingle and that count vectors don't rule out."""
     labelled = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    prefixes = cut_lineage(labelled.select("node", "root", F.explode(_prefix(F.col("set"), percent)).alias("key")))
+    classes = sets.sparkSession.sparkContext.broadcast(frequency_classes(sets))
+    prefixes = cut_lineage(labelled.select("node", "root", F.explode(_prefix(F.col("set"), classes, percent)).alias("key")))
     # A shingle all of whose documents are connected is done; of shingles with the same documents one is enough.
     left = prefixes.groupBy("key").agg(
         F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows"),
@@ -414,7 +472,8 @@ def _pairs_left(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
         return pair_block(table["node"].to_numpy(), vectors, table["root"].to_numpy(), table["side"].to_numpy(), percent)
 
     rows = met.join(counts, "node").select("block", "node", "root", "side", "counts")
-    partitions = partitions_for(sets, ROWS_PER_PARTITION)
+    met_rows = dealt.agg(F.coalesce(F.sum("groups"), F.lit(0))).first()[0]
+    partitions = partitions_for(sets.sparkSession, met_rows * 2 * GROUPS)
     pairs = rows.repartition(partitions, "block").sortWithinPartitions("block").mapInArrow(releasing(_by_block(work)), _PAIRS)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 

@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.scale import fits_broadcast
 
 BROADCAST_BYTES = 32 << 20
+PARTITION_BYTES = 16 << 20
+LARGE_PARTITION_BYTES = 512 << 20
+MANY_PARTITIONS = 20_000
 
 
-def partitions_for(rows: DataFrame, rows_each: int) -> int:
-    """So many partitions that each holds about ``rows_each`` of ``rows``, and no fewer than the session asks for."""
-    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // rows_each))
+def partitions_for(spark: SparkSession, size: int) -> int:
+    """So many partitions that each holds about ``PARTITION_BYTES`` of ``size`` bytes, and no fewer than the session asks for.
+
+    More than ``MANY_PARTITIONS`` cost a shuffle more than they save, so beyond that partitions grow, up to ``LARGE_PARTITION_BYTES``. Their tasks
+    must read them as a stream.
+    """
+    wanted = min(-(-size // PARTITION_BYTES), max(MANY_PARTITIONS, -(-size // LARGE_PARTITION_BYTES)))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), wanted)
+
+
+def bytes_of(rows: DataFrame, column: str) -> int:
+    """The bytes of all texts or binary values of a column."""
+    return rows.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
 
 
 def left_join(facts: DataFrame, dimension: DataFrame, key: str, payload: Column | int = 16) -> DataFrame:

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pathloom.llm import fingerprints as fp
+from pathloom.llm import fingerprints as fp, joins
 from pathloom.llm.text import shingle_sets
 
 from .conftest import DOC_SCHEMA, rows_of, words
@@ -73,6 +73,23 @@ def test_many_rows(spark):
     assert rows_of(found, "doc_id", "n_chars", "edited_sha256") == sorted((w[:3] for w in expected(rows)), key=repr)
 
 
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
+def test_many_ranges_of_ids(spark, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(joins, "PARTITION_BYTES", 2_000)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", broadcast_bytes)
+    rows = [(i * i, words(3 + i % 60, i)) for i in range(500)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOC_SCHEMA)
+    dealt = fp._with_next(docs)
+    assert dealt.select("bucket").distinct().count() > 100
+    assert rows_of(fp.fingerprint_edits(docs), "doc_id", "n_chars", "edited_sha256") == sorted((w[:3] for w in expected(rows)), key=repr)
+
+
+def test_partitions_grow_with_bytes(spark):
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert joins.partitions_for(spark, 0) == least and joins.partitions_for(spark, 1 << 30) == max(least, 64)
+    assert joins.partitions_for(spark, 1 << 40) == 20_000 and joins.partitions_for(spark, 100 << 40) == 204_800
+
+
 def test_one_row_and_none(spark, no_docs):
     row = fp.fingerprint_edits(spark.createDataFrame([(7, "abcdef", None, None, None)], DOC_SCHEMA)).first()
     assert row.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest() and row.near_next == 1

@@ -82,6 +82,32 @@ def test_empty(no_docs):
     assert jaccard.keep_one(no_docs).collect() == []
 
 
+def test_classes_count_all_sets(spark):
+    pick = np.random.default_rng(3)
+    common = pick.integers(0, 2**64, 1, np.uint64)
+    sets = [np.unique(np.concatenate([pick.integers(0, 2**64, i % 9, np.uint64), common])) for i in range(700)]
+    rows = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "node long, set binary").repartition(5)
+    counts = np.zeros(1 << jaccard.SLOT_BITS, np.int64)
+    for s in sets:
+        for value in s.tolist():
+            counts[value >> (64 - jaccard.SLOT_BITS)] += 1
+    found = jaccard.frequency_classes(rows)
+    assert found.tolist() == [int(c).bit_length() for c in counts] and found.max() == 10
+    # The shingle that all sets share is the last of their order.
+    assert not any(common[0] in jaccard.prefix(s, found, 80) for s in sets if len(s) > 1)
+    assert jaccard.frequency_classes(rows.limit(0)).max() == 0
+
+
+@settings(deadline=None, max_examples=100)
+@given(st.lists(st.sets(st.integers(0, 40), min_size=1), min_size=2, max_size=20), st.integers(0, 2**32))
+def test_prefixes_of_linked_sets_meet(sets, seed):
+    sets = [np.array(sorted(x << (64 - jaccard.SLOT_BITS) for x in s), np.uint64) for s in sets]
+    classes = np.random.default_rng(seed).integers(0, 6, 1 << jaccard.SLOT_BITS).astype(np.uint8)
+    for x, y in combinations(sets, 2):
+        if jaccard.links(len(x), len(y), len(np.intersect1d(x, y)), 80):
+            assert set(jaccard.prefix(x, classes, 80).tolist()) & set(jaccard.prefix(y, classes, 80).tolist())
+
+
 @settings(deadline=None, max_examples=60)
 @given(st.lists(st.sets(st.integers(0, 60), min_size=1), min_size=2, max_size=30), st.integers(2, 8))
 def test_the_tree_loses_no_pair(sets, leaf):
