@@ -1,11 +1,12 @@
 """The main text of web pages, by structure and by a suffix array over the pages of each host.
 
-Structure decides where it can: what stands in an article or main element is kept, except menus, adverts, comments and the like within it;
-what stands outside is not. A page without such an element has only open blocks. For these the suffix array decides: the
-token streams of everything outside articles are concatenated, suffixes are sorted by their first ``RUN`` tokens (prefix doubling), and a run of
-tokens that pages of ``MIN_PAGES`` different contents of the host share is boilerplate. Runs go on from block to block of a page. A block
-of fewer tokens is also a run of its own. Covered tokens of open blocks are removed, unique runs are kept. Pages with the same words
-in the same order have one content, so an article is not boilerplate because its page was stored several times.
+Structure proposes: what stands in an article or main element is a part of the main text, except menus, adverts, comments and the like within it;
+a page without such an element has only open blocks. The suffix array decides on every page: the token streams of everything outside articles are
+concatenated, suffixes are sorted by their first ``RUN`` tokens (prefix doubling), and a run of tokens that pages of ``MIN_PAGES`` different contents
+of the host share is boilerplate. Runs go on from block to block of a page. A block of fewer tokens is also a run of its own, and so is every block
+of a part, of any length. Covered tokens of open blocks are removed, unique runs are kept. A part whose blocks are all shared is boilerplate and gives
+way to parts or unmarked blocks of the page that are not, if these have more words; other parts stay whole, as an article may quote. Pages
+with the same words in the same order have one content, so an article is not boilerplate because its page was stored several times.
 
 Each task builds the array of its pages; intervals of equal suffixes are then merged by host and tokens, so a very large host or a very
 common run is at most ``MIN_PAGES`` rows of each array.
@@ -16,22 +17,25 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.llm.joins import BROADCAST_BYTES, left_join
 from pathloom.llm.reputation import url_host
 from pathloom.llm.text import mix, plain, releasing, word_hashes
-from pathloom.scale import cut_lineage
+from pathloom.scale import broadcast_size, cut_lineage
 
 RUN = 8
 MIN_PAGES = 3
 _TOKENS_AT_ONCE = 1 << 19
 
 KEPT, OPEN, OUTSIDE = "kept", "open", "outside"
+# The parts of a page are numbered from 1. Other blocks are of no part, or unmarked ones beside parts.
+NO_PART, BESIDE = 0, -1
 
 # Names of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -97,16 +101,22 @@ def _marked(name: str, attributes: str) -> tuple[int, bool]:
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
-    """The blocks of a page in order, each ``(kept, open or outside, text)``; character references decoded, white space one space.
+    """The blocks of a page in order as structure proposes them, each ``(kept, open or outside, text)``."""
+    return [(kind, text) for kind, text, _ in candidates(page)]
 
-    A page with an article or main part has no open blocks. A main part within a form, or within an element that a word marks, counts if
-    no main part outside such elements has text. Unclosed paragraphs, list items, table cells, rows and options end where HTML ends
+
+def candidates(page: str) -> list[tuple[str, str, int]]:
+    """The blocks of a page in order, each ``(kept, open or outside, text, part)``; character references decoded, white space one space.
+
+    A page with an article or main part has no open blocks; each main element is a part, without those in it. A main part within a form, or within
+    an element that a word marks, is proposed if no main part outside such elements has text. What is outside and has a part, or is ``BESIDE``
+    parts, may take the place of what is proposed. Unclosed paragraphs, list items, table cells, rows and options end where HTML ends
     them, other unclosed elements with what encloses them.
     """
-    found: list[tuple[str, str]] = []
-    stack: list[tuple[str, int, str]] = []  # name, how it is left out, the kind of the main part it is within
+    found: list[tuple[str, str, int]] = []
+    stack: list[tuple[str, int, str, int]] = []  # name, how it is left out, the kind of the main part it is within, its number
     texts: list[str] = []
-    at, size, any_main = 0, len(page), False
+    at, size, parts = 0, len(page), 0
     inner = "inner"  # the kind of blocks of main parts within marked elements
 
     def close_block() -> None:
@@ -114,8 +124,8 @@ def blocks(page: str) -> list[tuple[str, str]]:
             text = " ".join(entities.unescape("".join(texts)).split())
             texts.clear()
             if text:
-                dropped, main = stack[-1][1:] if stack else (IN, "")
-                found.append((OUTSIDE if dropped else main or OPEN, text))
+                dropped, main, part = stack[-1][1:] if stack else (IN, "", NO_PART)
+                found.append((OUTSIDE, text, NO_PART) if dropped else (main or OPEN, text, part))
 
     while at < size:
         tag = _TAG.search(page, at)
@@ -150,7 +160,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
                     break
                 if stack[depth][0] in beyond:
                     break
-        dropped, main = stack[-1][1:] if stack else (IN, "")
+        dropped, main, part = stack[-1][1:] if stack else (IN, "", NO_PART)
         marked, is_main = _marked(name, attributes) if attributes else (IN, False)
         is_main = (is_main or name in MAIN) and not marked and dropped != OUT and not (dropped and main)
         if is_main:
@@ -158,22 +168,26 @@ def blocks(page: str) -> list[tuple[str, str]]:
         out = max(dropped, marked, MARKED if name == "form" else OUT if name in DROPPED or name == "header" and not main else IN)
         if name not in INLINE or out != (stack[-1][1] if stack else IN):
             close_block()
-        any_main |= is_main
+        if is_main:
+            part = parts = parts + 1
         if name in VOID or attributes.rstrip().endswith("/") and name not in INLINE:
             continue
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else size
             continue
-        stack.append((name, out, main))
+        stack.append((name, out, main, part))
     close_block()
-    chosen = KEPT if any(kind == KEPT for kind, _ in found) else inner
-    found = [(KEPT if kind == chosen else OUTSIDE if kind == inner else kind, text) for kind, text in found]
-    if any_main:
-        found = [(OUTSIDE if kind == OPEN else kind, text) for kind, text in found]
+    chosen = KEPT if any(kind == KEPT for kind, _, _ in found) else inner
+    found = [(KEPT if kind == chosen else OUTSIDE if kind == inner else kind, text, part) for kind, text, part in found]
+    if parts:
+        found = [(OUTSIDE, text, BESIDE) if kind == OPEN else (kind, text, part) for kind, text, part in found]
     return found
 
 
+Page = list[tuple[str, str, int]]
+
+
 class SuffixArray:
     """Suffixes of a token sequence sorted by their first ``depth`` tokens (a power of two).
 
@@ -199,7 +213,7 @@ class SuffixArray:
         self.order = order[self.ranks[order] > 0]
 
 
-def _stream(pages: list[list[tuple[str, str]]], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _stream(pages: list[Page], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Tokens, stretch and page number of all blocks outside articles; then first token, size and hash of each block shorter than ``run``.
 
     A stretch ends with its page and where an article begins.
@@ -207,7 +221,7 @@ def _stream(pages: list[list[tuple[str, str]]], run: int) -> tuple[np.ndarray, n
     texts, owner, stretch, number = [], [], [], 0
     for i, page in enumerate(pages):
         number += 1
-        for kind, text in page:
+        for kind, text, _ in page:
             if kind == KEPT:
                 number += 1
                 continue
@@ -225,19 +239,37 @@ def _stream(pages: list[list[tuple[str, str]]], run: int) -> tuple[np.ndarray, n
     return hashes, np.repeat(np.array(stretch, np.int64), sizes), np.repeat(np.array(owner, np.int64), sizes), starts, lengths, mix(whole)
 
 
-def _content(page: list[tuple[str, str]]) -> int:
+def _part_blocks(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Page number, part, tokens and hash of every block of a part."""
+    texts, owner, parts = [], [], []
+    for i, page in enumerate(pages):
+        for _, text, part in page:
+            if part > NO_PART:
+                texts.append(text)
+                owner.append(i)
+                parts.append(part)
+    hashes, first = word_hashes(pa.array(texts, pa.string()))
+    sizes = np.diff(first)
+    place = np.arange(len(hashes), dtype=np.uint64) - np.repeat(first[:-1], sizes).astype(np.uint64)
+    sums = np.append(np.uint64(0), np.cumsum(mix(hashes + place * np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64))
+    # Not the hashes of runs outside articles, which are counted apart.
+    whole = mix((sums[first[1:]] - sums[first[:-1]]) ^ np.uint64(0x5851F42D4C957F2D))
+    return np.array(owner, np.int64), np.array(parts, np.int32), sizes.astype(np.int64), whole
+
+
+def _content(page: Page) -> int:
     """The same for pages with the same words in the same order."""
-    words = " ".join(text for _, text in page).lower().encode()
+    words = " ".join(text for _, text, _ in page).lower().encode()
     return int.from_bytes(hashlib.blake2b(words, digest_size=8).digest(), "little", signed=True)
 
 
-def _pages(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[list[tuple[str, str]]]]]:
+def _pages(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[Page]]]:
     for start in range(0, len(batch), 256):
         part = batch.slice(start, 256)
-        yield part, [blocks(text) for text in plain(part.column("html")).to_pylist()]
+        yield part, [candidates(text) for text in plain(part.column("html")).to_pylist()]
 
 
-_RUNS = "host string, run long, content long, open_pages long"
+_RUNS = "host long, run long, content long"
 
 
 def _shared_runs(run: int, min_pages: int):
@@ -245,13 +277,12 @@ def _shared_runs(run: int, min_pages: int):
         held, hosts, contents, size = [], [], [], 0
 
         def counted() -> pa.RecordBatch:
-            tokens, segment, owner, short_owner, short_runs = (np.concatenate(x) for x in zip(*held))
+            tokens, segment, owner, whole_owner, whole_runs = (np.concatenate(x) for x in zip(*held))
             array = SuffixArray(tokens, segment, run)
-            names, host = np.unique(np.array(hosts, object), return_inverse=True)
             order = array.order
             # An interval of equal suffixes, by host; of each content one suffix counts, and more than ``min_pages`` tell nothing more.
-            owners, runs = np.append(owner[order], short_owner), np.append(array.hashes[order], short_runs)
-            host, content = host[owners], np.array(contents, np.int64)[owners]
+            owners, runs = np.append(owner[order], whole_owner), np.append(array.hashes[order], whole_runs)
+            host, content = np.array(hosts, np.int64)[owners], np.array(contents, np.int64)[owners]
             by = np.lexsort((content, runs, host))
             host, runs, content = host[by], runs[by], content[by]
             begins = np.append(True, (host[1:] != host[:-1]) | (runs[1:] != runs[:-1]))[:len(by)]
@@ -260,89 +291,124 @@ def _shared_runs(run: int, min_pages: int):
             starts = np.flatnonzero(begins)
             some = np.arange(len(begins)) - np.repeat(starts, np.diff(np.append(starts, len(begins)))) < min_pages
             return pa.RecordBatch.from_arrays(
-                [pa.array(names[host[some]].tolist(), pa.string()), pa.array(runs[some].view(np.int64)), pa.array(content[some]),
-                 pa.array(np.zeros(some.sum(), np.int64))], names=["host", "run", "content", "open_pages"])
+                [pa.array(host[some]), pa.array(runs[some].view(np.int64)), pa.array(content[some])], names=["host", "run", "content"])
 
-        opened = segments = 0
+        segments = 0
         for batch in batches:
             for part, pages in _pages(batch):
                 tokens, segment, owner, starts, _, short_runs = _stream(pages, run)
-                opened += sum(any(kind == OPEN for kind, _ in page) for page in pages)
-                held.append((tokens, segment + segments, owner + len(hosts), owner[starts] + len(hosts), short_runs))
+                block_owner, _, _, block_runs = _part_blocks(pages)
+                held.append((tokens, segment + segments, owner + len(hosts), np.append(owner[starts], block_owner) + len(hosts), np.append(short_runs, block_runs)))
                 segments += int(segment[-1]) + 1 if len(segment) else 0
                 hosts += part.column("host").to_pylist()
                 contents += map(_content, pages)
-                size += len(tokens)
+                size += len(tokens) + len(block_runs)
                 if size > _TOKENS_AT_ONCE:
                     yield counted()
                     held, hosts, contents, size, segments = [], [], [], 0, 0
         if held:
             yield counted()
-        # A row without a run tells how many pages have open blocks.
-        yield pa.RecordBatch.from_pydict({"host": pa.array([None], pa.string()), "run": [0], "content": [0], "open_pages": [opened]})
 
     return work
 
 
-_TEXTS = "page_id long, url string, text string, n_chars long"
+_PLACES = "page_key long, host long, run long, part int, place long, size long, words long, choices int"
 
 
-def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The text of the pages without open blocks."""
-    for batch in batches:
-        for part, pages in _pages(batch):
-            keep = [i for i, page in enumerate(pages) if not any(kind == OPEN for kind, _ in page)]
-            texts = ["\n".join(text for kind, text in pages[i] if kind == KEPT) for i in keep]
-            rows = part.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("page_id"), rows.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                names=["page_id", "url", "text", "n_chars"])
-
-
-def _open_runs(run: int):
+def _runs_of_pages(run: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Every run of the pages with open blocks with its page, place and size."""
+        """Every run that may decide a page: those of pages with open or unmarked blocks with their place and size, as of no part, and the blocks of parts
+        with their tokens. A row more for each part has its words, and how many parts, or unmarked blocks as one, the page has."""
         for batch in batches:
             for part, pages in _pages(batch):
-                pages = [page if any(kind == OPEN for kind, _ in page) else [] for page in pages]
-                tokens, segment, owner, starts, lengths, short_runs = _stream(pages, run)
+                streamed = [page if any(kind == OPEN or number == BESIDE for kind, _, number in page) else [] for page in pages]
+                tokens, segment, owner, starts, lengths, short_runs = _stream(streamed, run)
                 array = SuffixArray(tokens, segment, run)
                 order = np.sort(array.order)
                 at, hashes = np.append(order, starts), np.append(array.hashes[order], short_runs)
                 sizes = np.append(np.full(len(order), run), lengths)
                 first = np.searchsorted(owner, np.arange(len(pages)))
-                rows = part.take(pa.array(owner[at], pa.int64()))
+                block_owner, block_part, block_sizes, block_runs = _part_blocks(pages)
+                # Blocks of a part do not always stand together.
+                by = np.lexsort((block_part, block_owner))
+                new = np.append(True, (np.diff(block_owner[by]) != 0) | (np.diff(block_part[by]) != 0))[:len(by)]
+                begins = np.flatnonzero(new)
+                words = np.add.reduceat(block_sizes[by], begins) if len(begins) else np.empty(0, np.int64)
+                part_owner, part_number = block_owner[by][new], block_part[by][new]
+                choices = np.bincount(part_owner, minlength=len(pages)) + [any(number == BESIDE for *_, number in page) for page in pages]
+                n, m, k = len(at), len(block_runs), len(words)
+                owners = np.concatenate([owner[at], block_owner, part_owner])
+                rows = part.take(pa.array(owners, pa.int64()))
+                # The hash of a part's row is its own, so that these rows are spread.
+                runs = np.concatenate([hashes, block_runs, mix(np.arange(k, dtype=np.uint64) ^ (block_runs[by][new]))]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("page_key"), rows.column("host"), pa.array(hashes.view(np.int64)), pa.array(at - first[owner[at]], pa.int64()),
-                     pa.array(sizes, pa.int64())], names=["page_key", "host", "run", "place", "size"])
+                    [rows.column("page_key"), rows.column("host"), pa.array(runs),
+                     pa.array(np.concatenate([np.full(n, NO_PART), block_part, part_number]), pa.int32()),
+                     pa.array(np.concatenate([at - first[owner[at]], np.zeros(m + k, np.int64)]), pa.int64()),
+                     pa.array(np.concatenate([sizes, block_sizes, np.zeros(k, np.int64)]), pa.int64()),
+                     pa.array(np.concatenate([np.zeros(n + m, np.int64), words]), pa.int64()),
+                     pa.array(choices[owners], pa.int32())],
+                    names=["page_key", "host", "run", "part", "place", "size", "words", "choices"])
 
     return work
 
 
-def _undecided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The text of the pages with open blocks, without the tokens that shared runs cover."""
-    for batch in batches:
-        for part, pages in _pages(batch):
-            keep, texts = [], []
-            for i, (page, places) in enumerate(zip(pages, part.column("places").to_pylist())):
-                if not any(kind == OPEN for kind, _ in page):
-                    continue
-                keep.append(i)
-                words = [(kind, text.split()) for kind, text in page if kind != KEPT]
-                covered = np.zeros(sum(len(block) for _, block in words), bool)
-                for place in places or []:
-                    covered[place["place"]:place["place"] + place["size"]] = True
-                lines, at = [], 0
-                for kind, block in words:
-                    line = " ".join(w for w, gone in zip(block, covered[at:at + len(block)]) if not gone)
-                    at += len(block)
-                    if line and kind == OPEN:
-                        lines.append(line)
-                texts.append("\n".join(lines))
-            rows = part.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("page_id"), rows.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                names=["page_id", "url", "text", "n_chars"])
+def _uncovered(page: Page, places: list[dict], run_on: Callable[[str, int], bool]) -> list[str]:
+    """The blocks of a page's stream that ``run_on`` takes, without the tokens that shared runs cover."""
+    words = [(kind, number, text.split()) for kind, text, number in page if kind != KEPT]
+    covered = np.zeros(sum(len(block) for *_, block in words), bool)
+    for place in places:
+        covered[place["place"]:place["place"] + place["size"]] = True
+    lines, at = [], 0
+    for kind, number, block in words:
+        line = " ".join(w for w, gone in zip(block, covered[at:at + len(block)]) if not gone)
+        at += len(block)
+        if line and run_on(kind, number):
+            lines.append(line)
+    return lines
+
+
+def decide(page: Page, shared_parts: set[int], places: list[dict], run: int = RUN) -> list[str]:
+    """The blocks of a page's main text.
+
+    ``shared_parts`` are those whose blocks are all shared; ``places`` are the shared runs of the tokens outside proposed parts, of pages with open
+    or unmarked blocks. Shared parts give way to proposed ones that are not shared, or else to other parts, or else to what shared runs leave of
+    unmarked blocks, if these have more words (of unmarked blocks also ``run`` at least); so no page loses its text to a short remark.
+    """
+    if any(kind == OPEN for kind, _, _ in page):
+        return _uncovered(page, places, lambda kind, _: kind == OPEN)
+    proposed = [(text, number) for kind, text, number in page if kind == KEPT]
+    own = [text for text, number in proposed if number not in shared_parts]
+    others = [text for kind, text, number in page if kind != KEPT and number > NO_PART and number not in shared_parts]
+
+    def count(texts: list[str]) -> int:
+        return sum(len(text.split()) for text in texts)
+
+    common = [text for text, number in proposed if number in shared_parts]
+    if own:
+        return own if count(own) > count(common) else [text for text, _ in proposed]
+    if count(others) > count(common):
+        return others
+    beside = _uncovered(page, places, lambda _, number: number == BESIDE)
+    if count(beside) > max(count(common), run - 1):
+        return beside
+    return common
+
+
+_TEXTS = "page_id long, url string, text string, n_chars long"
+
+
+def _texts(run: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, pages in _pages(batch):
+                shared, places = part.column("shared_parts").to_pylist(), part.column("places").to_pylist()
+                texts = ["\n".join(decide(page, set(a or ()), b or [], run)) for page, a, b in zip(pages, shared, places)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                    names=["page_id", "url", "text", "n_chars"])
+
+    return work
 
 
 def main_texts(pages: DataFrame, *, run: int = RUN, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -352,17 +418,20 @@ def main_texts(pages: DataFrame, *, run: int = RUN, min_pages: int = MIN_PAGES)
     give a row each. Returns ``page_id, url, text, n_chars`` (code points). An empty table gives an empty one.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    hosted = rows.select(url_host(F.col("url")).alias("host"), "html")
-    contents = hosted.mapInArrow(releasing(_shared_runs(run, min_pages)), _RUNS).groupBy("host", "run", "content").agg(F.sum("open_pages").alias("open_pages"))
-    runs = cut_lineage(contents.groupBy("host", "run").agg(F.count(F.lit(1)).alias("pages"), F.sum("open_pages").alias("open_pages"))
-                       .filter((F.col("pages") >= min_pages) | (F.col("open_pages") > 0)))
-    decided = rows.mapInArrow(releasing(_decided), _TEXTS)
-    if not runs.filter("open_pages > 0").limit(1).count():
-        return decided
-    keyed = rows.withColumns({"host": url_host(F.col("url")), "page_key": F.xxhash64("page_id", "url", "html")})
-    shared = runs.filter("host is not null").select("host", "run")
-    places = keyed.mapInArrow(releasing(_open_runs(run)), "page_key long, host string, run long, place long, size long").distinct().join(shared, ["host", "run"])
-    # No more than two for each word of a page.
-    covered = cut_lineage(places.groupBy("page_key").agg(F.collect_set(F.struct("place", "size")).alias("places")))
-    opened = keyed.join(covered, "page_key", "left").select("page_id", "url", "html", "places").mapInArrow(releasing(_undecided), _TEXTS)
-    return decided.unionByName(opened)
+    keyed = rows.withColumns({"host": F.xxhash64(url_host(F.col("url"))), "page_key": F.xxhash64("page_id", "url", "html")})
+    # One shuffle for both counts; a task sends a run at most ``min_pages`` times for each of its arrays.
+    contents = keyed.select("host", "html").mapInArrow(releasing(_shared_runs(run, min_pages)), _RUNS).repartition("host", "run").distinct()
+    shared = cut_lineage(contents.groupBy("host", "run").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages).select("host", "run", F.lit(True).alias("hit")))
+    if broadcast_size(shared, "run") <= BROADCAST_BYTES:
+        shared = F.broadcast(shared)
+    found = keyed.select("page_key", "host", "html").mapInArrow(releasing(_runs_of_pages(run)), _PLACES).join(shared, ["host", "run"], "left").filter("hit or words > 0")
+    # Rows that repeat add the same to both sums.
+    judged = found.groupBy("page_key", "part").agg(
+        F.sum("size").alias("shared_words"), F.sum("words").alias("words"), F.max("choices").alias("choices"),
+        F.collect_set(F.when(F.col("part") == NO_PART, F.struct("place", "size"))).alias("places"))
+    # What changes a page: runs that cover its open or unmarked blocks, and wholly shared parts beside something else. No more than two runs for each word.
+    changes = judged.filter((F.col("part") == NO_PART) | (F.col("shared_words") == F.col("words")) & (F.col("choices") > 1))
+    by_page = cut_lineage(changes.groupBy("page_key").agg(
+        F.collect_list(F.when(F.col("part") != NO_PART, F.col("part"))).alias("shared_parts"), F.flatten(F.collect_list("places")).alias("places")))
+    return left_join(keyed, by_page, "page_key", 8 * F.size("shared_parts") + 32 * F.size("places")).select(
+        "page_id", "url", "html", "shared_parts", "places").mapInArrow(releasing(_texts(run)), _TEXTS)

@@ -4,7 +4,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pathloom.llm.extraction import KEPT, OPEN, OUTSIDE, SuffixArray, blocks, main_texts
+from pathloom.llm import extraction, joins
+from pathloom.llm.extraction import BESIDE, KEPT, OPEN, OUTSIDE, SuffixArray, blocks, candidates, decide, main_texts
 
 from .conftest import words
 
@@ -145,3 +146,49 @@ def test_copies_of_a_page_are_one_content(spark):
 def test_marked_wrappers_and_unclosed_elements(html, kept):
     assert [text for kind, text in blocks(html) if kind == KEPT] == kept
     assert {kind for kind, _ in blocks(html)} <= {KEPT, OUTSIDE} or not kept
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_parts_that_pages_of_a_host_share_give_way(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(extraction, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    promo = f"<h2>Join us</h2><p>{words(20, 1)}</p>"
+    rows = [("a.net", f"<article><p>{words(30, 10 + i)}</p></article><article>{promo}</article>") for i in range(3)] * 2
+    # The same article on a host where fewer contents have it, and as the only part of a page, and longer than the other part.
+    rows += [("b.net", rows[0][1])] * 4
+    rows += [("a.net", f"<article>{promo}</article>"), ("a.net", f"<article>{promo}</article><article>{words(10, 20)}</article>")]
+    # One shared paragraph is a quotation.
+    rows += [("a.net", f"<article><p>{words(20, 1)}</p><p>{words(4, 21)}</p></article><article>{words(50, 22)}</article>")]
+    found = texts_of(spark, rows)
+    for i in range(6):
+        assert found[i] == words(30, 10 + i % 3)
+    whole = f"Join us\n{words(20, 1)}"
+    assert [found[i] for i in range(6, 10)] == [f"{words(30, 10)}\n{whole}"] * 4
+    assert found[10] == whole and found[11] == f"{whole}\n{words(10, 20)}"
+    assert found[12] == f"{words(20, 1)}\n{words(4, 21)}\n{words(50, 22)}"
+
+
+def test_what_stands_beside_a_shared_part(spark):
+    notice = f"<main><p>{words(12, 1)}</p></main>"
+    menu = f"<ul><li>Home<li>About us</ul><div>{words(15, 2)}</div>"
+    rows = [("a.net", f"{menu}{notice}<div>{words(30, 10 + i)}</div>") for i in range(3)]
+    rows += [("a.net", f"{menu}{notice}<div>{words(10, 20)}</div>"), ("a.net", f"{menu}{notice}"), ("a.net", f"{menu}<main></main><p>Too short</p>")]
+    # A part within a marked element, and what tags leave out, which never counts.
+    rows += [("a.net", f'{notice}<div class="with-sidebar"><article>{words(20, 30)}</article></div>'), ("a.net", f"{notice}<nav>{words(40, 31)}</nav>")]
+    rows += [("b.net", f"{notice}<div>{words(30, 40)}</div>")]
+    found = texts_of(spark, rows)
+    assert [found[i] for i in range(3)] == [words(30, 10 + i) for i in range(3)]
+    assert [found[3], found[4], found[5]] == [words(12, 1), words(12, 1), ""]
+    assert [found[6], found[7], found[8]] == [words(20, 30), words(12, 1), words(12, 1)]
+
+
+def test_candidates_and_their_choice():
+    page = candidates('<p>x y</p><main>a<article>b c d</article>e</main><div class="ad">no<article>f</article></div>')
+    assert page == [(OUTSIDE, "x y", BESIDE), (KEPT, "a", 1), (KEPT, "b c d", 2), (KEPT, "e", 1), (OUTSIDE, "no", 0), (OUTSIDE, "f", 3)]
+    assert decide(page, set(), []) == decide(page, {1, 2}, []) == decide(page, {2}, []) == ["a", "b c d", "e"]
+    assert decide(page, {1}, []) == ["b c d"]
+    assert decide([(KEPT, "a", 1), (OUTSIDE, "f g", 2)], {1}, []) == ["f g"]
+    assert decide([(KEPT, "a", 1), (OUTSIDE, "f g", 2)], {1, 2}, []) == ["a"]
+    beside = [(OUTSIDE, words(9, 1), BESIDE), (KEPT, "a", 1)]
+    assert decide(beside, {1}, []) == [words(9, 1)] and decide(beside, {1}, [{"place": 2, "size": 2}]) == ["a"]
