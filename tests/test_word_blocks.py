@@ -2,9 +2,12 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from pathloom.operators.word_blocks import blocks_for, cell_pairs, numbered_words, word_vectors_in_blocks
+from pathloom.operators import word_blocks
+from pathloom.operators.word_blocks import blocks_for, cell_pairs, numbered_words, shares_for, train_cell, word_vectors_in_blocks
 from pathloom.operators.word_vectors import word_vectors
 
 SCHEMA = "split_url array<string>"
@@ -76,3 +79,63 @@ def test_repeats(spark):
     corpus = planted(spark, rows=200).coalesce(1)
     runs = [{r.word: r.vector.toArray().tolist() for r in word_vectors_in_blocks(corpus, 2, 6, blocks=2, epochs=2).collect()} for _ in "ab"]
     assert runs[0] == runs[1]
+
+
+def plain_training(inputs, outputs, chances, pairs, draw, rate=word_blocks.RATE):
+    """Pair by pair, word by word."""
+    size = inputs.shape[1] - 1
+    for start in range(0, len(pairs), word_blocks.BATCH):
+        batch = pairs[start:start + word_blocks.BATCH]
+        drawn = np.searchsorted(chances, draw.random((len(batch), word_blocks.NEGATIVES)) * chances[-1])
+        steps = [np.zeros((len(m), size)) for m in (inputs, outputs)]
+        touched = [np.zeros(len(m), bool) for m in (inputs, outputs)]
+        for (centre, near), negative in zip(batch, drawn):
+            for other, wanted in [(near, 1), *((min(o, len(outputs) - 1), 0) for o in negative)]:
+                score = 1 / (1 + np.exp(-float(inputs[centre, :size] @ outputs[other, :size])))
+                error = 0 if other == near and not wanted else score - wanted
+                steps[0][centre] += error * outputs[other, :size]
+                steps[1][other] += error * inputs[centre, :size]
+                touched[0][centre] = touched[1][other] = True
+        for matrix, total, some in zip((inputs, outputs), steps, touched):
+            matrix[some, size] += (total[some] ** 2).mean(axis=1)
+            matrix[some, :size] -= rate * total[some] / np.sqrt(matrix[some, size, None] + 1e-8)
+
+
+@pytest.mark.parametrize("words", [(5, 9), (200, 7), (300, 200)])
+def test_training_is_that_of_a_plain_loop(words):
+    draw = np.random.default_rng(4)
+    start = [((draw.random((n, 7)) - 0.5) * [*[1] * 6, 0]).astype(np.float32) for n in words]
+    pairs = np.column_stack([draw.integers(0, n, 600) for n in words]).astype(np.int32)
+    chances = np.cumsum(draw.random(words[1]))
+    got, want = [m.copy() for m in start], [m.astype(np.float64) for m in start]
+    train_cell(*got, chances, pairs, np.random.default_rng(5))
+    plain_training(*want, chances, pairs, np.random.default_rng(5))
+    for a, b in zip(got, want):
+        assert np.allclose(a, b, atol=1e-4)
+
+
+def test_cells_of_many_pairs_are_dealt_to_tasks(spark, monkeypatch):
+    corpus = planted(spark, rows=4000)
+    monkeypatch.setattr(word_blocks, "CHUNK_PAIRS", 200)
+    dealt = []
+    stratum = word_blocks._stratum
+    monkeypatch.setattr(word_blocks, "_stratum", lambda *args: dealt.append(args[6]) or stratum(*args))
+    vectors = word_vectors_in_blocks(corpus, 3, 16, blocks=2, share_bytes=30_000)
+    same, names = nearest_groups(vectors)
+    assert min(dealt) >= 4 and len(names) == corpus.select(F.explode("split_url")).distinct().count()
+    assert np.mean(same) > 0.95
+
+
+def test_shares_go_by_pairs(spark):
+    pairs = spark.createDataFrame([(0, 0, b"x" * 800), (0, 0, b"y" * 900), (1, 0, b"z" * 100)], "stratum int, block int, pairs binary")
+    assert [shares_for(pairs, 1, 1, 1, size) for size in (10_000, 1_700, 800)] == [1, 1, 3]  # of 1,700 bytes
+    assert shares_for(pairs, 1_000_000, 100, 1, 800) == 1 and shares_for(pairs.where("false"), 1, 1, 1) == 1
+
+
+def test_means_of_the_shares_that_moved_a_word():
+    rows = [([[1, 1], [4, 4], [9, 9]], [1, 0, 0]), ([[3, 5], [6, 2], [9, 9]], [1, 1, 0]), ([[7, 7], [8, 8], [9, 9]], [0, 1, 0])]
+    values = [np.array(m, np.float32).tobytes() for m, _ in rows], [np.array(moved, bool).tobytes() for _, moved in rows]
+    batch = pa.RecordBatch.from_pydict({"block": pa.array([2] * 3, pa.int32()), "inputs": values[0], "outputs": values[0], "inputs_moved": values[1], "outputs_moved": values[1]})
+    (found,) = word_blocks._means(1)(iter([batch]))
+    for name in ("inputs", "outputs"):
+        assert np.frombuffer(found[name][0].as_py(), np.float32).reshape(-1, 2).tolist() == [[2, 3], [7, 5], [9, 9]]
